@@ -6,7 +6,7 @@ import importlib
 
 from assayer.catalog import registry
 
-MODULES = ("production",)
+MODULES = ("production", "qc")
 
 
 def _load() -> None:

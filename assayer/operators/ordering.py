@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from assayer.session import cut_lineage
+
 SLOTS = 1024
 
 
@@ -23,35 +25,42 @@ def _block(value: Column, low: Column, high: Column) -> Column:
     return linear.cast("bigint") * 131072 + signed.cast("bigint")
 
 
-def prefix_totals(df: DataFrame, keys: list[str], value: str, measures: dict[str, Column]) -> DataFrame:
+def prefix_totals(
+    df: DataFrame, keys: list[str], value: str, measures: dict[str, Column], minimum: bool = False
+) -> DataFrame:
     """One row per (keys, value): each measure's total at the value, below it, and overall.
 
-    Columns per measure m: ``m``, ``m_before`` (strictly smaller values), ``m_total``.
+    Columns per measure m: ``m``, ``m_before`` (strictly smaller values), ``m_total``. With
+    ``minimum`` the running minimum replaces the running total.
     """
     names = list(measures)
+    fold = F.min if minimum else F.sum
+
+    def merge(base: Column, part: Column) -> Column:
+        return F.least(base, part) if minimum else F.coalesce(base, F.lit(0)) + F.coalesce(part, F.lit(0))
+
     cells = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        *[F.sum(expr).alias(name) for name, expr in measures.items()]
+        *[fold(expr).alias(name) for name, expr in measures.items()]
     )
+    cells = cut_lineage(cells)  # read three times below; the input is scanned once
     position = F.col(value).cast("double")
     extent = cells.groupBy(*keys).agg(
-        F.min(position).alias("__low"),
-        F.max(position).alias("__high"),
-        *[F.sum(name).alias(f"{name}_total") for name in names],
+        F.min(position).alias("__from"),
+        F.max(position).alias("__upto"),
+        *[fold(name).alias(f"{name}_total") for name in names],
     )
-    placed = _equi(cells, extent, keys).withColumn("__block", _block(position, F.col("__low"), F.col("__high")))
+    placed = _equi(cells, extent, keys).withColumn("__block", _block(position, F.col("__from"), F.col("__upto")))
     earlier_blocks = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = placed.groupBy(*keys, "__block").agg(*[F.sum(name).alias(f"__{name}") for name in names])
+    blocks = placed.groupBy(*keys, "__block").agg(*[fold(name).alias(f"__base_{name}") for name in names])
     blocks = blocks.select(
-        *keys,
-        "__block",
-        *[F.coalesce(F.sum(f"__{name}").over(earlier_blocks), F.lit(0)).alias(f"__{name}") for name in names],
+        *keys, "__block", *[fold(f"__base_{name}").over(earlier_blocks).alias(f"__base_{name}") for name in names]
     )
     inside = W.partitionBy(*keys, "__block").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     return placed.join(blocks, [*keys, "__block"]).select(
         *keys,
         value,
         *names,
-        *[(F.col(f"__{name}") + F.coalesce(F.sum(name).over(inside), F.lit(0))).alias(f"{name}_before") for name in names],
+        *[merge(F.col(f"__base_{name}"), fold(name).over(inside)).alias(f"{name}_before") for name in names],
         *[f"{name}_total" for name in names],
     )
 

@@ -2,6 +2,7 @@
 
 Each view is one SELECT that both Spark SQL and an independent SQL engine understand. In
 Spark the table names are bound to DataFrames; the checker uses the same text as a CTE.
+``EACH(1, 2)`` stands for the generator that repeats a row once per listed value.
 """
 
 from __future__ import annotations
@@ -75,15 +76,17 @@ SELECT concat('Q', k, '-', r, '-', st) AS TicketId, concat('WO', k) AS WO, conca
          + CASE WHEN k % 31 = 0 THEN INTERVAL '-10' MINUTE ELSE INTERVAL '10' MINUTE END AS QcStop,
        CASE WHEN k % 3 = 0 THEN NULL ELSE concat('W', k % 40) END AS InitialWorker,
        CASE WHEN k % 5 = 0 THEN CASE WHEN st = 'Pass' THEN 'Đạt' WHEN k % 2 = 0 THEN 'Sửa' ELSE 'hỏng ' END END AS Description
-FROM (SELECT k, d, r, insp, 'Pass' AS st, insp - fail AS q FROM qc_rounds_raw WHERE insp - fail > 0
-      UNION ALL SELECT k, d, r, insp, 'Fail' AS st, fail AS q FROM qc_rounds_raw WHERE fail > 0) t
+FROM (SELECT k, d, r, insp, CASE WHEN ok = 1 THEN 'Pass' ELSE 'Fail' END AS st, CASE WHEN ok = 1 THEN insp - fail ELSE fail END AS q
+      FROM (SELECT k, d, r, insp, fail, EACH(1, 0) AS ok FROM qc_rounds_raw) o) t
      JOIN part ON p_partkey = k % 200
+WHERE q > 0
 """
 
 _VIEWS["qc_rounds_raw"] = """
-SELECT k, d, 1 AS r, n1 AS insp, f1 AS fail FROM qc_counts
-UNION ALL SELECT k, d, 2 AS r, f1 AS insp, f2 AS fail FROM qc_counts WHERE f1 > 0 AND k % 5 <> 0 AND k % 29 <> 0
-UNION ALL SELECT k, d, 3 AS r, f2 AS insp, CAST(0 AS BIGINT) AS fail FROM qc_counts WHERE f2 > 0 AND k % 7 <> 0
+SELECT k, d, r, CASE r WHEN 1 THEN n1 WHEN 2 THEN f1 ELSE f2 END AS insp,
+       CASE r WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE CAST(0 AS BIGINT) END AS fail
+FROM (SELECT k, d, n1, f1, f2, EACH(1, 2, 3) AS r FROM qc_counts) e
+WHERE r = 1 OR (r = 2 AND f1 > 0 AND k % 5 <> 0 AND k % 29 <> 0) OR (r = 3 AND f2 > 0 AND k % 7 <> 0)
 """
 
 _VIEWS["qc_counts"] = """
@@ -104,8 +107,7 @@ SELECT concat('S', k, '-', r, '-', s) AS TicketId, concat('WO', k) AS WO, concat
        CAST(insp AS DOUBLE) AS ExpectedQty,
        CASE WHEN s = 1 AND k % 5 <> 0 THEN 'đạt' END AS Description,
        CASE WHEN s = 2 AND k % 3 = 0 THEN NULL ELSE concat('W', k % 40) END AS InitialWorker
-FROM (SELECT k, d, r, insp, fail, 1 AS s FROM qc_rounds_raw
-      UNION ALL SELECT k, d, r, insp, fail, 2 AS s FROM qc_rounds_raw) t
+FROM (SELECT k, d, r, insp, fail, EACH(1, 2) AS s FROM qc_rounds_raw) t
 """
 
 # Verified skill of each worker on each process they work on (0-10, some unknown).
@@ -137,21 +139,15 @@ FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 5 = l_partkey
 
 # Labour intervals around every raw inspection round, with deliberate defects.
 _VIEWS["touches"] = """
-SELECT EventId, WO, Worker, Process, WorkerStart, WorkerStop FROM (
-  SELECT concat('T', k, '-', r) AS EventId, concat('WO', k) AS WO,
-         concat('W', CASE WHEN r = 1 OR k % 3 = 0 THEN k % 40 ELSE (k + 1) % 40 END) AS Worker,
-         CASE WHEN k % 17 = 0 THEN 'OTHER' ELSE p_type END AS Process,
-         d + (r - 1) * INTERVAL '1' DAY + CASE WHEN k % 19 = 0 THEN INTERVAL '9' HOUR + INTERVAL '30' MINUTE ELSE INTERVAL '9' HOUR END AS WorkerStart,
-         d + (r - 1) * INTERVAL '1' DAY + CASE WHEN k % 19 = 0 THEN INTERVAL '9' HOUR ELSE INTERVAL '9' HOUR + INTERVAL '50' MINUTE END AS WorkerStop
-  FROM qc_rounds_raw JOIN part ON p_partkey = k % 200
-  UNION ALL
-  SELECT concat('T', k, '-', r, '-x') AS EventId, concat('WO', k) AS WO,
-         concat('W', CASE WHEN r = 1 OR k % 3 = 0 THEN k % 40 ELSE (k + 1) % 40 END) AS Worker,
-         p_type AS Process,
-         d + (r - 1) * INTERVAL '1' DAY + CASE WHEN k % 2 = 0 THEN INTERVAL '9' HOUR + INTERVAL '20' MINUTE ELSE INTERVAL '9' HOUR + INTERVAL '50' MINUTE END AS WorkerStart,
-         d + (r - 1) * INTERVAL '1' DAY + INTERVAL '9' HOUR + INTERVAL '55' MINUTE AS WorkerStop
-  FROM qc_rounds_raw JOIN part ON p_partkey = k % 200 WHERE k % 13 = 0
-) t
+SELECT concat('T', k, '-', r, CASE WHEN x = 1 THEN '-x' ELSE '' END) AS EventId, concat('WO', k) AS WO,
+       concat('W', CASE WHEN r = 1 OR k % 3 = 0 THEN k % 40 ELSE (k + 1) % 40 END) AS Worker,
+       CASE WHEN x = 0 AND k % 17 = 0 THEN 'OTHER' ELSE p_type END AS Process,
+       d + (r - 1) * INTERVAL '1' DAY + INTERVAL '9' HOUR
+         + CASE WHEN x = 1 THEN CASE WHEN k % 2 = 0 THEN 20 ELSE 50 END WHEN k % 19 = 0 THEN 30 ELSE 0 END * INTERVAL '1' MINUTE AS WorkerStart,
+       d + (r - 1) * INTERVAL '1' DAY + INTERVAL '9' HOUR
+         + CASE WHEN x = 1 THEN 55 WHEN k % 19 = 0 THEN 0 ELSE 50 END * INTERVAL '1' MINUTE AS WorkerStop
+FROM (SELECT k, d, r, EACH(0, 1) AS x FROM qc_rounds_raw) e JOIN part ON p_partkey = k % 200
+WHERE x = 0 OR k % 13 = 0
 """
 
 # Bill-of-materials lines: a part hierarchy with shared children under one context.
@@ -169,15 +165,10 @@ FROM bom_edges WHERE parent >= 7
 """
 
 _VIEWS["bom_edges"] = """
-SELECT CAST(floor((p_partkey - 1) / CAST(2 AS DOUBLE)) AS BIGINT) AS parent, p_partkey AS child,
-       p_partkey % 3 + 1 AS qty, p_partkey % 5 AS grp, p_retailprice AS price,
-       (SELECT max(p_partkey) FROM part) AS np
-FROM part WHERE p_partkey >= 1
-UNION ALL
-SELECT CAST(floor((p_partkey - 1) / CAST(2 AS DOUBLE)) AS BIGINT) + 1 AS parent, p_partkey AS child,
-       1 AS qty, p_partkey % 5 AS grp, p_retailprice AS price,
-       (SELECT max(p_partkey) FROM part) AS np
-FROM part WHERE p_partkey >= 10 AND p_partkey % 10 = 0
+SELECT CAST(floor((p_partkey - 1) / CAST(2 AS DOUBLE)) AS BIGINT) + extra AS parent, p_partkey AS child,
+       CASE WHEN extra = 1 THEN 1 ELSE p_partkey % 3 + 1 END AS qty, p_partkey % 5 AS grp, p_retailprice AS price, np
+FROM (SELECT p_partkey, p_retailprice, EACH(0, 1) AS extra, (SELECT max(p_partkey) FROM part) AS np FROM part) e
+WHERE p_partkey >= 1 AND (extra = 0 OR (p_partkey >= 10 AND p_partkey % 10 = 0))
 """
 
 # One row per finished-good context of a semi-finished item.
@@ -235,7 +226,11 @@ def with_clause(*names: str) -> str:
     order: list[str] = []
     for name in names:
         order += [view for view in _closure(name) if view not in order]
-    return "WITH " + ",\n".join(f"{view} AS ({_VIEWS[view].strip()})" for view in order)
+    return "WITH " + ",\n".join(f"{view} AS ({_each(_VIEWS[view].strip(), 'unnest([{}])')})" for view in order)
+
+
+def _each(sql: str, generator: str) -> str:
+    return re.sub(r"EACH\(([^)]*)\)", lambda m: generator.format(m.group(1)), sql)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -244,7 +239,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named bridge view as a lazy DataFrame."""
-    sql = with_clause(name) + f"\nSELECT * FROM {name}"
+    sql = re.sub(r"unnest\(\[([^\]]*)\]\)", r"explode(array(\1))", with_clause(name)) + f"\nSELECT * FROM {name}"
     used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)]
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN)(\s+){t}\b", rf"\1\2{{{t}}}", sql)
