@@ -6,7 +6,7 @@ import importlib
 
 from assayer.catalog import registry
 
-MODULES = ("production", "qc")
+MODULES = ("production", "qc", "attribution", "metrics")
 
 
 def _load() -> None:

@@ -9,7 +9,6 @@ from assayer.operators import qc as Q
 from assayer.operators import touch as T
 
 CUTOFF = "2001-07-01 00:00:00"
-STOP = F.lit(CUTOFF).cast("timestamp_ntz")
 
 
 def tickets(inp: Inputs):
@@ -175,7 +174,7 @@ rec3 AS (SELECT *, CASE WHEN ff > 0 THEN num / ff END AS pe, CASE WHEN ff > 0 TH
 def trajectories(inp: Inputs):
     rounds = reconstruction(inp, cutoff=CUTOFF).rounds
     closed = inp.work_orders.filter("CAST(substr(WO, 3) AS BIGINT) % 4 = 0")
-    return Q.recovery_trajectories(rounds, STOP, closed)
+    return Q.recovery_trajectories(rounds, F.lit(CUTOFF).cast("timestamp_ntz"), closed)
 
 
 @query(
