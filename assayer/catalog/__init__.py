@@ -6,7 +6,7 @@ import importlib
 
 from assayer.catalog import registry
 
-MODULES = ("production", "qc", "attribution", "metrics")
+MODULES = ("production", "qc", "attribution", "metrics", "structure")
 
 
 def _load() -> None:

@@ -296,7 +296,7 @@ def qq_series(inp: Inputs):
 WITH g AS (SELECT Process, Item, count(*) AS n, count(DISTINCT Worker) AS w, avg(ln(Hours / Qty)) AS mu FROM production GROUP BY 1, 2),
 s AS (SELECT Process, stddev_samp(ln(Hours / Qty)) AS sd FROM production GROUP BY 1),
 c AS (SELECT g.*, 100 * (0.45 * (1 - exp(-n / CAST(20 AS DOUBLE))) + 0.35 * (1 - exp(-w / CAST(5 AS DOUBLE))) + 0.2 * (1 / (1 + sd / sqrt(n) / sd))) AS sc FROM g JOIN s ON g.Process = s.Process)
-SELECT Process, Item, CAST(n AS BIGINT) AS Records, CAST(w AS BIGINT) AS Workers, round(sc, 1) AS ConfidenceScore,
+SELECT Process, Item, CAST(n AS BIGINT) AS Records, CAST(w AS BIGINT) AS Workers, round(sc, 2) AS ConfidenceScore,
   CASE WHEN sc <= 40 THEN 'Low' WHEN sc <= 70 THEN 'Medium' ELSE 'High' END AS Confidence FROM c
 """,
     ("production",),
@@ -311,7 +311,7 @@ def item_confidence(inp: Inputs):
     )
     scored = scored.withColumn("Confidence", M.confidence_label(F.col("ConfidenceScore")))
     return shown(
-        scored.withColumn("ConfidenceScore", F.round("ConfidenceScore", 1)), "Process", "Item", "Records", "Workers", "ConfidenceScore", "Confidence"
+        scored, "Process", "Item", "Records", "Workers", "ConfidenceScore", "Confidence"
     )
 
 

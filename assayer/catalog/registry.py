@@ -47,7 +47,10 @@ def query(check: str | None = None, views: tuple[str, ...] = (), name: str | Non
             body = check.strip()
             if views:
                 prefix = bridge.with_clause(*views)
-                body = f"{prefix},\n{body[5:].lstrip()}" if body[:5].upper() == "WITH " else f"{prefix}\n{body}"
+                if body.startswith("WITH RECURSIVE "):
+                    body = f"WITH RECURSIVE {prefix[5:]},\n{body[15:].lstrip()}"
+                else:
+                    body = f"{prefix},\n{body[5:].lstrip()}" if body.startswith("WITH ") else f"{prefix}\n{body}"
             CHECKS[key] = body
         return fn
 

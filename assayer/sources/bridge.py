@@ -160,13 +160,16 @@ SELECT 'F1' AS SourceFile, 'FG0' AS Fg, concat('B', parent) AS Node, concat('P',
             WHEN grp = 0 THEN 'RM_Diamond' WHEN grp = 1 THEN 'RM_Pearl' WHEN grp = 2 THEN 'SM_ACJ'
             WHEN grp = 3 THEN 'RM_Silver' ELSE 'SM_Casting' END AS ItemGroup,
        CASE WHEN child % 53 = 0 THEN NULL ELSE price / CAST(1000 AS DOUBLE) * qty END AS Weight,
+       price / CAST(100 AS DOUBLE) * qty * (1 + extra) AS Quantity,
+       CASE WHEN child % 3 = 0 THEN 'GRAM' ELSE 'PCS' END AS QuantityUnit,
+       CASE WHEN child % 101 = 7 THEN CAST(2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS CwSize,
        CAST(child AS DOUBLE) AS Sequence
 FROM bom_edges WHERE parent >= 7
 """
 
 _VIEWS["bom_edges"] = """
 SELECT CAST(floor((p_partkey - 1) / CAST(2 AS DOUBLE)) AS BIGINT) + extra AS parent, p_partkey AS child,
-       CASE WHEN extra = 1 THEN 1 ELSE p_partkey % 3 + 1 END AS qty, p_partkey % 5 AS grp, p_retailprice AS price, np
+       CASE WHEN extra = 1 THEN 1 ELSE p_partkey % 3 + 1 END AS qty, p_partkey % 5 AS grp, p_retailprice AS price, np, extra
 FROM (SELECT p_partkey, p_retailprice, EACH(0, 1) AS extra, (SELECT max(p_partkey) FROM part) AS np FROM part) e
 WHERE p_partkey >= 1 AND (extra = 0 OR (p_partkey >= 10 AND p_partkey % 10 = 0))
 """
