@@ -6,7 +6,7 @@ import importlib
 
 from assayer.catalog import registry
 
-MODULES = ("production", "qc", "attribution", "metrics", "structure")
+MODULES = ("production", "qc", "attribution", "metrics", "structure", "models")
 
 
 def _load() -> None:

@@ -70,9 +70,9 @@ def _equi(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys) if keys else left.join(right)
 
 
-def ranked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Rank facts per distinct value: ``n`` (ties), ``n_before``, ``n_total``."""
-    return prefix_totals(df, keys, value, {"n": F.lit(1)})
+def ranked(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
+    """Rank facts per distinct value: ``n`` (ties or total weight), ``n_before``, ``n_total``."""
+    return prefix_totals(df, keys, value, {"n": F.lit(1) if weight is None else weight})
 
 
 def average_rank(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
@@ -92,9 +92,14 @@ def midpoint_score(df: DataFrame, keys: list[str], value: str, name: str) -> Dat
     return df.join(ranked(df, keys, value).select(*keys, value, score.alias(name)), [*keys, value], "left")
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], method: str = "linear") -> DataFrame:
-    """Exact quantiles per key by rank selection (``linear`` interpolation or ``higher``)."""
-    facts = ranked(df, keys, value)
+def quantiles(
+    df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], method: str = "linear", weight: Column | None = None
+) -> DataFrame:
+    """Exact quantiles per key by rank selection (``linear`` interpolation or ``higher``).
+
+    Whole-number weights count a value as often as its weight says.
+    """
+    facts = ranked(df, keys, value, weight)
     first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
 
     def at(rank: Column) -> Column:
