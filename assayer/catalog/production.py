@@ -18,7 +18,7 @@ def facts(inp: Inputs):
 @query(
     """
 SELECT WO, RoundNo, Worker, Item, round(Hours / Qty, 6) AS TimePerPiece, round(ln(Hours / Qty), 6) AS LogTime,
-       round(60 * Hours / Qty, 6) AS MinutesPerOk
+       round(60 * (Hours / Qty), 6) AS MinutesPerOk
 FROM production WHERE Customer <> 'FURNITURE' AND Qty > 0 AND Hours > 0
 """,
     ("production",),
@@ -29,7 +29,7 @@ def clean_production(inp: Inputs):
 
 @query(
     """
-SELECT Process, strftime(RafMonth, '%Y-%m') AS Month, count(*) AS RowCount, round(avg(60 * Hours / Qty), 6) AS MeanMinutes,
+SELECT Process, strftime(RafMonth, '%Y-%m') AS Month, count(*) AS RowCount, round(avg(60 * (Hours / Qty)), 6) AS MeanMinutes,
        round(sum(Hours) / sum(Qty) * 60, 6) AS PooledMinutes
 FROM production WHERE Qty > 0 AND Hours > 0 AND strftime(RafMonth, '%Y-%m') <> '2001-08' GROUP BY 1, 2
 """,

@@ -352,13 +352,13 @@ tj AS (SELECT rd.*, o.WO IS NOT NULL AS om, o.Status, o.GoodPieces, sc.c, se.* F
 WITH {TIME_CTE}
 SELECT CASE WHEN lower(trim(WO)) = 'other' THEN 'OTHER_WO' WHEN NOT om THEN 'UNMATCHED_WO' WHEN Status <> 'Complete' THEN 'INCOMPLETE_WO' WHEN ir THEN 'INVALID_ROUND' WHEN dup THEN 'DUPLICATE_WORKER_ROUND' WHEN ide THEN 'INVALID_ALLOCATED_HOURS'
   WHEN bm THEN 'BRANCH_ROUND_MISMATCH' WHEN mw OR k <> 1 THEN 'TEAM_OR_MISSING_WORKER' WHEN c > 1 THEN 'AMBIGUOUS_SEMI_BOM' WHEN SemiBom IS NULL THEN 'NO_UNIQUE_SEMI' WHEN n % 37 = 0 THEN 'EXCLUDED_SEMI_SCOPE' WHEN Process <> mp THEN 'PROCESS_MAPPING_MISMATCH'
-  WHEN GoodPieces <= 0 OR h <= 0 THEN 'NONPOSITIVE_RESPONSE' ELSE '' END AS Exclusion, CAST(count(*) AS BIGINT) AS Rounds, round(sum(h), 4) AS Hours FROM tj GROUP BY 1
+  WHEN GoodPieces <= 0 OR h <= 0 THEN 'NONPOSITIVE_RESPONSE' ELSE '' END AS Exclusion, CAST(count(*) AS BIGINT) AS Rounds, round(sum(h), 1) AS Hours FROM tj GROUP BY 1
 """,
     ("worker_hours", "work_orders", "semis"),
 )
 def time_cohort_exclusions(inp: Inputs):
     cohort = N.time_cohort(inp.worker_hours, inp.work_orders, time_semis(inp))
-    return shown(cohort.groupBy("Exclusion").agg(F.count("*").alias("Rounds"), F.round(F.sum("AllocatedHours"), 4).alias("Hours")))
+    return shown(cohort.groupBy("Exclusion").agg(F.count("*").alias("Rounds"), F.round(F.sum("AllocatedHours"), 1).alias("Hours")))
 
 
 @query(

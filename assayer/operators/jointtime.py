@@ -96,10 +96,11 @@ def fit_joint_time(
         F.col("__d").alias("d_global"), F.col("__d").alias("d_local"), F.col("__q").alias("q_global"), F.col("__q").alias("q_local"),
         F.col("__missing").alias("q_missing"), F.col("LogMinutes").alias("label"), F.col("__w").cast("double").alias("weight"),
     )
-    # Fitted on real rows only, so the pseudo-rows' blank category encodes to a zero vector.
+    # The indexer keeps one slot for unknown labels and the encoder drops that last slot, so
+    # the pseudo-rows' blank category encodes to a zero vector.
     keys = [f"k_{b}" for b in CATEGORIES]
     indexer = StringIndexer(inputCols=keys, outputCols=[f"i_{b}" for b in CATEGORIES], handleInvalid="keep", stringOrderType="alphabetAsc")
-    encoder = OneHotEncoder(inputCols=[f"i_{b}" for b in CATEGORIES], outputCols=[f"v_{b}" for b in CATEGORIES], handleInvalid="keep", dropLast=True)
+    encoder = OneHotEncoder(inputCols=[f"i_{b}" for b in CATEGORIES], outputCols=[f"v_{b}" for b in CATEGORIES], dropLast=True)
     slopes = [
         Interaction(inputCols=["d_local", "v_difficulty"], outputCol="x_difficulty"),
         Interaction(inputCols=["q_local", "v_quote"], outputCol="x_quote"),
@@ -111,7 +112,7 @@ def fit_joint_time(
         solver="l-bfgs", regParam=0.0, fitIntercept=False, weightCol="weight", maxIter=max_iter, tol=1e-12, standardization=True
     )
     model = regression.fit(prepare.transform(stacked).select("features", "label", "weight"))
-    coefficients = _coefficient_table(train, prepare.stages[0].labelsArray, prepare.stages[1].categorySizes, model.coefficients.toArray())
+    coefficients = _coefficient_table(train, prepare.stages[0].labelsArray, model.coefficients.toArray())
     fit = JointFit(coefficients, scalars, None, {"iterations": float(model.summary.totalIterations), "objective": model.summary.objectiveHistory[-1]})
     residual = F.col("LogMinutes") - F.col("__eta")
     w = weight if weight is not None else F.lit(1.0)
@@ -120,16 +121,14 @@ def fit_joint_time(
     return JointFit(coefficients, scalars, cut_lineage(smear), fit.health)
 
 
-def _coefficient_table(df: DataFrame, labels, sizes, values) -> DataFrame:
+def _coefficient_table(df: DataFrame, labels, values) -> DataFrame:
     """(Block, Key, Estimate) in the assembler's column order."""
     spark, position, rows = df.sparkSession, 0, []
     names = dict(zip(CATEGORIES, labels))
-    width = dict(zip(CATEGORIES, sizes))
     for block in ("intercept", "d_global", "difficulty", "q_global", "quote", "q_missing", "group", "worker"):
         keys = list(names[block]) if block in names else [NONE]
-        span = width[block] if block in width else 1
-        rows += [(block, key, float(values[position + i])) for i, key in enumerate(keys) if i < span]
-        position += span
+        rows += [(block, key, float(values[position + i])) for i, key in enumerate(keys)]
+        position += len(keys)
     return cut_lineage(spark.createDataFrame(rows, "Block string, Key string, Estimate double"))
 
 

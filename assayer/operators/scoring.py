@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from assayer.functions.expressions import clean_text, folded, is_close, is_finite, joined_reasons, or_false, or_true, to_double
 from assayer.operators.contracts import assert_none, require_columns
-from assayer.operators.production import GROUP
+from assayer.operators.ordering import average_rank
+from assayer.operators.production import GROUP, scope_excluded, scope_rule
 
 # Factor names and weights.
 FACTOR_WEIGHTS = {"Quality": 0.40, "PartMechanism": 0.25, "MaterialDesignProcess": 0.20, "Stone": 0.10, "Learning": 0.05}
@@ -282,8 +283,6 @@ def coverage_status(train: DataFrame, keys: list[str], minimum: float = 0.6) ->
 
 def retrospective_gate(full: DataFrame, later: DataFrame, loss: DataFrame) -> DataFrame:
     """Rank agreement of two effect tables over shared groups, and the paired loss bound."""
-    from assayer.operators.ordering import average_rank
-
     keys = ["Process", "Branch"]
     both = full.select(*keys, GROUP, F.col("Difficulty").alias("a")).join(later.select(*keys, GROUP, F.col("Difficulty").alias("b")), [*keys, GROUP])
     ranks = average_rank(average_rank(both, keys, "a", "ra"), keys, "b", "rb")
@@ -295,8 +294,6 @@ def retrospective_gate(full: DataFrame, later: DataFrame, loss: DataFrame) -> Da
 
 def item_report(features: DataFrame, detail: DataFrame, model: DataFrame, usable: str) -> DataFrame:
     """One row per item: model evidence only where the process agrees, scope rule, approval gate."""
-    from assayer.operators.production import scope_excluded, scope_rule
-
     borrowed = [c for c in model.columns if c not in ("Item", "Process")]
     side = model.select(F.col("Item").alias("SemiItem"), F.col("Process").alias("ModelProcess"), *borrowed, F.lit(True).alias("__has"))
     report = features.join(detail, "SemiBom", "left").join(side, "SemiItem", "left")

@@ -122,7 +122,11 @@ def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 
 
 def overlap_alerts(events: DataFrame) -> DataFrame:
-    """Intervals that start before an earlier one of the same worker and order has stopped."""
+    """Intervals that start before an earlier one of the same worker and order has stopped.
+
+    State is one timestamp per worker and order; a trigger holds only that key's new rows,
+    so the source's per-trigger file limit bounds the memory of a hot key.
+    """
     return events.select("EventId", "WO", "Worker", "WorkerStart", "WorkerStop").groupBy("WO", "Worker").applyInPandasWithState(
         _watch, OVERLAP_SCHEMA, OVERLAP_STATE, "update", GroupStateTimeout.NoTimeout
     )
