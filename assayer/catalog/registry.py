@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.session import configure
@@ -57,6 +57,14 @@ def query(check: str | None = None, views: tuple[str, ...] = (), name: str | Non
     return add
 
 
+def _half_away(value: Column) -> Column:
+    """Binary rounding, half away from zero, as the checking engine rounds doubles."""
+    scale = float(10**DIGITS)
+    scaled = F.abs(value) * scale
+    rounded = F.signum(value) * F.floor(scaled + 0.5) / scale + F.lit(0.0)
+    return F.when(scaled < 9e15, rounded).otherwise(value)
+
+
 def shown(df: DataFrame, *columns: str) -> DataFrame:
     """Portable output: doubles rounded, counts as bigint, timestamps as text."""
     df = df.select(*columns) if columns else df
@@ -64,7 +72,7 @@ def shown(df: DataFrame, *columns: str) -> DataFrame:
     for field in df.schema.fields:
         col, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
         if kind in ("double", "float", "decimal"):
-            col = F.round(col.cast("double"), DIGITS) + F.lit(0.0)
+            col = _half_away(col.cast("double"))
         elif kind in ("integer", "short", "byte"):
             col = col.cast("bigint")
         elif kind in ("timestamp", "timestamp_ntz"):
