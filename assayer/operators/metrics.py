@@ -108,9 +108,10 @@ def fixed_bin_table(df: DataFrame, keys: list[str], probability: str = "Predicti
     )
 
 
-def _correlation(x: str, y: str) -> Column:
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation; null when either side is constant."""
     varies = (F.min(x) != F.max(x)) & (F.min(y) != F.max(y))
-    return F.when(varies, F.corr(x, y))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def kendall_tau_b(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -159,14 +160,15 @@ def kendall_tau_b(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 def agreement(df: DataFrame, keys: list[str], score: str, reference: str) -> DataFrame:
     """Pearson, Spearman, Kendall, OLS line and R2 of a score against a reference per key."""
     rows = cut_lineage(df.filter(F.col(score).isNotNull() & F.col(reference).isNotNull()).select(*keys, score, reference))
+    slope = F.try_divide(F.covar_pop(score, reference), F.var_pop(score))
     linear = rows.groupBy(*keys).agg(
         F.count("*").alias("N"),
-        _correlation(score, reference).alias("Pearson"),
-        F.when(F.min(score) != F.max(score), F.regr_slope(F.col(reference), F.col(score))).alias("Slope"),
-        F.when(F.min(score) != F.max(score), F.regr_intercept(F.col(reference), F.col(score))).alias("Intercept"),
+        correlation(score, reference).alias("Pearson"),
+        F.when(F.min(score) != F.max(score), slope).alias("Slope"),
+        F.when(F.min(score) != F.max(score), F.avg(reference) - slope * F.avg(score)).alias("Intercept"),
     )
     ranks = average_rank(average_rank(rows, keys, score, "__rx"), keys, reference, "__ry")
-    spearman = ranks.groupBy(*keys).agg(_correlation("__rx", "__ry").alias("Spearman"))
+    spearman = ranks.groupBy(*keys).agg(correlation("__rx", "__ry").alias("Spearman"))
     return (
         linear.join(spearman, keys)
         .join(kendall_tau_b(rows, keys, score, reference), keys, "left")

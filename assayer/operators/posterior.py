@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.expressions import expit, standard_normal
 from assayer.operators.contracts import assert_none
+from assayer.operators.metrics import correlation
 from assayer.operators.ordering import average_rank
 from assayer.operators.production import GROUP
 from assayer.session import cut_lineage
@@ -81,7 +82,7 @@ def rank_stability(draws: DataFrame) -> DataFrame:
     table = cut_lineage(difficulty_draws(draws))
     means = average_rank(table.groupBy(*FIT, GROUP).agg(F.avg("Difficulty").alias("m")), FIT, "m", "__mean_rank")
     ranked = average_rank(table, [*FIT, "Draw"], "Difficulty", "__rank").join(means.select(*FIT, GROUP, "__mean_rank"), [*FIT, GROUP])
-    per_draw = ranked.groupBy(*FIT, "Draw").agg(F.count("*").alias("n"), F.corr("__rank", "__mean_rank").alias("c")).filter("n >= 3")
+    per_draw = ranked.groupBy(*FIT, "Draw").agg(F.count("*").alias("n"), correlation("__rank", "__mean_rank").alias("c")).filter("n >= 3")
     return per_draw.groupBy(*FIT).agg(
         F.percentile("c", F.lit(0.025)).alias("RankCorrelationLower95"), F.percentile("c", F.lit(0.5)).alias("RankCorrelationMedian")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.expressions import clean_text, folded, is_close, is_finite, joined_reasons, or_false, or_true, to_double
 from assayer.operators.contracts import assert_none, require_columns
+from assayer.operators.metrics import correlation
 from assayer.operators.ordering import average_rank
 from assayer.operators.production import GROUP, scope_excluded, scope_rule
 
@@ -286,7 +287,7 @@ def retrospective_gate(full: DataFrame, later: DataFrame, loss: DataFrame) -> Da
     keys = ["Process", "Branch"]
     both = full.select(*keys, GROUP, F.col("Difficulty").alias("a")).join(later.select(*keys, GROUP, F.col("Difficulty").alias("b")), [*keys, GROUP])
     ranks = average_rank(average_rank(both, keys, "a", "ra"), keys, "b", "rb")
-    corr = ranks.groupBy(*keys).agg(F.count("*").alias("CommonGroups"), F.when(F.count("*") >= 3, F.corr("ra", "rb")).alias("RankCorrelation"))
+    corr = ranks.groupBy(*keys).agg(F.count("*").alias("CommonGroups"), F.when(F.count("*") >= 3, correlation("ra", "rb")).alias("RankCorrelation"))
     joined = corr.join(loss.select(*keys, "Upper95"), keys, "left")
     fine = (F.col("RankCorrelation") >= POLICY["rank_correlation_lower_min"]) & (F.col("Upper95") <= POLICY["retrospective_loss_tolerance"])
     return joined.withColumn("Status", F.when(or_false(fine), "PASS").otherwise("FAIL_OR_UNCERTAIN"))
