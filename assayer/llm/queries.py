@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import grace, histosort
+from assayer.llm import contamination, grace, histosort, pitmanyor
 from assayer.llm.common import table
 from assayer.llm.registry import query
 
@@ -30,3 +30,44 @@ def op5_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
     return histosort.shard(table(spark, sf_dir, "documents"), 40)
+
+
+CONTAMINATION_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), s AS (
+  SELECT item_id, words, least(len(words), 10) AS w, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS a FROM i WHERE len(words) > 0
+), win AS (
+  SELECT DISTINCT item_id, w, array_to_string(words[a : a + w - 1], ' ') AS gram FROM s
+), dw AS (
+  SELECT rid, w, a, array_to_string(words[a : a + w - 1], ' ') AS gram
+  FROM (SELECT d.rid, d.words, l.w, unnest(range(1, len(d.words) - l.w + 2)) AS a FROM d CROSS JOIN (SELECT DISTINCT w FROM win) l WHERE len(d.words) >= l.w)
+), hit AS (
+  SELECT dw.rid, dw.w, dw.a, win.item_id FROM dw JOIN win ON dw.w = win.w AND dw.gram = win.gram
+), places AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(a, a + w)) AS p FROM hit) GROUP BY rid
+), items AS (
+  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id FROM hit) GROUP BY rid
+)
+SELECT d.doc_id, CAST(len(d.words) AS BIGINT) AS n_words, coalesce(p.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.ids, '')) AS items_sha256, p.n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN places p USING (rid) LEFT JOIN items i USING (rid)
+"""
+
+
+@query("op3_prefix_decontamination", CONTAMINATION_SQL)
+def op3_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_pitman_yor")
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document under the hierarchical Pitman-Yor model."""
+    return pitmanyor.score_documents(table(spark, sf_dir, "documents"))
