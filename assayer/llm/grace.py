@@ -136,7 +136,8 @@ def exact_duplicates(docs: DataFrame, table_bytes: int = TABLE_BYTES, row_id: st
     best = (F.col("n_chars") == F.col("most")) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
     # Rows that tie in length and doc_id as well are told apart by their number.
     first = rows.join(groups.filter("ties > 1"), "digest").filter(best).groupBy("digest").agg(F.min("rid").alias("first"))
-    joined = rows.join(groups.join(first, "digest", "left"), "digest")
+    # Settled, so that the last join has two plain sides and a hot text can be split.
+    joined = rows.join(settle(groups.join(first, "digest", "left")), "digest")
     kept = best & ((F.col("ties") == 1) | (F.col("rid") == F.col("first")))
     return joined.select("doc_id", "keep_id", "group_size", F.coalesce(kept, F.lit(False)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "rid")
 

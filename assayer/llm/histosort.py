@@ -185,7 +185,7 @@ def shard(docs: DataFrame, shards: int = 40, range_rows: int = RANGE_ROWS) -> Da
     pieces = max(1, -(-n_rows // (shards * range_rows)))
     keys, below, _ = splitters(keyed, shards * pieces) if n_rows else ([0] * (shards * pieces - 1), [0] * (shards * pieces - 1), 0)
     starts = [0, *below]
-    cells = keyed.mapInArrow(_assign([_parts(min(k, (1 << 128) - 1)) for k in keys]), keyed.schema.add("cell", "integer"))
+    cells = keyed.mapInArrow(_assign([_parts(min(k, (1 << 128) - 1)) for k in keys]), "doc_id long, size long, text_crc32 long, h long, g long, cell int")
     base = F.array(*[F.lit(starts[k] - starts[k - k % pieces]).cast("long") for k in range(shards * pieces)])
     place = F.row_number().over(Window.partitionBy("cell").orderBy("h", "g")) - 1
     return cells.select(

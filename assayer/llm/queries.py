@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assayer.llm import contamination, grace, histosort, pitmanyor
+from assayer.llm import contamination, grace, histosort, mixture, ordermin, pitmanyor
 from assayer.llm.common import table
 from assayer.llm.registry import query
 
@@ -71,3 +72,18 @@ def op3_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probability of every document under the hierarchical Pitman-Yor model."""
     return pitmanyor.score_documents(table(spark, sf_dir, "documents"))
+
+
+BYTE_BPE = {"tokenizer_path": public_tokenizers.path("byte_bpe_50k.json"), "ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
+@query("op6_order_minhash")
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of every document."""
+    return ordermin.near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+
+
+@query("op8_mixture_packing")
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 tokens that hold the sources in their shares."""
+    return mixture.pack(table(spark, sf_dir, "documents"), **BYTE_BPE)
