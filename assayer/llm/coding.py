@@ -36,21 +36,26 @@ class Coder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added) or r"(?!)")
+        self.added_strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, self.added_strings)) or r"(?!)")
         self.quick = None
         if ranks is not None:
             import tiktoken
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            self.quick = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+            self.quick, self.spell = encoding.encode_ordinary, encoding.decode
 
     def encode_whole(self, text: str) -> bytes:
         if self.quick is not None and not self.added.search(text):
             return np.array(self.quick(text), dtype=self.dtype).tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
+    def decode(self, ids: np.ndarray) -> str:
+        spell = self.tokenizer.decode if self.quick is None else self.spell
+        return spell(ids.tolist()) if len(ids) else ""
+
     def __missing__(self, chunk: str) -> bytes:
         ids = self.encode_whole(chunk)
         if len(chunk) <= REMEMBERED_CHARS:
