@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assayer.llm import chat, contamination, grace, histosort, mixture, ordermin, pitmanyor
+from assayer.llm import chat, contamination, factors, grace, histosort, mixture, noisyor, ordermin, pitmanyor
 from assayer.llm.common import table
 from assayer.llm.registry import query
 
@@ -96,3 +97,21 @@ def op9_token_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
     return chat.read_chats(chat.format_chats(turns, **BYTE_BPE), **BYTE_BPE)
+
+
+def _predicted(threshold: float):
+    return (F.col("score") >= threshold).cast("int").alias("predicted")
+
+
+@query("op2_noisy_or_toxicity")
+def op2_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, with the sentences that cause it."""
+    scored = noisyor.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", _predicted(noisyor.THRESHOLD), "n_sentences", F.size("offending").cast("long").alias("n_offending"), F.get("offending.sentence", F.lit(0)).alias("first_offending"))
+
+
+@query("op4_factorisation_quality")
+def op4_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    scored = factors.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", _predicted(factors.THRESHOLD))
