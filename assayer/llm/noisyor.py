@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.llm.common import binary, columns
 from assayer.llm.features import REMEMBERED, TRAIN_ROWS, adam, counted, fitted, held_out, sentences, training_rows
@@ -22,6 +23,7 @@ STEPS, RATE, SHRINK = 150, 0.08, 2e-5
 BEGINNINGS = (5, 6, 7, 8)
 # A feature takes part where presence and label of the training documents depend on each other at least this much.
 LEAST_CHI_SQUARE, LEAST_DOCUMENTS = 15.0, 4
+_MARK = "__toxicity"
 
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
@@ -91,10 +93,24 @@ def _fit(raws: list[bytes], _: np.ndarray, y: np.ndarray) -> dict[str, np.ndarra
 
 
 _SCORED = pa.schema([
-    ("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("n_sentences", pa.int64()),
+    ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("n_sentences", pa.int64()),
     ("offending", pa.list_(pa.struct([("sentence", pa.int64()), ("score", pa.float64()), ("words", pa.string())]))),
 ])
-_SCORED_DDL = "rid long, doc_id long, held_out boolean, score double, n_sentences long, offending array<struct<sentence: long, score: double, words: string>>"
+_SCORED_DDL = "doc_id long, held_out boolean, score double, n_sentences long, offending array<struct<sentence: long, score: double, words: string>>"
+
+
+def _evaluate(raws: list[bytes], weights: _Weights, b: float) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(score of each text, score of each sentence, words, first word of each sentence, first sentence of each text)."""
+    words, starts, texts = sentences(raws)
+    weight = np.fromiter(map(weights.__getitem__, words), dtype=float, count=len(words))
+    # A word counts once in a sentence; words without weight drop out before that.
+    seen: dict[tuple[int, bytes], float] = {}
+    for k in np.flatnonzero(weight):
+        seen[int(np.searchsorted(starts, k, "right")) - 1, words[k]] = weight[k]
+    row = np.fromiter((key[0] for key in seen), dtype=np.int64, count=len(seen))
+    z = b + np.bincount(row, weights=np.fromiter(seen.values(), dtype=float, count=len(seen)), minlength=len(starts))
+    score = -np.expm1(-np.add.reduceat(_softplus(z), texts))
+    return np.clip(score, 0.0, 1.0), 1 / (1 + np.exp(-z)), words, starts, texts
 
 
 def _score(shared):
@@ -102,31 +118,40 @@ def _score(shared):
         w, b = shared.value
         weights = _Weights(w)
         for batch in batches:
-            rid, doc_id, held, raws = columns(batch, "rid", "doc_id", "held_out", "raw")
-            if not rid:
+            doc_id, held, raws = columns(batch, "doc_id", "held_out", "raw")
+            if not raws:
                 continue
-            words, starts, texts = sentences(raws)
-            weight = np.fromiter(map(weights.__getitem__, words), dtype=float, count=len(words))
-            # A word counts once in a sentence; words without weight drop out before that.
-            seen: dict[tuple[int, bytes], float] = {}
-            for k in np.flatnonzero(weight):
-                seen[int(np.searchsorted(starts, k, "right")) - 1, words[k]] = weight[k]
-            row = np.fromiter((key[0] for key in seen), dtype=np.int64, count=len(seen))
-            z = b + np.bincount(row, weights=np.fromiter(seen.values(), dtype=float, count=len(seen)), minlength=len(starts))
-            score = -np.expm1(-np.add.reduceat(_softplus(z), texts))
-            p = 1 / (1 + np.exp(-z))
-            bad: list[list[dict]] = [[] for _ in rid]
+            score, p, words, starts, texts = _evaluate(raws, weights, b)
+            bad: list[list[dict]] = [[] for _ in raws]
             ends = np.append(starts, len(words))
             for s in np.flatnonzero(p >= SENTENCE_THRESHOLD):
                 k = int(np.searchsorted(texts, s, "right") - 1)
                 bad[k].append({"sentence": int(s - texts[k]), "score": float(p[s]), "words": b" ".join(words[ends[s] : ends[s + 1]]).decode("utf-8", "replace")})
             n = np.diff(np.append(texts, len(starts)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((rid, doc_id, held, np.clip(score, 0.0, 1.0), n, bad), _SCORED)], schema=_SCORED)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((doc_id, held, score, n, bad), _SCORED)], schema=_SCORED)
 
     return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, row_id: str | None = None) -> DataFrame:
+def _append(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, b = shared.value
+        weights = _Weights(w)
+        for batch in batches:
+            raws = batch.column(batch.num_columns - 1).to_pylist()
+            if raws:
+                score = _evaluate(raws, weights, b)[0]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], _MARK])
+
+    return run
+
+
+def _model(docs: DataFrame, labels: DataFrame, train_rows: int):
+    model = fitted(training_rows(docs, labels, "toxic", train_rows), _fit, ["w", "b"])
+    return docs.sparkSession.sparkContext.broadcast((model["w"], float(model["b"][0])))
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """A toxicity score for every text, and the sentences that cause it.
 
     Sentences end at . ! ? and line feeds; words are in lower case without punctuation. Weights are learned from at most
@@ -134,10 +159,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, r
     inputs of a score. Null text is empty; a text without words gets the bias alone. Repeated rows are scored each,
     very long texts whole; no labels give every text a score near 0; an empty table gives an empty result; other columns
     are ignored.
-    Result: rid, doc_id, held_out, score, n_sentences, offending (sentence from 0, its own score, its words).
+    Result: doc_id, held_out, score, n_sentences, offending (sentence from 0, its own score, its words).
     """
-    model = fitted(training_rows(docs, labels, "toxic", train_rows), _fit, ["w", "b"])
-    shared = docs.sparkSession.sparkContext.broadcast((model["w"], float(model["b"][0])))
-    number = F.col(row_id) if row_id else F.monotonically_increasing_id()
-    read = docs.select(number.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), binary("text").alias("raw"))
-    return read.mapInArrow(_score(shared), _SCORED_DDL)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), binary("text").alias("raw"))
+    return read.mapInArrow(_score(_model(docs, labels, train_rows)), _SCORED_DDL)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, all their columns unchanged; one pass, no shuffle of texts."""
+    wide = docs.withColumn(_MARK, binary("text"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(_MARK, T.DoubleType())])
+    return wide.mapInArrow(_append(_model(docs, labels, train_rows)), schema).filter(F.col(_MARK) < threshold).drop(_MARK)

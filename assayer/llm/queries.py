@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import chat, contamination, factors, grace, histosort, mixture, noisyor, ordermin, pitmanyor
+from assayer.llm import chat, contamination, factors, grace, histosort, mincut, mixture, noisyor, ordermin, pitmanyor
 from assayer.llm.common import table
 from assayer.llm.registry import query
 
@@ -115,3 +115,9 @@ def op4_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     scored = factors.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", "held_out", "score", _predicted(factors.THRESHOLD))
+
+
+@query("op1_minimum_cut_text")
+def op1_minimum_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return mincut.extract(table(spark, sf_dir, "pages"))
