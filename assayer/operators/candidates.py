@@ -52,28 +52,40 @@ def fit_candidates(rounds: DataFrame, variants=RIDGE, penalties=PENALTIES, max_i
     rows = rows.withColumn("lam", F.col("Penalty"))
     with_workers = fit_crossed_logit(rows.filter("Mode = 'single'"), keys, Shrinkage("lam", 1e-6), max_iter, tol)
     group_only = fit_crossed_logit(rows.filter("Mode = 'group'"), keys, Shrinkage("lam", 1e-6, use_workers=False), max_iter, tol)
-    return EffectFit(
-        with_workers.workers.unionByName(group_only.workers),
-        with_workers.items.unionByName(group_only.items),
-        with_workers.health.unionByName(group_only.health),
-        with_workers.rounds.unionByName(group_only.rounds),
-    )
+    return _both(with_workers, group_only)
 
 
 def fit_legacy(rounds: DataFrame, variants: dict[str, int] = LEGACY) -> EffectFit:
-    """The adaptive-variance benchmark at each iteration budget."""
-    single = rounds.filter("Attribution = 'single'")
-    parts = []
-    for name, budget in variants.items():
-        rows = single.withColumns({"Variant": F.lit(name), "Penalty": F.lit(1.0)})
-        parts.append(fit_crossed_logit(rows, [*FIT, "Variant", "Penalty"], Shrinkage(), budget))
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = EffectFit(
-            merged.workers.unionByName(part.workers), merged.items.unionByName(part.items),
-            merged.health.unionByName(part.health), merged.rounds.unionByName(part.rounds),
-        )
-    return merged
+    """The adaptive-variance benchmark at each iteration budget.
+
+    A fit that converged within one budget is the same within every larger one, so only the others go on to it.
+    """
+    single = rounds.filter("Attribution = 'single'").withColumn("Penalty", F.lit(1.0))
+    keys = [*FIT, "Penalty"]
+    settled: EffectFit | None = None
+    labelled: EffectFit | None = None
+    for name, budget in sorted(variants.items(), key=lambda v: v[1]):
+        if settled is None:
+            settled = fit_crossed_logit(single, keys, Shrinkage(), budget)
+        else:
+            open_fits = settled.health.filter("NOT Converged").select(*keys)
+            if not open_fits.isEmpty():
+                again = fit_crossed_logit(single.join(open_fits, keys, "left_semi"), keys, Shrinkage(), budget)
+                settled = _each(settled, lambda df: df.join(open_fits, keys, "left_anti"))
+                settled = _both(settled, again)
+        named = _each(settled, lambda df, name=name: df.withColumn("Variant", F.lit(name)))
+        labelled = named if labelled is None else _both(labelled, named)
+    return labelled
+
+
+def _each(fit: EffectFit, change) -> EffectFit:
+    return EffectFit(change(fit.workers), change(fit.items), change(fit.health), change(fit.rounds))
+
+
+def _both(a: EffectFit, b: EffectFit) -> EffectFit:
+    return EffectFit(
+        a.workers.unionByName(b.workers), a.items.unionByName(b.items), a.health.unionByName(b.health), a.rounds.unionByName(b.rounds)
+    )
 
 
 def predict_candidates(fit: EffectFit, rows: DataFrame) -> DataFrame:

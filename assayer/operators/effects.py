@@ -1,28 +1,31 @@
 """Crossed worker and item effects fitted from distributed sufficient statistics.
 
-Rows collapse once to (fit, worker, item[, round]) cells. Every iteration is then a pair of
-grouped aggregations over the cells for all fits at once: worker effects from the cells,
-item effects from the cells. Only one scalar row per fit reaches the driver, to decide which
-fits have converged; those freeze while the others continue. Fits whose cells are counted
-and small are solved inside one task each with the same updates; ``cell_limit=0`` forces
-every fit through the distributed loop.
+Rows collapse once to (fit, worker, item[, round]) cells. A sweep updates one block of effects after the other as
+grouped aggregations over the cells, for all fits at once, and is a single job that writes the new effects as one
+table; the effects of any number of workers and items stay distributed. Only a few numbers per fit (intercept,
+variances, largest moves) reach the driver. There the slow part of such fits, the variances, is extrapolated along its
+geometric tail every few sweeps, so that tens of sweeps do. A fit that has converged leaves while the others go on.
+
+Rows without a worker or an item take no part in any fit.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from typing import Any
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.functions.expressions import clip, logistic
-from assayer.operators import cellfits as C
 from assayer.operators.contracts import assert_none
-from assayer.session import cut_lineage
+from assayer.session import cut_lineage, settle
 
-BROADCAST_ROWS = 100_000  # effect tables are five narrow columns: at most a few megabytes
+# Sweeps between two extrapolations, and the steepest tail that is believed.
+EXTRAPOLATE_EVERY, STEEPEST = 6, 0.97
 
 
 @dataclass(frozen=True)
@@ -35,50 +38,99 @@ class EffectFit:
     rounds: DataFrame | None = None
 
 
-def _keep(df: DataFrame) -> DataFrame:
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+@dataclass
+class Fit:
+    """The numbers of one fit that the driver keeps."""
+
+    key: tuple
+    at: dict[str, float]
+    sweeps: int = 0
+    converged: bool = False
+    trail: list[dict[str, float]] = field(default_factory=list)
+
+    def extrapolate(self, names: tuple[str, ...]) -> None:
+        """Jump along the geometric tail of the last three values of positive parameters."""
+        self.trail = [*self.trail, {n: math.log(self.at[n]) for n in names}][-3:]
+        if len(self.trail) < 3 or self.sweeps % EXTRAPOLATE_EVERY:
+            return
+        for n in names:
+            first, second = self.trail[1][n] - self.trail[0][n], self.trail[2][n] - self.trail[1][n]
+            if first and 0 < second / first < 1:
+                ratio = min(second / first, STEEPEST)
+                jump = second * ratio / (1 - ratio)
+                self.at[n] = math.exp(self.trail[2][n] + max(-1.5, min(1.5, jump)))
+        self.trail = []
+
+
+def _known(df: DataFrame, item: str) -> DataFrame:
+    return df.filter(F.col("Worker").isNotNull() & F.col(item).isNotNull())
+
+
+def _numbers(fits: list[Fit], cells: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per fit with its numbers, for joining to the cells."""
+    names = list(fits[0].at)
+    schema = T.StructType([*(cells.schema[k] for k in keys), *(T.StructField(n, T.DoubleType()) for n in names)])
+    return cells.sparkSession.createDataFrame([(*f.key, *(float(f.at[n]) for n in names)) for f in fits], schema)
+
+
+def _block(table: DataFrame, keys: list[str], kind: str, name: str, **values: str) -> DataFrame:
+    """One kind of effect out of the table of a sweep."""
+    return table.filter(F.col("Kind") == kind).select(*keys, F.col("Name").alias(name), *[F.col(c).alias(v) for c, v in values.items()])
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast an effect table only when its counted size is bounded; else let it shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _rows(df: DataFrame, keys: list[str], kind: str, name: str, **values: str) -> DataFrame:
+    """The reverse of _block: rows (keys, Kind, Name, x, old, y, z) of one kind of effect."""
+    columns = [(F.col(values[c]) if c in values else F.lit(None)).cast("double").alias(c) for c in ("x", "old", "y", "z")]
+    return df.select(*keys, F.lit(kind).alias("Kind"), F.col(name).cast("string").alias("Name"), *columns)
 
 
-def _iterate(
-    state: dict[str, DataFrame],
+def _sweeps(
+    table: DataFrame,
+    fits: list[Fit],
+    cells: DataFrame,
     keys: list[str],
-    step: Callable[[dict[str, DataFrame], int], dict[str, DataFrame]],
+    step: Callable[[DataFrame, DataFrame], DataFrame],
+    facts: Callable[[DataFrame, DataFrame], DataFrame],
+    update: Callable[[Fit, list[Any]], bool],
     max_iter: int,
-) -> dict[str, DataFrame]:
-    """Run ``step`` until every fit is done; ``state['scalars']`` carries Done per fit.
-
-    Every step reads and writes reliable checkpoints, so plans stay short and a lost executor
-    costs one step. ``step`` materialises what it returns.
-    """
-    finished: dict[str, list[DataFrame]] = {name: [] for name in state}
-    current = {name: cut_lineage(df) for name, df in state.items()}
-    sizes = {name: df.count() for name, df in current.items()}
+) -> tuple[DataFrame, list[Fit]]:
+    """Sweep until every fit is done. ``step`` gives the next effects, ``facts`` their few numbers, ``update`` takes them in."""
+    table = settle(table)
+    alive, done = list(fits), []
     for number in range(1, max_iter + 1):
-        fresh = step({name: _small(df, sizes[name]) for name, df in current.items()} | {"__sizes": sizes}, number)
-        outcome = {row["Done"]: row["n"] for row in fresh["scalars"].groupBy("Done").agg(F.count("*").alias("n")).collect()}
-        done, alive = outcome.get(True, 0), outcome.get(False, 0)
-        last = number == max_iter or alive == 0
-        if done and not last:
-            leaving = fresh["scalars"].filter("Done").select(*keys)
-            staying = fresh["scalars"].filter("NOT Done").select(*keys)
-            for name, df in fresh.items():
-                finished[name].append(cut_lineage(df.join(leaving, keys, "left_semi")))
-            fresh = {name: cut_lineage(df.join(staying, keys, "left_semi")) for name, df in fresh.items()}
-        current = fresh
-        if last:
+        if not alive:
             break
-    out = {}
-    for name, df in current.items():
-        whole = df
-        for part in finished[name]:
-            whole = whole.unionByName(part)
-        out[name] = whole
-    return out
+        numbers = _numbers(alive, cells, keys)
+        table = settle(step(table, numbers))
+        found: dict[tuple, list] = {}
+        for row in facts(table, numbers).collect():
+            found.setdefault(tuple(row[k] for k in keys), []).append(row)
+        leaving = []
+        for fit in alive:
+            fit.sweeps = number
+            fit.converged = update(fit, found[fit.key])
+            if fit.converged or number == max_iter:
+                leaving.append(fit)
+        if leaving:
+            done.append(table.join(_numbers(leaving, cells, keys).select(*keys), keys, "left_semi"))
+            alive = [f for f in alive if f not in leaving]
+    whole = done[0] if done else table.limit(0)
+    for part in done[1:]:
+        whole = whole.unionByName(part)
+    return whole, fits
+
+
+def _health(fits: list[Fit], cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbers of every fit with its sweeps and whether it converged."""
+    names = list(fits[0].at) if fits else []
+    schema = T.StructType(
+        [*(cells.schema[k] for k in keys), *(T.StructField(n, T.DoubleType()) for n in names), T.StructField("Iterations", T.IntegerType()), T.StructField("Converged", T.BooleanType())]
+    )
+    return cells.sparkSession.createDataFrame([(*f.key, *(float(f.at[n]) for n in names), f.sweeps, f.converged) for f in fits], schema)
+
+
+def _fits(rows: DataFrame, keys: list[str], names: list[str]) -> list[Fit]:
+    return [Fit(tuple(r[k] for k in keys), {n: float(r[n]) for n in names}) for r in rows.collect()]
 
 
 def time_cells(df: DataFrame, keys: list[str], weight: Column, item: str) -> DataFrame:
@@ -95,193 +147,120 @@ def time_cells(df: DataFrame, keys: list[str], weight: Column, item: str) -> Dat
     )
 
 
-def _merge(fits: list[EffectFit]) -> EffectFit:
-    """One fit from the small and large parts."""
-    if len(fits) == 1:
-        return fits[0]
-    a, b = fits
-    return EffectFit(
-        a.workers.unionByName(b.workers),
-        a.items.unionByName(b.items),
-        a.health.unionByName(b.health),
-        a.rounds.unionByName(b.rounds) if a.rounds is not None else None,
-    )
-
-
-def fit_two_way(
-    df: DataFrame, keys: list[str], item: str = "Item", max_iter: int = 100, tol: float = 1e-8, cell_limit: int | None = None
-) -> EffectFit:
+def fit_two_way(df: DataFrame, keys: list[str], item: str = "Item", max_iter: int = 100, tol: float = 1e-8) -> EffectFit:
     """Alternating least squares for intercept, worker and item effects."""
     quantity = F.greatest(F.coalesce("Qty", F.lit(1.0)), F.lit(1.0))
-    small, large = C.split_by_size(cut_lineage(time_cells(df, keys, F.sqrt(quantity), item)), keys, cell_limit)
-    parts = []
-    if not small.isEmpty():
-        solved = C.run_small(small, keys, C.two_way(max_iter, tol))
-        scalars = C.scalars_of(solved, keys, ["mu", "Records", "Iterations", "Converged"])
-        parts.append(
-            EffectFit(
-                C.effects_of(solved, keys, "worker", "Worker", "WorkerEffect"),
-                C.effects_of(solved, keys, "item", "ItemKey", "ItemEffect"),
-                scalars.select(*keys, F.col("mu").alias("Intercept"), F.col("Records").cast("bigint").alias("Records"), F.col("Iterations").cast("int").alias("Iterations"), (F.col("Converged") == 1).alias("Converged")),
-            )
+    cells = settle(time_cells(_known(df, item), keys, F.sqrt(quantity), item))
+    totals = cells.groupBy(*keys).agg((F.sum("y") / F.sum("n")).alias("mu"), F.sum("n").alias("Records"))
+    fits = _fits(totals, keys, ["mu", "Records"])
+    start = _rows(cells.select(*keys, "ItemKey").distinct().withColumn("v", F.lit(0.0)), keys, "item", "ItemKey", x="v")
+    start = start.unionByName(_rows(cells.select(*keys, "Worker").distinct().withColumn("u", F.lit(0.0)), keys, "worker", "Worker", x="u"))
+
+    def step(table: DataFrame, numbers: DataFrame) -> DataFrame:
+        here = cells.join(numbers.select(*keys, "mu"), keys)
+        level = here.join(_block(table, keys, "item", "ItemKey", x="v"), [*keys, "ItemKey"])
+        workers = level.groupBy(*keys, "Worker").agg((F.sum(F.col("wy") - F.col("w") * (F.col("mu") + F.col("v"))) / F.sum("w")).alias("u"))
+        workers = workers.join(_block(table, keys, "worker", "Worker", x="u_old"), [*keys, "Worker"])
+        rest = here.join(workers, [*keys, "Worker"]).groupBy(*keys, "ItemKey").agg(
+            F.sum(F.col("wy") - F.col("w") * F.col("u")).alias("left"), F.sum("w").alias("w"), F.max("mu").alias("mu")
         )
-    if not large.isEmpty():
-        parts.append(_two_way_loop(_keep(large), keys, max_iter, tol))
-    return _merge(parts)
-
-
-def _two_way_loop(cells: DataFrame, keys: list[str], max_iter: int, tol: float) -> EffectFit:
-    totals = cells.groupBy(*keys).agg(
-        (F.sum("y") / F.sum("n")).alias("mu"), F.sum("n").alias("Records"), F.lit(0).alias("Iterations"),
-        F.lit(False).alias("Done"), F.lit(False).alias("Converged"),
-    )
-    state = {
-        "workers": cells.select(*keys, "Worker").distinct().withColumn("u", F.lit(0.0)),
-        "items": cells.select(*keys, "ItemKey").distinct().withColumn("v", F.lit(0.0)),
-        "scalars": totals,
-    }
-
-    def step(now: dict[str, DataFrame], number: int) -> dict[str, DataFrame]:
-        scalars = now["scalars"].select(*keys, "mu")
-        base = cells.join(scalars, keys).join(now["items"], [*keys, "ItemKey"])
-        workers = base.groupBy(*keys, "Worker").agg((F.sum(F.col("wy") - F.col("w") * (F.col("mu") + F.col("v"))) / F.sum("w")).alias("u"))
-        workers = cut_lineage(workers)
-        fitted = cells.join(scalars, keys).join(_small(workers, now["__sizes"]["workers"]), [*keys, "Worker"])
-        items = fitted.groupBy(*keys, "ItemKey").agg(
-            (F.sum(F.col("wy") - F.col("w") * (F.col("mu") + F.col("u"))) / F.sum("w")).alias("v"),
-            F.sum(F.col("wy") - F.col("w") * F.col("u")).alias("left"),
-            F.sum("w").alias("w"),
+        items = rest.withColumn("v", F.col("left") / F.col("w") - F.col("mu")).join(_block(table, keys, "item", "ItemKey", x="v_old"), [*keys, "ItemKey"])
+        middle = items.groupBy(*keys).agg((F.sum(F.col("left") - F.col("w") * F.col("v")) / F.sum("w")).alias("m")).withColumn("Name", F.lit(""))
+        return (
+            _rows(workers, keys, "worker", "Worker", x="u", old="u_old")
+            .unionByName(_rows(items, keys, "item", "ItemKey", x="v", old="v_old"))
+            .unionByName(_rows(middle, keys, "mu", "Name", x="m"))
         )
-        items = cut_lineage(items)
-        moved_u = _largest_move(workers, now["workers"], keys, "Worker", "u")
-        moved_v = _largest_move(items.select(*keys, "ItemKey", "v"), now["items"], keys, "ItemKey", "v")
-        centre = items.groupBy(*keys).agg((F.sum(F.col("left") - F.col("w") * F.col("v")) / F.sum("w")).alias("mu_new"))
-        out = now["scalars"].join(centre, keys).join(moved_u, keys).join(moved_v, keys)
-        delta = F.greatest(F.abs(F.col("mu_new") - F.col("mu")), F.col("move_u"), F.col("move_v"))
-        out = out.select(
-            *keys, F.col("mu_new").alias("mu"), "Records", F.lit(number).alias("Iterations"),
-            (delta < tol).alias("Done"), (delta < tol).alias("Converged"),
-        )
-        return {"workers": workers, "items": items.select(*keys, "ItemKey", "v"), "scalars": cut_lineage(out)}
-
-    final = _iterate(state, keys, step, max_iter)
-    cells.unpersist()
-    return EffectFit(
-        final["workers"].withColumnRenamed("u", "WorkerEffect"),
-        final["items"].withColumnsRenamed({"v": "ItemEffect"}),
-        final["scalars"].withColumnRenamed("mu", "Intercept").drop("Done"),
-    )
 
+    def facts(table: DataFrame, numbers: DataFrame) -> DataFrame:
+        return table.groupBy(*keys, "Kind").agg(F.max(F.abs(F.col("x") - F.col("old"))).alias("move"), F.max("x").alias("x"))
 
-def _largest_move(new: DataFrame, old: DataFrame, keys: list[str], entity: str, value: str) -> DataFrame:
-    before = old.select(*keys, entity, F.col(value).alias("__old"))
-    joined = new.join(before, [*keys, entity])
-    return joined.groupBy(*keys).agg(F.max(F.abs(F.col(value) - F.col("__old"))).alias(f"move_{value}"))
+    def update(fit: Fit, rows: list[Any]) -> bool:
+        by = {r["Kind"]: r for r in rows}
+        moved = max(by["worker"]["move"], by["item"]["move"], abs(by["mu"]["x"] - fit.at["mu"]))
+        fit.at["mu"] = by["mu"]["x"]
+        return moved < tol
 
+    final, fits = _sweeps(start, fits, cells, keys, step, facts, update, max_iter)
+    health = _health(fits, cells, keys).withColumn("Records", F.col("Records").cast("bigint")).withColumnRenamed("mu", "Intercept")
+    return EffectFit(_block(final, keys, "worker", "Worker", x="WorkerEffect"), _block(final, keys, "item", "ItemKey", x="ItemEffect"), health)
 
-def fit_time_em(
-    df: DataFrame, keys: list[str], item: str = "Item", max_iter: int = 500, tol: float = 1e-7, cell_limit: int | None = None
-) -> EffectFit:
+
+def fit_time_em(df: DataFrame, keys: list[str], item: str = "Item", max_iter: int = 500, tol: float = 1e-7) -> EffectFit:
     """Gaussian random-worker, fixed-item EM on log time with exact marginal likelihood."""
     assert_none(df.filter("LogTime IS NULL OR isnan(LogTime) OR Qty <= 0"), "Time model requires finite times and positive quantities")
-    raw = cut_lineage(time_cells(df, keys, F.sqrt("Qty"), item))
+    raw = cut_lineage(time_cells(_known(df, item), keys, F.sqrt("Qty"), item))
     mean_w = raw.groupBy(*keys).agg((F.sum("w") / F.sum("n")).alias("m"))
-    cells = raw.join(mean_w, keys).select(
-        *keys, "Worker", "ItemKey", "n", (F.col("w") / F.col("m")).alias("w"), (F.col("wy") / F.col("m")).alias("wy"),
-        (F.col("wyy") / F.col("m")).alias("wyy"), (F.col("lnw") - F.col("n") * F.ln("m")).alias("lnw"), "y", "yy",
-    )
-    small, large = C.split_by_size(cells, keys, cell_limit)
-    parts = []
-    if not small.isEmpty():
-        solved = C.run_small(small, keys, C.time_em(max_iter, tol))
-        names = ["mu", "s2", "t2", "ll", "Iterations", "Converged", "Records", "Items"]
-        scalars = C.scalars_of(solved, keys, names).withColumns(
-            {"Converged": F.col("Converged") == 1, "Records": F.col("Records").cast("bigint"), "Iterations": F.col("Iterations").cast("int")}
+    cells = settle(
+        raw.join(mean_w, keys).select(
+            *keys, "Worker", "ItemKey", "n", (F.col("w") / F.col("m")).alias("w"), (F.col("wy") / F.col("m")).alias("wy"),
+            (F.col("wyy") / F.col("m")).alias("wyy"), (F.col("lnw") - F.col("n") * F.ln("m")).alias("lnw"), "y", "yy",
         )
-        final = {
-            "workers": C.effects_of(solved, keys, "worker", "Worker", "a", "ww").join(
-                C.effects_of(solved, keys, "records", "Worker", "WorkerRecords"), [*keys, "Worker"]
-            ).withColumn("WorkerRecords", F.col("WorkerRecords").cast("bigint")),
-            "items": C.effects_of(solved, keys, "item", "ItemKey", "v", "iw"),
-            "scalars": scalars,
-        }
-        parts.append(EffectFit(*_time_results(final, keys)))
-    if not large.isEmpty():
-        parts.append(_time_em_loop(_keep(large), keys, max_iter, tol))
-    return _merge(parts)
-
-
-def _time_em_loop(cells: DataFrame, keys: list[str], max_iter: int, tol: float) -> EffectFit:
-    fixed = cells.groupBy(*keys).agg(
-        F.sum("n").alias("Records"), F.sum("lnw").alias("lnw"), F.sum("w").alias("wsum"), F.sum("wy").alias("wysum"),
-        F.sum("wyy").alias("wyysum"), (F.sum("yy") - F.sum("y") * F.sum("y") / F.sum("n")).alias("sst"), F.count_distinct("ItemKey").alias("Items"),
     )
-    mean = F.col("wysum") / F.col("wsum")
-    sigma = F.greatest(F.col("wyysum") / F.col("wsum") - mean * mean, F.lit(1e-8))
-    scalars = fixed.select(
-        *keys, "Records", "lnw", "sst", "Items", mean.alias("mu"), sigma.alias("s2"), F.greatest(sigma * 0.1, F.lit(1e-8)).alias("t2"),
-        F.lit(float("-inf")).alias("ll"), F.lit(0).alias("Iterations"), F.lit(False).alias("Done"), F.lit(False).alias("Converged"),
+    mean = F.sum("wy") / F.sum("w")
+    sigma = F.greatest(F.sum("wyy") / F.sum("w") - mean * mean, F.lit(1e-8))
+    totals = cells.groupBy(*keys).agg(
+        mean.alias("mu"), sigma.alias("s2"), F.greatest(sigma * 0.1, F.lit(1e-8)).alias("t2"), F.lit(float("-inf")).alias("ll"),
+        F.sum("n").alias("Records"), F.sum("lnw").alias("lnw"), F.count_distinct("ItemKey").alias("Items"),
     )
-    by_worker = cells.join(scalars.select(*keys, "mu"), keys).groupBy(*keys, "Worker").agg(
-        F.sum("w").alias("ww"), F.sum(F.col("wy") - F.col("w") * F.col("mu")).alias("a"), F.sum("n").alias("WorkerRecords"),
-    ).withColumns({"u": F.lit(0.0), "pv": F.lit(0.0)})
-    items = cells.groupBy(*keys, "ItemKey").agg(F.sum("w").alias("iw")).withColumn("v", F.lit(0.0))
-
-    def step(now: dict[str, DataFrame], number: int) -> dict[str, DataFrame]:
-        prior = now["scalars"].select(*keys, "s2", "t2")
-        # E: posterior of each worker from the residual totals carried with it.
-        pv = 1 / (1 / F.col("t2") + F.col("ww") / F.col("s2"))
-        expected = now["workers"].join(prior, keys).select(
-            *keys, "Worker", "ww", "WorkerRecords", pv.alias("pv"), (pv * F.col("a") / F.col("s2")).alias("u")
-        )
-        expected = _small(expected, now["__sizes"]["workers"])
-        # M: item means, recentred by the weighted intercept.
-        raw_items = cut_lineage(
-            cells.join(expected.select(*keys, "Worker", "u"), [*keys, "Worker"])
-            .groupBy(*keys, "ItemKey")
-            .agg((F.sum(F.col("wy") - F.col("w") * F.col("u")) / F.sum("w")).alias("raw"), F.sum("w").alias("iw"))
+    fits = _fits(totals, keys, ["mu", "s2", "t2", "ll", "Records", "lnw", "Items"])
+    centre = cells.groupBy(*keys).agg(mean.alias("mu"))
+    by_worker = cells.join(centre, keys).groupBy(*keys, "Worker").agg(F.sum("w").alias("ww"), F.sum(F.col("wy") - F.col("w") * F.col("mu")).alias("a"), F.sum("n").alias("k"))
+    records = cut_lineage(by_worker.select(*keys, "Worker", F.col("k").cast("bigint").alias("WorkerRecords")))
+    start = _rows(by_worker, keys, "worker", "Worker", x="a", z="ww")
+
+    def step(table: DataFrame, numbers: DataFrame) -> DataFrame:
+        prior = numbers.select(*keys, "s2", "t2")
+        expected = _block(table, keys, "worker", "Worker", x="a", z="ww").join(prior, keys)
+        expected = expected.select(*keys, "Worker", "ww", (F.col("a") / F.col("s2") / (1 / F.col("t2") + F.col("ww") / F.col("s2"))).alias("u"))
+        items = cells.join(expected, [*keys, "Worker"]).groupBy(*keys, "ItemKey").agg(
+            (F.sum(F.col("wy") - F.col("w") * F.col("u")) / F.sum("w")).alias("level"), F.sum("w").alias("iw")
         )
-        centre = raw_items.groupBy(*keys).agg((F.sum(F.col("iw") * F.col("raw")) / F.sum("iw")).alias("mu"))
-        fresh_items = raw_items.join(centre, keys).select(*keys, "ItemKey", "iw", (F.col("raw") - F.col("mu")).alias("v"))
         level = F.col("level")
-        levels = _small(raw_items.select(*keys, "ItemKey", F.col("raw").alias("level")), now["__sizes"]["items"])
-        residual = cells.join(levels, [*keys, "ItemKey"]).groupBy(*keys, "Worker").agg(
-            F.sum(F.col("wy") - F.col("w") * level).alias("a"),
-            F.sum(F.col("wyy") - 2 * F.col("wy") * level + F.col("w") * level * level).alias("q"),
-        )
-        workers = cut_lineage(residual.join(expected, [*keys, "Worker"]))
-        u, ww = F.col("u"), F.col("ww")
-        moments = workers.groupBy(*keys).agg(
-            F.sum(F.col("q") - 2 * u * F.col("a") + u * u * ww + ww * F.col("pv")).alias("rss"), F.avg(u * u + F.col("pv")).alias("tau")
-        )
-        wide = now["scalars"].drop("mu", "s2", "t2").withColumnRenamed("ll", "old").join(centre, keys).join(moments, keys)
-        wide = wide.withColumns(
-            {"s2": F.greatest(F.col("rss") / F.col("Records"), F.lit(1e-10)), "t2": F.greatest(F.col("tau"), F.lit(1e-10))}
-        ).drop("rss", "tau")
-        s2, t2 = F.col("s2"), F.col("t2")
-        marginal = workers.join(wide.select(*keys, "s2", "t2"), keys).groupBy(*keys).agg(
-            F.sum(F.log1p(t2 * ww / s2)).alias("ld"),
-            F.sum(F.col("q") / s2 - t2 * F.col("a") * F.col("a") / (s2 * (s2 + t2 * ww))).alias("quad"),
+        residual = cells.join(items.select(*keys, "ItemKey", "level"), [*keys, "ItemKey"]).groupBy(*keys, "Worker").agg(
+            F.sum(F.col("wy") - F.col("w") * level).alias("a"), F.sum(F.col("wyy") - 2 * F.col("wy") * level + F.col("w") * level * level).alias("q")
         )
-        logdet = F.col("Records") * F.ln(s2) - F.col("lnw") + F.col("ld")
-        ll = -0.5 * (F.col("Records") * F.ln(2 * F.pi()) + logdet + F.col("quad"))
-        out = wide.join(marginal, keys).withColumn("ll", ll)
-        stop = (F.abs(F.col("ll") - F.col("old")) <= tol * (1 + F.abs("old"))) if number > 2 else F.lit(False)
-        out = out.select(
-            *keys, "Records", "lnw", "sst", "Items", "mu", "s2", "t2", "ll", F.lit(number).alias("Iterations"),
-            stop.alias("Done"), stop.alias("Converged"),
+        workers = residual.join(expected, [*keys, "Worker"])
+        return _rows(workers, keys, "worker", "Worker", x="a", old="u", y="q", z="ww").unionByName(_rows(items, keys, "item", "ItemKey", x="level", z="iw"))
+
+    def facts(table: DataFrame, numbers: DataFrame) -> DataFrame:
+        s2, t2, u, a, q, ww = (F.col(c) for c in ("s2", "t2", "old", "x", "y", "z"))
+        pv = 1 / (1 / t2 + ww / s2)
+        worker = F.col("Kind") == "worker"
+        return table.join(numbers.select(*keys, "s2", "t2"), keys).groupBy(*keys).agg(
+            F.sum(F.when(worker, q - 2 * u * a + u * u * ww + ww * pv)).alias("rss"),
+            F.avg(F.when(worker, u * u + pv)).alias("tau"),
+            F.sum(F.when(worker, F.log1p(t2 * ww / s2))).alias("ld"),
+            F.sum(F.when(worker, q / s2 - t2 * a * a / (s2 * (s2 + t2 * ww)))).alias("quad"),
+            (F.sum(F.when(~worker, ww * a)) / F.sum(F.when(~worker, ww))).alias("mu"),
         )
-        return {
-            "workers": workers.select(*keys, "Worker", "ww", "a", "WorkerRecords", "u", "pv", "q"),
-            "items": fresh_items,
-            "scalars": cut_lineage(out),
-        }
-
-    final = _iterate(
-        {"workers": by_worker.withColumn("q", F.lit(0.0)), "items": items, "scalars": scalars}, keys, step, max_iter
-    )
-    cells.unpersist()
-    return EffectFit(*_time_results(final, keys))
+
+    def likelihood(at: dict[str, float], row: Any) -> float:
+        logdet = at["Records"] * math.log(at["s2"]) - at["lnw"] + row["ld"]
+        return -0.5 * (at["Records"] * math.log(2 * math.pi) + logdet + row["quad"])
+
+    def update(fit: Fit, rows: list[Any]) -> bool:
+        row = rows[0]
+        old, fit.at["ll"] = fit.at["ll"], likelihood(fit.at, row)  # at the variances this sweep started from
+        fit.at["mu"] = row["mu"]
+        fit.at["s2"], fit.at["t2"] = max(row["rss"] / fit.at["Records"], 1e-10), max(row["tau"], 1e-10)
+        if fit.sweeps > 2 and abs(fit.at["ll"] - old) <= tol * (1 + abs(old)):
+            return True
+        fit.extrapolate(("s2", "t2"))
+        return False
+
+    final, fits = _sweeps(start, fits, cells, keys, step, facts, update, max_iter)
+    for row in facts(final, _numbers(fits, cells, keys)).collect() if fits else []:
+        fit = next(f for f in fits if f.key == tuple(row[k] for k in keys))
+        fit.at["ll"] = likelihood(fit.at, row)
+    health = _health(fits, cells, keys)
+    levels = _block(final, keys, "item", "ItemKey", x="level", z="iw").join(health.select(*keys, "mu"), keys)
+    results = {
+        "workers": _block(final, keys, "worker", "Worker", x="a", z="ww").join(records, [*keys, "Worker"]),
+        "items": levels.select(*keys, "ItemKey", (F.col("level") - F.col("mu")).alias("v"), "iw"),
+        "scalars": health.withColumns({"Records": F.col("Records").cast("bigint"), "Items": F.col("Items").cast("bigint")}),
+    }
+    return EffectFit(*_time_results(results, keys))
 
 
 def _time_results(final: dict[str, DataFrame], keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -351,191 +330,137 @@ def logit_cells(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def fit_crossed_logit(
-    df: DataFrame,
-    keys: list[str],
-    shrink: Shrinkage = Shrinkage(),
-    max_iter: int = 1000,
-    tol: float = 1e-5,
-    cell_limit: int | None = None,
-) -> EffectFit:
+def fit_crossed_logit(df: DataFrame, keys: list[str], shrink: Shrinkage = Shrinkage(), max_iter: int = 1000, tol: float = 1e-5) -> EffectFit:
     """Binomial logit with worker, group and round effects.
 
-    Each iteration linearises the likelihood once, then updates intercept, workers, groups
-    and rounds in that order. Adaptive shrinkage re-estimates the variances as mean squared
-    effects. With a fixed penalty the result is the ridge optimum; shifting a block's mean
-    into the intercept leaves the likelihood unchanged, so that direction is solved exactly.
+    A sweep linearises the likelihood once and updates workers, groups, rounds and the intercept in turn. Adaptive
+    shrinkage re-estimates the variances as mean squared effects. With a fixed penalty the result is the ridge optimum;
+    shifting a block's mean into the intercept leaves the likelihood unchanged, so that direction is solved exactly.
     """
     extra = [shrink.penalty] if shrink.penalty else []
-    source = df if shrink.use_workers else df.withColumn("Worker", F.lit("*"))
+    source = _known(df if shrink.use_workers else df.withColumn("Worker", F.lit("*")), "SizeAdjustedGroup")
     cells = logit_cells(source, [*keys, *extra])
     if shrink.use_workers and shrink.adaptive:
         size = cells.groupBy(*keys).agg(
             F.sum("obs").alias("rows"), F.count_distinct("Worker").alias("nw"), F.count_distinct("ItemKey").alias("ng")
         )
         cells = cells.join(size.filter("rows >= 2 AND nw >= 2 AND ng >= 2").select(*keys), keys, "left_semi")
-    cells = cut_lineage(cells)
+    cells = settle(cells)
     evidence = {
         name: cut_lineage(cells.groupBy(*keys, entity).agg(F.sum("obs").alias("EvidenceN")))
         for name, entity in (("workers", "Worker"), ("items", "ItemKey"), ("rounds", "RoundNo"))
     }
-    small, large = C.split_by_size(cells, keys, cell_limit)
-    parts = []
-    if not small.isEmpty():
-        solver = C.crossed_logit(shrink.adaptive, shrink.penalty, shrink.intercept, shrink.use_workers, max_iter, tol)
-        solved = C.run_small(small, keys, solver)
-        names = ["mu", "tw", "tg", "Delta", "Iterations", "Converged", "Observations"]
-        parts.append(
-            {
-                "workers": C.effects_of(solved, keys, "worker", "Worker", "u"),
-                "items": C.effects_of(solved, keys, "item", "ItemKey", "v"),
-                "rounds": C.effects_of(solved, keys, "round", "RoundNo", "r").withColumn("RoundNo", F.col("RoundNo").cast("bigint")),
-                "scalars": C.scalars_of(solved, keys, names).withColumns(
-                    {"Converged": F.col("Converged") == 1, "Iterations": F.col("Iterations").cast("int"), "Observations": F.col("Observations").cast("bigint")}
-                ),
-            }
-        )
-    if not large.isEmpty():
-        parts.append(_logit_loop(_keep(large), keys, extra, shrink, max_iter, tol))
-    if not parts:
-        parts.append(_logit_state(cells, keys, extra, shrink))
-    return _logit_results(parts, keys, evidence)
-
-
-def _logit_state(cells: DataFrame, keys: list[str], extra: list[str], shrink: Shrinkage) -> dict[str, DataFrame]:
-    rate = clip(F.sum("y") / F.sum("n"), 1e-8, 1 - 1e-8)
-    if not shrink.adaptive:
-        rate = (F.sum("y") + 0.5) / (F.sum("n") + 1)
-    scalars = cells.groupBy(*keys).agg(
-        F.ln(rate / (1 - rate)).alias("mu"),
-        (1 / F.max(shrink.penalty) if extra else F.lit(0.5)).alias("tw"),
-        (1 / F.max(shrink.penalty) if extra else F.lit(0.5)).alias("tg"),
-        F.sum("obs").alias("Observations"),
-        F.min("RoundNo").alias("r0"),
-    ).withColumns({"Delta": F.lit(None).cast("double"), "Iterations": F.lit(0), "Done": F.lit(False), "Converged": F.lit(False)})
-    return {
-        "workers": cells.select(*keys, "Worker").distinct().withColumn("u", F.lit(0.0)),
-        "items": cells.select(*keys, "ItemKey").distinct().withColumn("v", F.lit(0.0)),
-        "rounds": cells.select(*keys, "RoundNo").distinct().withColumn("r", F.lit(0.0)),
-        "scalars": scalars,
-    }
-
-
-def _logit_loop(
-    cells: DataFrame, keys: list[str], extra: list[str], shrink: Shrinkage, max_iter: int, tol: float
-) -> dict[str, DataFrame]:
-    final = _iterate(_logit_state(cells, keys, extra, shrink), keys, _logit_step(cells.drop(*extra), keys, shrink, tol), max_iter)
-    cells.unpersist()
-    return final
-
-
-def _logit_results(parts: list[dict[str, DataFrame]], keys: list[str], evidence: dict[str, DataFrame]) -> EffectFit:
-    wanted = [*keys, "mu", "tw", "tg", "Delta", "Iterations", "Converged", "Observations"]
-    final = {name: df.select(*wanted) if name == "scalars" else df for name, df in parts[0].items()}
-    for part in parts[1:]:
-        final = {name: df.unionByName(part[name].select(*wanted) if name == "scalars" else part[name]) for name, df in final.items()}
-    p_ref = logistic(F.col("mu") + F.col("v"))
-    effects = final["items"].join(final["scalars"].select(*keys, "mu", "Converged"), keys)
-    groups = effects.join(evidence["items"], [*keys, "ItemKey"]).select(
-        *keys, "ItemKey", F.col("v").alias("ItemEffect"), p_ref.alias("ReferencePass"), (10 * (1 - p_ref)).alias("Difficulty"),
-        "EvidenceN", "Converged",
-    )
-    health = final["scalars"].select(
-        *keys, F.col("mu").alias("Intercept"), "Observations", "Iterations", "Delta", "Converged", F.col("tw").alias("WorkerVariance"),
-        F.col("tg").alias("GroupVariance"),
-    )
-    return EffectFit(
-        final["workers"].join(evidence["workers"], [*keys, "Worker"]).withColumnRenamed("u", "WorkerEffect"),
-        groups,
-        health,
-        final["rounds"].join(evidence["rounds"], [*keys, "RoundNo"]).withColumnRenamed("r", "RoundEffect"),
+    rate = clip(F.sum("y") / F.sum("n"), 1e-8, 1 - 1e-8) if shrink.adaptive else (F.sum("y") + 0.5) / (F.sum("n") + 1)
+    spread = 1 / F.max(shrink.penalty) if extra else F.lit(0.5)
+    totals = cells.groupBy(*keys).agg(
+        F.ln(rate / (1 - rate)).alias("mu"), spread.alias("tw"), spread.alias("tg"), F.sum("obs").alias("Observations"), F.min("RoundNo").alias("r0"),
+        F.lit(0.0).alias("cu"), F.lit(0.0).alias("cv"), F.lit(float("inf")).alias("Delta"),
     )
-
-
-def _logit_step(cells: DataFrame, keys: list[str], shrink: Shrinkage, tol: float):
-    def step(now: dict[str, DataFrame], number: int) -> dict[str, DataFrame]:
-        scalars, sizes = now["scalars"], now["__sizes"]
+    fits = _fits(totals, keys, ["mu", "tw", "tg", "Observations", "r0", "cu", "cv", "Delta"])
+    entities = (("worker", "Worker"), ("item", "ItemKey"), ("round", "RoundNo"))
+    start = None
+    for kind, entity in entities:
+        block = _rows(cells.select(*keys, entity).distinct().withColumn("x", F.lit(0.0)), keys, kind, entity, x="x")
+        start = block if start is None else start.unionByName(block)
+    final, fits = _sweeps(start, fits, cells, keys, _logit_step(cells.drop(*extra), keys, shrink), _logit_facts(keys), _logit_update(shrink, tol), max_iter)
+    return _logit_results(final, _health(fits, cells, keys) if fits else _health([], cells, keys).select(*keys, *[F.lit(0.0).alias(n) for n in ("mu", "tw", "tg", "Observations", "r0", "cu", "cv", "Delta")], "Iterations", "Converged"), keys, evidence)
+
+
+def _logit_step(cells: DataFrame, keys: list[str], shrink: Shrinkage):
+    def step(table: DataFrame, numbers: DataFrame) -> DataFrame:
+        scalars = numbers.select(*keys, "mu", "tw", "tg", "r0", "cu", "cv")
         base = (
-            cells.join(scalars.select(*keys, "mu"), keys)
-            .join(now["items"].select(*keys, "ItemKey", "v"), [*keys, "ItemKey"])
-            .join(now["rounds"].select(*keys, "RoundNo", "r"), [*keys, "RoundNo"])
-            .join(now["workers"].select(*keys, "Worker", "u"), [*keys, "Worker"])
+            cells.join(scalars, keys)
+            .join(_block(table, keys, "worker", "Worker", x="u"), [*keys, "Worker"])
+            .join(_block(table, keys, "item", "ItemKey", x="v"), [*keys, "ItemKey"])
+            .join(_block(table, keys, "round", "RoundNo", x="r").withColumn("RoundNo", F.col("RoundNo").cast("bigint")), [*keys, "RoundNo"])
+            .withColumns({"u": F.col("u") - F.col("cu"), "v": F.col("v") - F.col("cv")})
         )
         eta = F.col("mu") + F.col("u") + F.col("v") + F.col("r")
         p = logistic(eta)
         weight = F.greatest(F.col("n") * p * (1 - p), F.lit(1e-8))
         target = weight * eta + F.col("y") - F.col("n") * p
-        base = base.select(*keys, "Worker", "ItemKey", "RoundNo", "u", "v", "r", weight.alias("w"), target.alias("s"))
+        base = base.select(*keys, "Worker", "ItemKey", "RoundNo", "mu", "tw", "tg", "r0", "u", "v", "r", weight.alias("w"), target.alias("s"))
         sums = base.groupBy(*keys, "Worker").agg(
-            F.sum("s").alias("s"), F.sum("w").alias("w"), F.sum(F.col("w") * (F.col("v") + F.col("r"))).alias("x"), F.max("u").alias("old"),
-        )
-        centre = sums.groupBy(*keys).agg(
-            (F.sum(F.col("s") - F.col("x") - F.col("old") * F.col("w")) / (F.sum("w") + shrink.intercept)).alias("m")
+            F.sum(F.col("s") - F.col("w") * (F.col("mu") + F.col("v") + F.col("r"))).alias("left"), F.sum("w").alias("w"),
+            F.max("u").alias("u_old"), F.max("tw").alias("tw"),
         )
-        known = centre.join(scalars.select(*keys, "tw", "tg"), keys)
-        if shrink.use_workers:
-            new_u = (F.col("s") - F.col("m") * F.col("w") - F.col("x")) / (F.col("w") + 1 / F.greatest("tw", F.lit(1e-8)))
-        else:
-            new_u = F.lit(0.0)
-        workers = cut_lineage(sums.join(known, keys).select(*keys, "Worker", new_u.alias("u"), "old", "m", "tg"))
-        known = workers.groupBy(*keys).agg(F.max("m").alias("m"), F.max("tg").alias("tg"))
-        grid = cut_lineage(
-            base.drop("u").join(_small(workers.select(*keys, "Worker", "u", "m", "tg"), sizes["workers"]), [*keys, "Worker"])
-            .groupBy(*keys, "ItemKey", "RoundNo")
-            .agg(
-                F.sum("s").alias("s"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("u")).alias("x"), F.max("v").alias("v_old"), F.max("r").alias("r_old"),
-                F.max("m").alias("m"), F.max("tg").alias("tg"),
-            )
+        fresh = F.col("left") / (F.col("w") + 1 / F.greatest("tw", F.lit(1e-8))) if shrink.use_workers else F.lit(0.0)
+        workers = sums.select(*keys, "Worker", fresh.alias("u"), "u_old")
+        grid = base.drop("u").join(workers.select(*keys, "Worker", "u"), [*keys, "Worker"]).groupBy(*keys, "ItemKey", "RoundNo").agg(
+            F.sum(F.col("s") - F.col("w") * F.col("u")).alias("s"), F.sum("w").alias("w"), F.max("v").alias("v_old"), F.max("r").alias("r_old"),
+            F.max("mu").alias("mu"), F.max("tg").alias("tg"), F.max("r0").alias("r0"),
         )
-        left = F.col("s") - F.col("m") * F.col("w") - F.col("x")
-        items = cut_lineage(
-            grid.groupBy(*keys, "ItemKey").agg(
-                (F.sum(left - F.col("w") * F.col("r_old")) / (F.sum("w") + F.max(1 / F.greatest("tg", F.lit(1e-8))))).alias("v"), F.max("v_old").alias("old"),
-            )
+        items = grid.groupBy(*keys, "ItemKey").agg(
+            (F.sum(F.col("s") - F.col("w") * (F.col("mu") + F.col("r_old"))) / (F.sum("w") + F.max(1 / F.greatest("tg", F.lit(1e-8))))).alias("v"), F.max("v_old").alias("v_old"),
         )
         ridge = F.max(1 / F.col("tg")) if not shrink.adaptive else F.lit(1.0)
-        rounds = (
-            grid.join(_small(items.select(*keys, "ItemKey", "v"), sizes["items"]), [*keys, "ItemKey"]).groupBy(*keys, "RoundNo").agg(
-                (F.sum(left - F.col("w") * F.col("v")) / (F.sum("w") + ridge)).alias("r"), F.max("r_old").alias("old")
-            )
+        placed = grid.join(items.select(*keys, "ItemKey", "v"), [*keys, "ItemKey"])
+        free = F.sum(F.col("s") - F.col("w") * (F.col("mu") + F.col("v"))) / (F.sum("w") + ridge)
+        rounds = placed.groupBy(*keys, "RoundNo").agg(
+            F.when(F.col("RoundNo") == F.max("r0"), 0.0).otherwise(free).alias("r"), F.max("r_old").alias("r_old"),
+            F.sum(F.col("s") - F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("w"), F.max("mu").alias("mu"),
         )
-        rounds = cut_lineage(
-            rounds.join(scalars.select(*keys, "r0"), keys).select(
-                *keys, "RoundNo", F.when(F.col("RoundNo") == F.col("r0"), 0.0).otherwise(F.col("r")).alias("r"), "old"
-            )
+        middle = rounds.groupBy(*keys).agg(
+            (F.sum(F.col("s") - F.col("w") * F.col("r")) / (F.sum("w") + shrink.intercept)).alias("m"), F.max("mu").alias("m_old")
+        ).withColumn("Name", F.lit(""))
+        return (
+            _rows(workers, keys, "worker", "Worker", x="u", old="u_old")
+            .unionByName(_rows(items, keys, "item", "ItemKey", x="v", old="v_old"))
+            .unionByName(_rows(rounds, keys, "round", "RoundNo", x="r", old="r_old"))
+            .unionByName(_rows(middle, keys, "mu", "Name", x="m", old="m_old"))
         )
 
-        def facts(table: DataFrame, value: str) -> DataFrame:
-            return table.groupBy(*keys).agg(
-                F.max(F.abs(F.col(value) - F.col("old"))).alias(f"d{value}"), F.avg(F.col(value) * F.col(value)).alias(f"q{value}"), F.avg(value).alias(f"c{value}"),
-            )
+    return step
 
-        wide = scalars.drop("tg").join(known, keys).join(facts(workers, "u"), keys).join(facts(items, "v"), keys).join(facts(rounds, "r"), keys)
-        tw, tg = F.greatest("qu", F.lit(1e-8)), F.greatest("qv", F.lit(1e-8))
-        delta = F.abs(F.col("m") - F.col("mu")) + F.col("du") + F.col("dv") + F.col("dr")
-        if shrink.adaptive:
-            delta = delta + F.abs(tw - F.col("tw")) + F.abs(tg - F.col("tg"))
-        shift = F.lit(0.0) if shrink.adaptive else F.col("cu") + F.col("cv")
-        out = cut_lineage(
-            wide.select(
-                *keys, (F.col("m") + shift).alias("mu"), (tw if shrink.adaptive else F.col("tw")).alias("tw"),
-                (tg if shrink.adaptive else F.col("tg")).alias("tg"), "Observations", "r0", delta.alias("Delta"), F.lit(number).alias("Iterations"),
-                (delta < tol).alias("Done"), (delta < tol).alias("Converged"), "cu", "cv",
-            )
+
+def _logit_facts(keys: list[str]):
+    def facts(table: DataFrame, numbers: DataFrame) -> DataFrame:
+        return table.groupBy(*keys, "Kind").agg(
+            F.max(F.abs(F.col("x") - F.col("old"))).alias("move"), F.avg(F.col("x") * F.col("x")).alias("square"), F.avg("x").alias("mean")
         )
-        workers_out, items_out = workers.select(*keys, "Worker", "u"), items.select(*keys, "ItemKey", "v")
-        if not shrink.adaptive:
-            recentre = out.select(*keys, "cu", "cv")
-            workers_out = workers_out.join(recentre, keys).select(*keys, "Worker", (F.col("u") - F.col("cu")).alias("u"))
-            items_out = items_out.join(recentre, keys).select(*keys, "ItemKey", (F.col("v") - F.col("cv")).alias("v"))
-        return {
-            "workers": workers_out,
-            "items": items_out,
-            "rounds": rounds.select(*keys, "RoundNo", "r"),
-            "scalars": out.drop("cu", "cv"),
-        }
 
-    return step
+    return facts
+
+
+def _logit_update(shrink: Shrinkage, tol: float):
+    def update(fit: Fit, rows: list[Any]) -> bool:
+        by, at = {r["Kind"]: r for r in rows}, fit.at
+        delta = sum(r["move"] for r in rows)
+        at["mu"] = by["mu"]["mean"]
+        if shrink.adaptive:
+            tw, tg = max(by["worker"]["square"], 1e-8), max(by["item"]["square"], 1e-8)
+            delta += abs(tw - at["tw"]) + abs(tg - at["tg"])
+            at["tw"], at["tg"] = tw, tg
+        else:
+            # The next sweep, and the result, take the means off the effects.
+            at["cu"], at["cv"] = by["worker"]["mean"] if shrink.use_workers else 0.0, by["item"]["mean"]
+            at["mu"] += at["cu"] + at["cv"]
+        at["Delta"] = delta
+        if delta < tol:
+            return True
+        if shrink.adaptive:
+            fit.extrapolate(("tw", "tg"))
+        return False
+
+    return update
+
+
+def _logit_results(final: DataFrame, scalars: DataFrame, keys: list[str], evidence: dict[str, DataFrame]) -> EffectFit:
+    p_ref = logistic(F.col("mu") + F.col("v"))
+    known = scalars.select(*keys, "mu", "cu", "cv", "Converged")
+    effects = _block(final, keys, "item", "ItemKey", x="v").join(known, keys).withColumn("v", F.col("v") - F.col("cv"))
+    groups = effects.join(evidence["items"], [*keys, "ItemKey"]).select(
+        *keys, "ItemKey", F.col("v").alias("ItemEffect"), p_ref.alias("ReferencePass"), (10 * (1 - p_ref)).alias("Difficulty"),
+        "EvidenceN", "Converged",
+    )
+    workers = _block(final, keys, "worker", "Worker", x="u").join(known, keys).select(*keys, "Worker", (F.col("u") - F.col("cu")).alias("WorkerEffect"))
+    rounds = _block(final, keys, "round", "RoundNo", x="RoundEffect").withColumn("RoundNo", F.col("RoundNo").cast("bigint"))
+    health = scalars.select(
+        *keys, F.col("mu").alias("Intercept"), F.col("Observations").cast("bigint").alias("Observations"), "Iterations", "Delta", "Converged",
+        F.col("tw").alias("WorkerVariance"), F.col("tg").alias("GroupVariance"),
+    )
+    return EffectFit(workers.join(evidence["workers"], [*keys, "Worker"]), groups, health, rounds.join(evidence["rounds"], [*keys, "RoundNo"]))
 
 
 def predict_logit(df: DataFrame, fit: EffectFit, keys: list[str]) -> DataFrame:

@@ -44,25 +44,64 @@ def test_marginal_likelihood_is_dense_gaussian(times):
         assert h.LogLikelihood == pytest.approx(dense, abs=1e-7)
 
 
-@pytest.mark.parametrize("fitter", ["two_way", "em"])
-def test_distributed_loop_equals_in_task_fit(times, fitter):
+def test_two_way_solves_the_normal_equations(times):
+    df, rows = times
+    fit = E.fit_two_way(df, ["Process"], max_iter=500, tol=1e-12)
+    for h in fit.health.collect():
+        part = [r for r in rows if r[0] == h.Process]
+        names = ["1"] + sorted({"g" + r[2] for r in part}) + sorted({"w" + r[1] for r in part})
+        x = np.array([[float(n in ("1", "g" + r[2], "w" + r[1])) for n in names] for r in part])
+        w = np.sqrt([max(1.0, r[4]) for r in part])
+        y = np.array([r[3] for r in part])
+        dense = x @ np.linalg.lstsq(x * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
+        items = {r.ItemKey: r.ItemEffect for r in fit.items.filter(F.col("Process") == h.Process).collect()}
+        workers = {r.Worker: r.WorkerEffect for r in fit.workers.filter(F.col("Process") == h.Process).collect()}
+        assert h.Converged and max(abs(h.Intercept + items[r[2]] + workers[r[1]] - f) for r, f in zip(part, dense)) < 1e-8
+
+
+def test_time_variances_are_stationary(times):
+    """At the solution neither variance can be moved to a higher marginal likelihood."""
+    df, rows = times
+    fit = E.fit_time_em(df, ["Process"], max_iter=400, tol=1e-13)
+    for h in fit.health.collect():
+        part = [r for r in rows if r[0] == h.Process]
+        w = np.sqrt([r[4] for r in part])
+        w = w / w.mean()
+        items = {r.ItemKey: r.ItemEffect for r in fit.items.filter(F.col("Process") == h.Process).collect()}
+        e = np.array([r[3] - h.Intercept - items[r[2]] for r in part])
+        same = np.array([[a[1] == b[1] for b in part] for a in part])
+
+        def likelihood(s2, t2):
+            cov = np.diag(s2 / w) + t2 * same
+            return -0.5 * (np.linalg.slogdet(cov)[1] + e @ np.linalg.solve(cov, e))
+
+        best = likelihood(h.ResidualVariance, h.WorkerVariance)
+        for k in (0.97, 1.03):
+            assert likelihood(h.ResidualVariance * k, h.WorkerVariance) <= best + 1e-6
+            assert likelihood(h.ResidualVariance, h.WorkerVariance * k) <= best + 1e-4
+
+
+def test_adaptive_logit_is_a_fixed_point(outcomes):
+    df, rows = outcomes
+    fit = E.fit_crossed_logit(df, ["Process"], max_iter=400, tol=1e-9)
+    for h in fit.health.collect():
+        u = {r.Worker: r.WorkerEffect for r in fit.workers.filter(F.col("Process") == h.Process).collect()}
+        v = {r.ItemKey: r.ItemEffect for r in fit.items.filter(F.col("Process") == h.Process).collect()}
+        r_ = {r.RoundNo: r.RoundEffect for r in fit.rounds.filter(F.col("Process") == h.Process).collect()}
+        part = [r for r in rows if r[0] == h.Process]
+        left = [r[4] - r[5] / (1 + np.exp(-(h.Intercept + u[r[1]] + v[r[2]] + r_[r[3]]))) for r in part]
+        assert h.Converged and h.WorkerVariance == pytest.approx(max(1e-8, np.mean(np.square(list(u.values())))), rel=1e-4)
+        assert abs(sum(left)) < 1e-4
+        for name, effect in v.items():
+            assert sum(e for e, r in zip(left, part) if r[2] == name) == pytest.approx(effect / h.GroupVariance, abs=1e-3)
+
+
+def test_rows_without_worker_take_no_part(times):
     df, _ = times
-    run = (lambda limit: E.fit_two_way(df, ["Process"], max_iter=4, cell_limit=limit)) if fitter == "two_way" else (
-        lambda limit: E.fit_time_em(df, ["Process"], max_iter=4, cell_limit=limit)
-    )
-    a, b = run(None), run(0)
-    key = ["Process", "ItemKey"]
-    gap = a.items.join(b.items.withColumnRenamed("ItemEffect", "o"), key).agg(F.max(F.abs(F.col("ItemEffect") - F.col("o"))), F.count("*")).first()
-    assert gap[0] < 1e-10 and gap[1] == a.items.count()
-
-
-@pytest.mark.parametrize("shrink", [E.Shrinkage(), E.Shrinkage("lam", 1e-6)])
-def test_logit_loop_equals_in_task_fit(outcomes, shrink):
-    df, _ = outcomes
-    a = E.fit_crossed_logit(df, ["Process"], shrink, max_iter=3)
-    b = E.fit_crossed_logit(df, ["Process"], shrink, max_iter=3, cell_limit=0)
-    gap = a.workers.join(b.workers.withColumnRenamed("WorkerEffect", "o"), ["Process", "Worker"]).agg(F.max(F.abs(F.col("WorkerEffect") - F.col("o")))).first()
-    assert gap[0] < 1e-10
+    more = df.unionByName(df.limit(3).withColumn("Worker", F.lit(None).cast("string")))
+    a, b = E.fit_two_way(df, ["Process"]), E.fit_two_way(more, ["Process"])
+    gap = a.items.join(b.items.withColumnRenamed("ItemEffect", "o"), ["Process", "ItemKey"]).agg(F.max(F.abs(F.col("ItemEffect") - F.col("o")))).first()
+    assert gap[0] < 1e-9
 
 
 def test_ridge_is_the_penalised_optimum(outcomes):
