@@ -6,7 +6,7 @@ import importlib
 
 from assayer.catalog import registry
 
-MODULES = ("production", "qc", "attribution", "metrics", "structure", "models", "scoring", "bayes_time", "runs_io")
+MODULES = ("production", "qc", "attribution", "metrics", "structure", "models", "scoring", "bayes_time", "runs_io", "details")
 
 
 def _load() -> None:

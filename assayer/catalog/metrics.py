@@ -233,13 +233,13 @@ def z_outliers(inp: Inputs):
 @query(
     f"""
 WITH {SCORE_CTE}, b AS (SELECT *, row_number() OVER (PARTITION BY Process ORDER BY Score DESC, Worker) AS hi, row_number() OVER (PARTITION BY Process ORDER BY Score, Worker) AS lo FROM pair)
-SELECT Process, Worker, Score, 'top' AS "End", CAST(hi AS BIGINT) AS Position FROM b WHERE hi <= 5
-UNION ALL SELECT Process, Worker, Score, 'bottom', CAST(lo AS BIGINT) FROM b WHERE lo <= 5
+SELECT Process, Worker, Score, 'top' AS "End", CAST(hi AS BIGINT) AS Position FROM b WHERE hi <= 50
+UNION ALL SELECT Process, Worker, Score, 'bottom', CAST(lo AS BIGINT) FROM b WHERE lo <= 50
 """,
     ("assignment", "skills"),
 )
 def top_bottom_workers(inp: Inputs):
-    return shown(M.extremes(scores(inp), ["Process"], "Score", "Worker", 5), "Process", "Worker", "Score", "End", "Position")
+    return shown(M.extremes(scores(inp), ["Process"], "Score", "Worker", 50), "Process", "Worker", "Score", "End", "Position")
 
 
 @query(

@@ -190,7 +190,7 @@ def learning_cohort(inp: Inputs):
 def learning_bootstrap(inp: Inputs):
     """Precision and interval of the learning score from resampled histories."""
     rows = cut_lineage(pairs(inp))
-    return shown(L.learning_bootstrap(rows, L.learning_scores(rows), repetitions=40))
+    return shown(L.learning_bootstrap(rows, L.learning_scores(rows), repetitions=200))
 
 
 @query()
@@ -238,7 +238,7 @@ def normal_simulation(inp: Inputs):
     rate = predicted(inp).groupBy("Process", "Branch", "SizeAdjustedGroup").agg(
         F.ln((F.sum("PassQty") + 0.5) / (F.sum("FailQty") + 0.5)).alias("Eta")
     )
-    return shown(S.simulate_quality(info.join(rate, ["Process", "Branch", "SizeAdjustedGroup"]), draws=1024))
+    return shown(S.simulate_quality(info.join(rate, ["Process", "Branch", "SizeAdjustedGroup"]), draws=4096))
 
 
 @query()

@@ -199,9 +199,9 @@ def recovery_trajectory(inp: Inputs):
 @query(
     f"""
 WITH {TICKET_CTE}, {TRAJ_CTE}, g AS (SELECT Process, SizeAdjustedGroup,
-  10 * (1 - sum(CASE WHEN NOT op AND ff > 0 THEN num END) / sum(CASE WHEN NOT op AND ff > 0 THEN ff END)) AS d, avg(CASE WHEN op THEN 1.0 ELSE 0.0 END) AS orate,
-  count(CASE WHEN NOT op AND ff > 0 THEN 1 END) AS n, sum(ff) AS ff, CASE WHEN sum(ff) > 0 THEN sum(num) / sum(ff) END AS pe,
-  CASE WHEN sum(ff) > 0 THEN coalesce(sum(opt * ff), 0) / sum(ff) END AS opt FROM rec3 GROUP BY 1, 2)
+  10 * (1 - sum(CASE WHEN NOT op AND ff > 0 THEN round(num * 100) END) / 100 / sum(CASE WHEN NOT op AND ff > 0 THEN ff END)) AS d, avg(CASE WHEN op THEN 1.0 ELSE 0.0 END) AS orate,
+  count(CASE WHEN NOT op AND ff > 0 THEN 1 END) AS n, sum(ff) AS ff, CASE WHEN sum(ff) > 0 THEN sum(round(num * 100)) / 100 / sum(ff) END AS pe,
+  CASE WHEN sum(ff) > 0 THEN coalesce(sum(round(opt * ff * 100)), 0) / 100 / sum(ff) END AS opt FROM rec3 GROUP BY 1, 2)
 SELECT Process, SizeAdjustedGroup, round(d, 6) AS ObservedRecoveryDifficulty, round(orate, 6) AS OpenWORate, CAST(n AS BIGINT) AS ClosedRecoveryEvidenceN,
   ff AS FirstFailQty, round(pe, 6) AS RecoveryIndexPessimistic, round(opt, 6) AS RecoveryIndexOptimistic, round(10 * (opt - pe), 6) AS RecoverySensitivityRange,
   CASE WHEN 10 * (opt - pe) > 2 THEN 'RecoveryUnstable' WHEN orate <= 0.5 AND 10 * (opt - pe) <= 2 AND d IS NOT NULL THEN 'Pilot Provisional'

@@ -108,12 +108,19 @@ def with_size(df: DataFrame) -> DataFrame:
     marked = rf"(?i)({NUMBER_OR_RANGE}(?:\s*[xX*]\s*{NUMBER_OR_RANGE})*)\s*(?:mm|m\b)"
     unmarked = rf"\b({NUMBER_OR_RANGE}(?:\s*[xX*]\s*{NUMBER_OR_RANGE})+)\b"
     staged = df.withColumn("__text", text)
-    # A secondary size is announced within the fifteen characters before it.
-    pieces = F.split(F.regexp_replace("__text", marked, "\u0001"), "\u0001")
+    # A secondary size is announced within the fifteen characters before it, earlier sizes among them.
+    between, sizes = F.split(F.regexp_replace("__text", marked, "\u0001"), "\u0001"), F.regexp_extract_all("__text", F.lit(marked), F.lit(0))
+    staged = staged.withColumns({"__between": between, "__whole": sizes})
+
+    def before(i: Column) -> Column:
+        passed = F.zip_with(F.slice("__between", F.lit(1), i), F.slice("__whole", F.lit(1), i), lambda a, b: F.concat(a, b))
+        text = F.concat(F.array_join(passed, ""), F.element_at("__between", i + 1))
+        return F.lower(F.right(text, F.lit(15)))
+
     staged = staged.withColumns(
         {
             "__sizes": F.regexp_extract_all("__text", F.lit(marked), F.lit(1)),
-            "__lead": F.transform(pieces, lambda s: F.lower(F.substring(s, -15, 15))),
+            "__lead": F.when(F.size("__whole") > 0, F.transform(F.sequence(F.lit(0), F.size("__whole") - 1), before)).otherwise(F.array().cast("array<string>")),
             "__plain": F.regexp_extract_all("__text", F.lit(unmarked), F.lit(1)),
             "__cut": F.regexp_extract(F.trim("__text"), rf"(?i)({NUMBER})\s*x\s*$", 1),
             "__range": F.regexp_extract(F.trim("__text"), rf"({NUMBER})\s*-\s*(\d+)?\.?$", 1),
@@ -129,7 +136,7 @@ def with_size(df: DataFrame) -> DataFrame:
     fallback = F.array_max(F.transform("__plain", lambda s: candidate(s, F.lit(""))))
     ending = F.coalesce(F.nullif("__cut", F.lit("")), F.nullif("__range", F.lit("")))
     size = F.coalesce(best["mm"], fallback["mm"], F.regexp_replace(ending, ",", ".").cast("double"))
-    return staged.withColumn("MajorSizeMm", size).drop("__text", "__sizes", "__lead", "__plain", "__cut", "__range")
+    return staged.withColumn("MajorSizeMm", size).drop("__text", "__between", "__whole", "__sizes", "__lead", "__plain", "__cut", "__range")
 
 
 def with_scores(df: DataFrame) -> DataFrame:

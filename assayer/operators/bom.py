@@ -74,25 +74,27 @@ def _steps(lines: DataFrame, through_castings: bool) -> DataFrame:
     return usable.groupBy(*CONTEXT, "Node", "Supply").agg(F.sum("Qty").alias("StepQty"))
 
 
-def closure(lines: DataFrame, through_castings: bool = True, max_depth: int = 64) -> DataFrame:
+def closure(lines: DataFrame, through_castings: bool = True, look_after: int = 64) -> DataFrame:
     """(context, Root, Node, Multiplier): every node below a root with its total multiplicity.
 
-    Multiplicities are summed per (root, node) at each level, so shared sub-assemblies never
-    unfold into separate paths. Roots that are still expanding at ``max_depth`` contain a
-    cycle and are re-expanded along guarded paths, with Cyclic set.
+    Multiplicities are summed per (root, node) at each level, so shared sub-assemblies never unfold into separate paths,
+    and levels go on until nothing is left however deep a tree is. What still grows after ``look_after`` levels is looked
+    through for cycles once: roots on or above a cycle leave and are re-expanded along guarded paths, with Cyclic set.
+    The bound only says when to look; deep trees without a cycle simply go on.
     """
     nodes = lines.select(*CONTEXT, "Node").distinct()
     steps = cut_lineage(_steps(lines, through_castings).join(nodes.withColumnRenamed("Node", "Supply"), [*CONTEXT, "Supply"], "left_semi"))
     frontier = nodes.select(*CONTEXT, F.col("Node").alias("Root"), "Node", F.lit(1.0).alias("Multiplier"))
     frontier = cut_lineage(frontier)
-    levels = [frontier]
-    depth = 0
-    while depth < max_depth:
-        depth += 1
+    levels, looping = [frontier], None
+    while True:
         grown = frontier.join(steps, [*CONTEXT, "Node"]).groupBy(*CONTEXT, "Root", F.col("Supply").alias("Node")).agg(
             F.sum(F.col("Multiplier") * F.col("StepQty")).alias("Multiplier")
         )
         frontier = cut_lineage(grown)
+        if not frontier.isEmpty() and looping is None and len(levels) >= look_after:
+            looping = _above_cycles(steps).withColumnRenamed("Node", "Root")
+            frontier = cut_lineage(frontier.join(looping, [*CONTEXT, "Root"], "left_anti"))
         if frontier.isEmpty():
             break
         levels.append(frontier)
@@ -100,9 +102,8 @@ def closure(lines: DataFrame, through_castings: bool = True, max_depth: int = 64
     for level in levels[1:]:
         total = total.unionByName(level)
     total = total.groupBy(*CONTEXT, "Root", "Node").agg(F.sum("Multiplier").alias("Multiplier"))
-    if depth < max_depth:
+    if looping is None:
         return total.withColumn("Cyclic", F.lit(False))
-    looping = cut_lineage(frontier.select(*CONTEXT, "Root").distinct())
     guarded = _guarded_closure(steps, looping)
     return (
         total.join(looping, [*CONTEXT, "Root"], "left_anti")
@@ -111,6 +112,18 @@ def closure(lines: DataFrame, through_castings: bool = True, max_depth: int = 64
     )
 
 
+def _above_cycles(steps: DataFrame) -> DataFrame:
+    """Nodes on a cycle or above one: what is left when steps into nodes without steps are peeled off until none is."""
+    left = cut_lineage(steps.select(*CONTEXT, "Node", "Supply"))
+    rows = left.count()
+    while True:
+        heads = left.select(*CONTEXT, F.col("Node").alias("Supply")).distinct()
+        left = cut_lineage(left.join(heads, [*CONTEXT, "Supply"], "left_semi"))
+        before, rows = rows, left.count()
+        if rows == before:
+            return cut_lineage(left.select(*CONTEXT, "Node").distinct())
+
+
 def _guarded_closure(steps: DataFrame, roots: DataFrame) -> DataFrame:
     """Closure of cyclic roots: a path never revisits a node it already contains."""
     paths = cut_lineage(
@@ -336,8 +349,11 @@ def stone_master(lines: DataFrame) -> DataFrame:
     )
 
 
-def bottom_up_totals(lines: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Independent check: castings, stones and weight of each node from its children upward."""
+def bottom_up_totals(lines: DataFrame) -> DataFrame:
+    """Independent check: castings, stones and weight of each node from its children upward.
+
+    Nodes on or above a cycle never have all children known and get no row; the audit counts them as failures.
+    """
     q = F.col("Qty")
     pcs = F.col("Unit") == "PCS"
     casting = pcs & (F.col("ItemGroup") == CASTING)
@@ -356,9 +372,7 @@ def bottom_up_totals(lines: DataFrame, max_depth: int = 64) -> DataFrame:
     waiting = cut_lineage(own)
     done = cut_lineage(waiting.join(links.select(*CONTEXT, "Node").distinct(), [*CONTEXT, "Node"], "left_anti"))
     waiting = cut_lineage(waiting.join(done.select(*CONTEXT, "Node"), [*CONTEXT, "Node"], "left_anti"))
-    for _ in range(max_depth):
-        if waiting.isEmpty():
-            break
+    while not waiting.isEmpty():
         known = done.select(*CONTEXT, F.col("Node").alias("Supply"), F.col("c").alias("kc"), F.col("s").alias("ks"), F.col("w").alias("kw"))
         sums = links.join(known, [*CONTEXT, "Supply"], "left").groupBy(*CONTEXT, "Node").agg(
             F.bool_and(F.col("kc").isNotNull()).alias("ready"),
@@ -381,7 +395,8 @@ def bottom_up_totals(lines: DataFrame, max_depth: int = 64) -> DataFrame:
 
 def audit(rolled: DataFrame, bottom_up: DataFrame) -> DataFrame:
     """Largest disagreement per metric between the roll-up and the bottom-up totals, and broken invariants."""
-    both = rolled.join(bottom_up, [*CONTEXT, "SemiBom"])
+    # A root that the check could not total, because it is cyclic, counts as checked and failed.
+    both = rolled.join(bottom_up, [*CONTEXT, "SemiBom"], "left")
     pairs = {"CastingCountScenario": "Castings", "StoneCountScenario": "Stones", "KnownStoneWeightGram": "Weight"}
     average = F.abs(F.col("AvgStoneWeightGram") * F.col("StoneCount") - F.col("TotalStoneWeightGram")) > 1e-8
     share = ~F.col("LargestSingleStonePctOfAllStones").between(0, 100.0000001)

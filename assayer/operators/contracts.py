@@ -29,9 +29,14 @@ def assert_unique(df: DataFrame, keys: list[str], source: str) -> DataFrame:
     return df
 
 
-def assert_none(violations: DataFrame, message: str) -> None:
-    if not violations.isEmpty():
-        raise ContractError(message)
+def assert_none(violations: DataFrame, message: str, keys: list[str] | None = None) -> None:
+    """Raise when there is a violation; with ``keys`` the text names the first five of them in order."""
+    if violations.isEmpty():
+        return
+    if keys:
+        first = violations.select(*keys).distinct().orderBy(*keys).limit(5).collect()
+        message = f"{message}: " + "; ".join(" / ".join(str(v) for v in row) for row in first)
+    raise ContractError(message)
 
 
 def assert_functional(df: DataFrame, key: list[str], value: str, message: str) -> DataFrame:

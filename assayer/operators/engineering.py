@@ -215,7 +215,9 @@ def time_cohort(hours: DataFrame, orders: DataFrame, semis: DataFrame) -> DataFr
 
 def legacy_cohort(rows: DataFrame, semis: DataFrame, year: int = 2025) -> DataFrame:
     """Aggregate-hours rows of one calendar year with the first of nine exclusion codes."""
-    source = rows.filter(F.year("RafMonth") == year)
+    # A half-open range on the raw column, so that the predicate reaches the scan.
+    low, high = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (year, year + 1))
+    source = rows.filter((F.col("RafMonth") >= low) & (F.col("RafMonth") < high))
     counts = semis.groupBy("SemiItem").agg(F.count("*").alias("__semis")).withColumnRenamed("SemiItem", "Item")
     side = unambiguous_items(semis).withColumnsRenamed({"SemiItem": "Item", "Process": "CurrentProcess"})
     joined = source.join(counts, "Item", "left").join(side, "Item", "left")

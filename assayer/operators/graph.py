@@ -12,7 +12,7 @@ from assayer.operators.production import GROUP
 from assayer.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, keys: list[str], left: str, right: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
     """(keys, Node, Root): the smallest node label of each node's component.
 
     Alternates two star contractions (hook every larger neighbour, then every smaller one,
@@ -23,7 +23,7 @@ def connected_components(edges: DataFrame, keys: list[str], left: str, right: st
     nodes = edges.select(*keys, F.explode(F.array(left, right)).alias("Node")).distinct()
     links = cut_lineage(pair.filter("a <> b").distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         links = cut_lineage(_hook_smaller(_hook_larger(links, keys), keys))
         state = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*keys, "a", "b")).alias("h")).first()
         if before == (state["n"], state["h"]):

@@ -197,6 +197,11 @@ def flag_outliers(df: DataFrame, keys: list[str], value: str, threshold: float =
     )
 
 
+def ranked_outliers(df: DataFrame, keys: list[str], value: str, tie: str, threshold: float = 2.0) -> DataFrame:
+    """Flagged rows in the order of a report: largest absolute z score first, then keys and tie column."""
+    return flag_outliers(df, keys, value, threshold).filter("Flag").orderBy(F.abs("ZScore").desc(), *keys, tie)
+
+
 def extremes(df: DataFrame, keys: list[str], value: str, tie: str, k: int = 50) -> DataFrame:
     """Top and bottom k per key; the rank limit prunes rows before they are shuffled."""
     top = W.partitionBy(*keys).orderBy(F.col(value).desc(), tie)

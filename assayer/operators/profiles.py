@@ -75,7 +75,7 @@ def mechanical_parts(lines: DataFrame, contexts: DataFrame, check: bool = True)
     rows = matched.filter(F.col("ItemGroup").isin(*MECHANICAL_GROUPS) & (F.col("Unit") == "PCS"))
     if check:
         absent = contexts.select(*keys).join(matched.select(*keys).distinct(), keys, "left_anti")
-        assert_none(absent, "Selected contexts are not found in the BOM lines")
+        assert_none(absent, "Selected contexts are not found in the BOM lines", absent.columns)
         assert_none(rows.filter("Qty IS NULL OR Qty <= 0"), "Usable contexts contain invalid mechanical quantities")
     return rows.groupBy("SemiBom").agg(
         F.sum("Qty").alias("MechanicalPartCount"), F.count_distinct("Component").alias("MechanicalPartSkus")

@@ -45,7 +45,8 @@ NOT_RECONCILED = "Round quantity reconciliation failure"
 BAD_TIMING = "Invalid round timing or reinspected quantity exceeds prior failures"
 OVER_RECOVERED = "Recovered quantity exceeds first fail quantity"
 # Share of a recovered piece that still counts, by the round it passed in.
-RECOVERY_WEIGHTS = {2: 1.0, 3: 0.65, 4: 0.30}
+# Credit of a recovered piece by round, in hundredths, so that totals are whole numbers in any order.
+RECOVERY_WEIGHTS = {2: 100, 3: 65, 4: 30}
 
 
 @dataclass(frozen=True)
@@ -338,14 +339,14 @@ def recovery_trajectories(rounds: DataFrame, cutoff: Column, closed: DataFrame |
         chain = None
         for r, w in RECOVERY_WEIGHTS.items():
             chain = (F.when if chain is None else chain.when)(round_no == r, F.lit(w))
-        return chain.otherwise(0.0)
+        return chain.otherwise(0)
 
     head = [F.min_by(c, "RoundNo").alias(c) for c in ("Item", GROUP, "Process")]
     base = rounds.groupBy("WO").agg(
         *head,
         F.min_by("ReworkQty", "RoundNo").alias("FirstFailQty"),
         F.sum(F.when(later, F.col("PassQty")).otherwise(0.0)).alias("RecoveredQty"),
-        F.sum(F.when(later, F.col("PassQty") * weight_of(F.col("RoundNo"))).otherwise(0.0)).alias("RecoveryNumerator"),
+        (F.sum(F.when(later, F.col("PassQty") * weight_of(F.col("RoundNo"))).otherwise(0.0)) / 100).alias("RecoveryNumerator"),
         F.max("RoundNo").alias("RoundsReached"),
         F.min_by("QcStart", "RoundNo").alias("__start"),
         F.max_by("QcStop", "RoundNo").alias("__stop"),
@@ -360,7 +361,7 @@ def recovery_trajectories(rounds: DataFrame, cutoff: Column, closed: DataFrame |
     )
     pessimistic = F.when(fail > 0, numerator / fail)
     best = F.when(
-        fail > 0, (numerator + F.col("RemainingFailQty") * weight_of(F.col("RoundsReached") + 1)) / fail
+        fail > 0, (numerator + F.col("RemainingFailQty") * weight_of(F.col("RoundsReached") + 1) / 100) / fail
     )
     staged = staged.withColumns(
         {
@@ -388,12 +389,14 @@ def recovery_groups(
     """Group recovery from closed orders, with open-order bounds and a stability flag."""
     fail = F.col("FirstFailQty")
     closed = ~F.col("OpenWO") & (fail > 0)
+    # Whole hundredths again: their totals are exact and do not depend on the order of rows.
+    earned, best = F.round(F.col("RecoveryNumerator") * 100), F.round(F.col("RecoveryIndexOptimistic") * fail * 100)
     sums = trajectories.groupBy("Process", GROUP).agg(
-        F.sum(F.when(closed, F.col("RecoveryNumerator"))).alias("__closed_num"),
+        (F.sum(F.when(closed, earned)) / 100).alias("__closed_num"),
         F.sum(F.when(closed, fail)).alias("__closed_den"),
         F.sum(fail).alias("FirstFailQty"),
-        F.sum("RecoveryNumerator").alias("__num"),
-        F.sum(F.col("RecoveryIndexOptimistic") * fail).alias("__best"),
+        (F.sum(earned) / 100).alias("__num"),
+        (F.sum(best) / 100).alias("__best"),
         F.avg(F.col("OpenWO").cast("double")).alias("OpenWORate"),
         F.count_if(closed).alias("ClosedRecoveryEvidenceN"),
     )

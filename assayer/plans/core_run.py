@@ -19,9 +19,9 @@ from assayer.operators import touch as T
 from assayer.session import cut_lineage
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, kw_only=True)
 class Settings:
-    version: str = "v0.5.3"
+    version: str
     cutoff: str | None = None
     incomplete_month: str | None = None
     qc_exclude_month: str | None = "2026-07"
@@ -31,7 +31,7 @@ class Settings:
     rasch_tolerance: float = 1e-5
 
 
-def run(inputs: dict[str, DataFrame], settings: Settings = Settings()) -> dict[str, DataFrame]:
+def run(inputs: dict[str, DataFrame], settings: Settings) -> dict[str, DataFrame]:
     """Result tables by name from canonical inputs.
 
     Inputs: production and planner_skill; optionally mes_work_orders, item_mapping,
