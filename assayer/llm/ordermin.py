@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import binary, columns, settle
+from assayer.llm.common import binary, columns, offer_broadcast, settle
 from assayer.operators.graph import connected_components
 
 SHINGLE = 5
@@ -18,6 +18,10 @@ SIMILARITY = 0.8
 # Each of SKETCHES draws the PICKED smallest occurrence-labelled shingles. Two texts of similarity 0.8 agree in one
 # with a chance of about 0.64, so they agree in none with one of 5e-6.
 SKETCHES, PICKED = 12, 2
+# Buckets up to this size are compared pair by pair, larger ones by leaders.
+SMALL_BUCKET = 32
+# Leaders take turns until a round links less than this share of the pairs it has compared.
+LEAST_YIELD = 0.001
 
 _RNG = np.random.default_rng(20240607)
 _SEEDS = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -132,25 +136,35 @@ def _verify(least: float):
     return run
 
 
+def _near(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) whose lengths n and m allow the similarity."""
+    near = pairs.filter((F.col("digest") != F.col("d")) & (F.least("n", "m") >= SIMILARITY * F.greatest("n", "m") - 1e-9))
+    return near.select(F.least("digest", "d").alias("a"), F.greatest("digest", "d").alias("b")).distinct()
+
+
+def _pairs_of_small(members: DataFrame) -> DataFrame:
+    """Every pair of the buckets of at most SMALL_BUCKET texts; a bucket gives a bounded number of pairs."""
+    lists = members.filter(F.col("size") <= SMALL_BUCKET).groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("digest", "n"))).alias("x"))
+    first = lists.select("x", F.posexplode("x").alias("i", "one"))
+    both = first.select("one", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("other"))
+    return _near(both.select(F.col("one.digest").alias("digest"), F.col("one.n").alias("n"), F.col("other.digest").alias("d"), F.col("other.n").alias("m")))
+
+
 def _stars(members: DataFrame) -> DataFrame:
-    """Candidate pairs of every bucket as two stars: around its busiest member and around one drawn by hash.
+    """Candidate pairs of the larger buckets: each text with the busiest of its bucket, fewer pairs than texts.
 
-    ``members`` has bucket, digest, n and busy. A bucket of g texts gives fewer than 2 g pairs. The draw differs from
-    bucket to bucket, so texts that share several buckets meet several leaders.
+    A text that shares more of its buckets, and larger ones, with others is the likelier middle of a family of copies.
     """
-    leaders = members.groupBy("bucket").agg(
-        F.max(F.struct("busy", "digest", "n")).alias("hub"), F.min(F.struct(F.xxhash64("digest", "bucket"), "digest", "n")).alias("drawn"), F.count("*").alias("size")
-    )
-    met = members.join(leaders.filter("size > 1"), "bucket")
-    pairs = met.select("digest", "n", F.explode(F.array(F.struct(F.col("hub.digest").alias("d"), F.col("hub.n").alias("m")), F.struct(F.col("drawn.digest").alias("d"), F.col("drawn.n").alias("m")))).alias("o"))
-    # Lengths bound the similarity from above.
-    near = pairs.filter((F.col("digest") != F.col("o.d")) & (F.least("n", "o.m") >= SIMILARITY * F.greatest("n", "o.m") - 1e-9))
-    return near.select(F.least("digest", "o.d").alias("a"), F.greatest("digest", "o.d").alias("b")).distinct()
+    leaders = members.groupBy("bucket").agg(F.max(F.struct("busy", "digest", "n")).alias("hub"), F.count("*").alias("here")).filter("here > 1")
+    met = members.join(leaders, "bucket")
+    return _near(met.select("digest", "n", F.col("hub.digest").alias("d"), F.col("hub.n").alias("m")))
 
 
 def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct().join(nodes.select("digest", "rid"), "digest")
-    texts = settle(rows.select("rid", "body").join(wanted, "rid").select("digest", "body"))
+    """The pairs that the alignment confirms. Only texts of candidates move where the candidates are few enough to broadcast."""
+    wanted = settle(pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct())
+    placed = settle(nodes.select("digest", "rid").join(offer_broadcast(wanted, 100), "digest"))
+    texts = settle(rows.select("rid", "body").join(offer_broadcast(placed, 120), "rid").select("digest", "body"))
     both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("body").alias("body_a")), "a").join(texts.select(F.col("digest").alias("b"), F.col("body").alias("body_b")), "b")
     return settle(both.mapInArrow(_verify(SIMILARITY), "a binary, b binary, similarity double").filter(F.col("similarity") >= SIMILARITY))
 
@@ -162,8 +176,10 @@ def near_duplicates(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     the banded alignment of their five-word shingles matches at least 0.8 of all shingles. Classes are what links
     connect; equal word sequences are one node from the start. Null text is empty; a text without words is near only
     to its exact equals; a text of fewer than five words is one shingle. Repeated rows share a class. An empty table
-    gives an empty result; other columns are ignored. Candidates come in rounds: what a round linked is one member of a
-    bucket in the next, led by another member, until a round finds no new link.
+    gives an empty result; other columns are ignored. Small buckets of candidates are compared pair by pair. Larger
+    ones are compared with their busiest text, then in rounds: what is linked is one member of its bucket, under another
+    leader, until a round finds next to no new link: fewer than LEAST_YIELD of the pairs it compared. So every link of a
+    small bucket is found, and a link inside a large bucket may be missed where no leader lies between its two texts.
     Result: doc_id, class_id (smallest doc_id of the class), class_size, kept (one row of each class), rid.
     """
     number = F.col(row_id) if row_id else F.monotonically_increasing_id()
@@ -175,25 +191,28 @@ def near_duplicates(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     shared = flat.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     crowded = settle(flat.join(shared, "bucket"))
     busy = crowded.groupBy("digest").agg(F.sum("size").alias("busy"))
-    members = settle(crowded.select("digest", "n", "bucket").join(busy, "digest"))
+    large = settle(crowded.filter(F.col("size") > SMALL_BUCKET).select("digest", "n", "bucket").join(busy, "digest"))
 
-    tested = settle(_stars(members))
+    tested = settle(_pairs_of_small(crowded).unionByName(_stars(large)).distinct())
     links = _links(tested, rows, nodes)
     roots, round_ = None, 0
     while not links.isEmpty():
         roots = settle(connected_components(links, [], "a", "b").select(F.col("Node").alias("digest"), F.col("Root").alias("root")))
-        # One member of each class stands for it in a bucket; another one in every round.
+        # One member of each class stands for it in a large bucket; another one, under another leader, in every round.
         round_ += 1
-        placed = members.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-        drawn = F.min(F.struct(F.xxhash64("digest", "bucket", F.lit(round_)).alias("draw"), "digest", "n"))
-        apart = placed.groupBy("bucket", "root").agg(drawn.alias("x")).select("bucket", "x.digest", "x.n", F.col("x.draw").alias("busy"))
+        placed = large.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+        drawn = F.min(F.struct(F.xxhash64("digest", "bucket", F.lit(round_)).alias("busy"), "digest", "n"))
+        apart = placed.groupBy("bucket", "root").agg(drawn.alias("x")).select("bucket", "x.digest", "x.n", "x.busy")
         fresh = settle(_stars(apart).join(tested, ["a", "b"], "left_anti"))
         if fresh.isEmpty():
             break
         found = _links(fresh, rows, nodes)
-        if found.isEmpty():
-            break
+        linked, compared = found.count(), fresh.count()
         tested, links = tested.unionByName(fresh), links.unionByName(found)
+        if linked < LEAST_YIELD * compared:
+            if linked:
+                roots = settle(connected_components(links, [], "a", "b").select(F.col("Node").alias("digest"), F.col("Root").alias("root")))
+            break
 
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     by_digest = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
