@@ -5,6 +5,7 @@ grouped aggregations over the cells, for all fits at once, and is a single job t
 table; the effects of any number of workers and items stay distributed. Only a few numbers per fit (intercept,
 variances, largest moves) reach the driver. There the slow part of such fits, the variances, is extrapolated along its
 geometric tail every few sweeps, so that tens of sweeps do. A fit that has converged leaves while the others go on.
+Fits of few cells, counted first, are solved directly inside a task each (``localfits``); the optima are the same.
 
 Rows without a worker or an item take no part in any fit.
 """
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.expressions import clip, logistic
+from assayer.operators import localfits as L
 from assayer.operators.contracts import assert_none
 from assayer.session import cut_lineage, settle
 
@@ -84,7 +86,7 @@ def _rows(df: DataFrame, keys: list[str], kind: str, name: str, **values: str) -
     return df.select(*keys, F.lit(kind).alias("Kind"), F.col(name).cast("string").alias("Name"), *columns)
 
 
-def _sweeps(
+def _swept(
     table: DataFrame,
     fits: list[Fit],
     cells: DataFrame,
@@ -120,6 +122,56 @@ def _sweeps(
     return whole, fits
 
 
+def _solved(
+    table: DataFrame,
+    fits: list[Fit],
+    cells: DataFrame,
+    keys: list[str],
+    local: Callable[[Any], list[tuple]],
+    step: Callable[[DataFrame, DataFrame], DataFrame],
+    facts: Callable[[DataFrame, DataFrame], DataFrame],
+    update: Callable[[Fit, list[Any]], bool],
+    max_iter: int,
+    local_cells: int | None,
+) -> tuple[DataFrame, list[Fit]]:
+    """Effects of all fits: those of few cells solved directly, each inside a task, the others by distributed sweeps."""
+    bound = L.LOCAL_CELLS if local_cells is None else local_cells
+    sizes = {tuple(r[k] for k in keys): r["n"] for r in cells.groupBy(*keys).agg(F.count("*").alias("n")).collect()}
+    small, large = [f for f in fits if sizes[f.key] <= bound], [f for f in fits if sizes[f.key] > bound]
+    parts = []
+    if small:
+        names = ["Kind", "Name", "x", "old", "y", "z"]
+        schema = T.StructType([*(cells.schema[k] for k in keys), *(T.StructField(n, T.StringType()) for n in names[:2]), *(T.StructField(n, T.DoubleType()) for n in names[2:])])
+
+        def solve(pdf):
+            import pandas as pd
+
+            out = pd.DataFrame(local(pdf), columns=names)
+            for place, k in enumerate(keys):
+                out.insert(place, k, pdf[k].iloc[0])
+            return out
+
+        chosen = cells.join(_numbers(small, cells, keys).select(*keys), keys, "left_semi")
+        found = settle(chosen.groupBy(*keys).applyInPandas(solve, schema))
+        by_key = {f.key: f for f in small}
+        for row in found.filter("Kind = 'number'").collect():
+            fit = by_key[tuple(row[k] for k in keys)]
+            if row["Name"] == "sweeps":
+                fit.sweeps = int(row["x"])
+            elif row["Name"] == "converged":
+                fit.converged = row["x"] > 0
+            else:
+                fit.at[row["Name"]] = row["x"]
+        parts.append(found.filter("Kind <> 'number'"))
+    if large:
+        chosen = table.join(_numbers(large, cells, keys).select(*keys), keys, "left_semi")
+        parts.append(_swept(chosen, large, cells, keys, step, facts, update, max_iter)[0])
+    whole = parts[0] if parts else table.limit(0)
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole, fits
+
+
 def _health(fits: list[Fit], cells: DataFrame, keys: list[str]) -> DataFrame:
     """Numbers of every fit with its sweeps and whether it converged."""
     names = list(fits[0].at) if fits else []
@@ -133,24 +185,27 @@ def _fits(rows: DataFrame, keys: list[str], names: list[str]) -> list[Fit]:
     return [Fit(tuple(r[k] for k in keys), {n: float(r[n]) for n in names}) for r in rows.collect()]
 
 
-def time_cells(df: DataFrame, keys: list[str], weight: Column, item: str) -> DataFrame:
-    """Sufficient statistics of weighted log time per fit, worker and item."""
-    y = F.col("LogTime")
-    return df.withColumn("__w", weight).groupBy(*keys, "Worker", F.col(item).alias("ItemKey")).agg(
-        F.count("*").alias("n"),
-        F.sum("__w").alias("w"),
-        F.sum(F.col("__w") * y).alias("wy"),
-        F.sum(F.col("__w") * y * y).alias("wyy"),
-        F.sum(F.ln("__w")).alias("lnw"),
-        F.sum(y).alias("y"),
-        F.sum(y * y).alias("yy"),
+def time_cells(df: DataFrame, keys: list[str], weight: Column, item: str, copies: Column | None = None) -> DataFrame:
+    """Sufficient statistics of weighted log time per fit, worker and item; ``copies`` counts a row several times."""
+    y, k = F.col("LogTime"), F.lit(1) if copies is None else copies
+    return df.withColumns({"__w": weight, "__k": k}).groupBy(*keys, "Worker", F.col(item).alias("ItemKey")).agg(
+        F.sum("__k").alias("n"),
+        F.sum(F.col("__k") * F.col("__w")).alias("w"),
+        F.sum(F.col("__k") * F.col("__w") * y).alias("wy"),
+        F.sum(F.col("__k") * F.col("__w") * y * y).alias("wyy"),
+        F.sum(F.col("__k") * F.ln("__w")).alias("lnw"),
+        F.sum(F.col("__k") * y).alias("y"),
+        F.sum(F.col("__k") * y * y).alias("yy"),
     )
 
 
-def fit_two_way(df: DataFrame, keys: list[str], item: str = "Item", max_iter: int = 100, tol: float = 1e-8) -> EffectFit:
-    """Alternating least squares for intercept, worker and item effects."""
+def fit_two_way(
+    df: DataFrame, keys: list[str], item: str = "Item", max_iter: int = 100, tol: float = 1e-8, copies: Column | None = None,
+    local_cells: int | None = None,
+) -> EffectFit:
+    """Weighted least squares for intercept, worker and item effects; the effects of either kind have weighted mean zero."""
     quantity = F.greatest(F.coalesce("Qty", F.lit(1.0)), F.lit(1.0))
-    cells = settle(time_cells(_known(df, item), keys, F.sqrt(quantity), item))
+    cells = settle(time_cells(_known(df, item), keys, F.sqrt(quantity), item, copies))
     totals = cells.groupBy(*keys).agg((F.sum("y") / F.sum("n")).alias("mu"), F.sum("n").alias("Records"))
     fits = _fits(totals, keys, ["mu", "Records"])
     start = _rows(cells.select(*keys, "ItemKey").distinct().withColumn("v", F.lit(0.0)), keys, "item", "ItemKey", x="v")
@@ -181,13 +236,26 @@ def fit_two_way(df: DataFrame, keys: list[str], item: str = "Item", max_iter: in
         fit.at["mu"] = by["mu"]["x"]
         return moved < tol
 
-    final, fits = _sweeps(start, fits, cells, keys, step, facts, update, max_iter)
-    health = _health(fits, cells, keys).withColumn("Records", F.col("Records").cast("bigint")).withColumnRenamed("mu", "Intercept")
-    return EffectFit(_block(final, keys, "worker", "Worker", x="WorkerEffect"), _block(final, keys, "item", "ItemKey", x="ItemEffect"), health)
+    final, fits = _solved(start, fits, cells, keys, L.least_squares, step, facts, update, max_iter, local_cells)
+    workers, items = _block(final, keys, "worker", "Worker", x="u"), _block(final, keys, "item", "ItemKey", x="v")
+    # The data leave the level of either kind open: it goes into the intercept.
+    of_worker, of_item = (cells.groupBy(*keys, e).agg(F.sum("w").alias("w")) for e in ("Worker", "ItemKey"))
+    level_u = workers.join(of_worker, [*keys, "Worker"]).groupBy(*keys).agg((F.sum(F.col("w") * F.col("u")) / F.sum("w")).alias("mean_u"))
+    level_v = items.join(of_item, [*keys, "ItemKey"]).groupBy(*keys).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("mean_v"))
+    levels = cut_lineage(level_u.join(level_v, keys))
+    health = _health(fits, cells, keys).join(levels, keys).withColumn("Intercept", F.col("mu") + F.col("mean_u") + F.col("mean_v"))
+    health = health.withColumn("Records", F.col("Records").cast("bigint")).select(*keys, "Intercept", "Records", "Iterations", "Converged")
+    return EffectFit(
+        workers.join(levels, keys).select(*keys, "Worker", (F.col("u") - F.col("mean_u")).alias("WorkerEffect")),
+        items.join(levels, keys).select(*keys, "ItemKey", (F.col("v") - F.col("mean_v")).alias("ItemEffect")),
+        health,
+    )
 
 
-def fit_time_em(df: DataFrame, keys: list[str], item: str = "Item", max_iter: int = 500, tol: float = 1e-7) -> EffectFit:
-    """Gaussian random-worker, fixed-item EM on log time with exact marginal likelihood."""
+def fit_time_em(
+    df: DataFrame, keys: list[str], item: str = "Item", max_iter: int = 500, tol: float = 1e-7, local_cells: int | None = None
+) -> EffectFit:
+    """Gaussian random workers and fixed items on log time, fitted to the exact marginal likelihood."""
     assert_none(df.filter("LogTime IS NULL OR isnan(LogTime) OR Qty <= 0"), "Time model requires finite times and positive quantities")
     raw = cut_lineage(time_cells(_known(df, item), keys, F.sqrt("Qty"), item))
     mean_w = raw.groupBy(*keys).agg((F.sum("w") / F.sum("n")).alias("m"))
@@ -249,7 +317,7 @@ def fit_time_em(df: DataFrame, keys: list[str], item: str = "Item", max_iter: in
         fit.extrapolate(("s2", "t2"))
         return False
 
-    final, fits = _sweeps(start, fits, cells, keys, step, facts, update, max_iter)
+    final, fits = _solved(start, fits, cells, keys, L.variance_profile, step, facts, update, max_iter, local_cells)
     for row in facts(final, _numbers(fits, cells, keys)).collect() if fits else []:
         fit = next(f for f in fits if f.key == tuple(row[k] for k in keys))
         fit.at["ll"] = likelihood(fit.at, row)
@@ -330,7 +398,9 @@ def logit_cells(df: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def fit_crossed_logit(df: DataFrame, keys: list[str], shrink: Shrinkage = Shrinkage(), max_iter: int = 1000, tol: float = 1e-5) -> EffectFit:
+def fit_crossed_logit(
+    df: DataFrame, keys: list[str], shrink: Shrinkage = Shrinkage(), max_iter: int = 1000, tol: float = 1e-5, local_cells: int | None = None
+) -> EffectFit:
     """Binomial logit with worker, group and round effects.
 
     A sweep linearises the likelihood once and updates workers, groups, rounds and the intercept in turn. Adaptive
@@ -362,7 +432,9 @@ def fit_crossed_logit(df: DataFrame, keys: list[str], shrink: Shrinkage = Shrink
     for kind, entity in entities:
         block = _rows(cells.select(*keys, entity).distinct().withColumn("x", F.lit(0.0)), keys, kind, entity, x="x")
         start = block if start is None else start.unionByName(block)
-    final, fits = _sweeps(start, fits, cells, keys, _logit_step(cells.drop(*extra), keys, shrink), _logit_facts(keys), _logit_update(shrink, tol), max_iter)
+    local = L.crossed_logit(shrink.adaptive, shrink.penalty, shrink.intercept, shrink.use_workers, max_iter, tol)
+    step = _logit_step(cells.drop(*extra), keys, shrink)
+    final, fits = _solved(start, fits, cells, keys, local, step, _logit_facts(keys), _logit_update(shrink, tol), max_iter, local_cells)
     return _logit_results(final, _health(fits, cells, keys) if fits else _health([], cells, keys).select(*keys, *[F.lit(0.0).alias(n) for n in ("mu", "tw", "tg", "Observations", "r0", "cu", "cv", "Delta")], "Iterations", "Converged"), keys, evidence)
 
 

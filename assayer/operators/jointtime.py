@@ -112,8 +112,11 @@ def fit_joint_time(
         solver="l-bfgs", regParam=0.0, fitIntercept=False, weightCol="weight", maxIter=max_iter, tol=1e-12, standardization=True
     )
     model = regression.fit(prepare.transform(stacked).select("features", "label", "weight"))
+    history = model.summary.objectiveHistory
+    if model.summary.totalIterations >= max_iter and len(history) > 1 and abs(history[-2] - history[-1]) > 1e-8 * abs(history[-1]):
+        raise ArithmeticError(f"The joint time fit is not solved after {max_iter} iterations")
     coefficients = _coefficient_table(train, prepare.stages[0].labelsArray, model.coefficients.toArray())
-    fit = JointFit(coefficients, scalars, None, {"iterations": float(model.summary.totalIterations), "objective": model.summary.objectiveHistory[-1]})
+    fit = JointFit(coefficients, scalars, None, {"iterations": float(model.summary.totalIterations), "objective": history[-1]})
     residual = F.col("LogMinutes") - F.col("__eta")
     w = weight if weight is not None else F.lit(1.0)
     scored = _linear_parts(train, fit, use_quote).withColumn("__eta", F.col("__base") + F.col("__tech") + F.col("__labor"))

@@ -119,8 +119,7 @@ def simulate_quality(branches: DataFrame, draws: int = 4096) -> DataFrame:
 def item_stability(df: DataFrame, keys: list[str], item: str, row_key: list[str], repetitions: int = 10, seed: int = 42) -> DataFrame:
     """0-100 stability of item effects over row resamples; all replicates fit in one job."""
     sampled = _replicated(df, repetitions, seed, *row_key)
-    copies = sampled.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("k"))))
-    fit = fit_two_way(copies, [*keys, "Rep"], item)
+    fit = fit_two_way(sampled, [*keys, "Rep"], item, copies=F.col("k"))
     spread = cut_lineage(
         fit.items.groupBy(*keys, "ItemKey").agg(F.coalesce(F.stddev_samp("ItemEffect"), F.lit(0.0)).alias("BootstrapSD"))
     )

@@ -104,6 +104,17 @@ def test_rows_without_worker_take_no_part(times):
     assert gap[0] < 1e-9
 
 
+def test_sweeps_reach_the_direct_solutions(times, outcomes):
+    df, _ = times
+    a, b = (E.fit_two_way(df, ["Process"], tol=1e-9, local_cells=n) for n in (None, 0))
+    gap = a.items.join(b.items.withColumnRenamed("ItemEffect", "o"), ["Process", "ItemKey"]).agg(F.max(F.abs(F.col("ItemEffect") - F.col("o")))).first()
+    assert gap[0] < 1e-7
+    df, _ = outcomes
+    a, b = (E.fit_crossed_logit(df, ["Process"], E.Shrinkage("lam", 1e-6), tol=1e-4, local_cells=n) for n in (None, 0))
+    gap = a.workers.join(b.workers.withColumnRenamed("WorkerEffect", "o"), ["Process", "Worker"]).agg(F.max(F.abs(F.col("WorkerEffect") - F.col("o")))).first()
+    assert gap[0] < 1e-3
+
+
 def test_ridge_is_the_penalised_optimum(outcomes):
     df, rows = outcomes
     fit = E.fit_crossed_logit(df, ["Process"], E.Shrinkage("lam", 1e-6), max_iter=3000, tol=1e-11)
