@@ -50,17 +50,20 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return _mix(total)
 
 
-def order_sketches(grams: np.ndarray) -> np.ndarray:
-    """Order MinHash: for each sketch, the PICKED smallest labelled shingles, hashed in the order of the text."""
+def labels(grams: np.ndarray) -> np.ndarray:
+    """Shingles told apart by their occurrence in the text. The first one has the same label in every text, repeated or not."""
     order = np.argsort(grams, kind="stable")
     ranked = grams[order]
-    labelled = grams
+    occurrence = np.zeros(len(grams), dtype=np.uint64)
     if (ranked[1:] == ranked[:-1]).any():
         first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        nth = np.arange(len(grams)) - np.repeat(first, np.diff(np.append(first, len(grams))))
-        occurrence = np.empty(len(grams), dtype=np.uint64)
-        occurrence[order] = nth
-        labelled = _mix(grams + occurrence * _ODD[0])
+        occurrence[order] = np.arange(len(grams)) - np.repeat(first, np.diff(np.append(first, len(grams))))
+    return _mix(grams + occurrence * _ODD[0])
+
+
+def order_sketches(grams: np.ndarray) -> np.ndarray:
+    """Order MinHash: for each sketch, the PICKED smallest labelled shingles, hashed in the order of the text."""
+    labelled = labels(grams)
     values = (labelled[None, :] ^ _SEEDS[:, None]) * _ODD[:, None]
     values ^= values >> np.uint64(31)
     values *= _MIX

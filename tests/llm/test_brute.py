@@ -103,6 +103,17 @@ def test_star_of_copies(spark):
     assert {r["class_id"] for r in ordermin.near_duplicates(docs).collect()} == {0}
 
 
+def test_copy_that_repeats_a_shingle(spark):
+    """A copy with one line said twice is linked to its original, which repeats nothing."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(10):
+        base = [f"w{rng.randrange(10**9)}" for _ in range(120)]
+        texts += [base, base[:40] + base[30:]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in ordermin.near_duplicates(docs).collect()} == {k: k - k % 2 for k in range(20)}
+
+
 def test_shards(spark):
     rows = rows_of(spark, "op7_histogram_shards")
     docs = dict(read("documents", "doc_id, text"))
