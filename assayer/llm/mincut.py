@@ -53,6 +53,7 @@ _TAG = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+))(?:>|\Z)",
     re.S,
 )
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in RAW}
 _ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
 _SENTENCE_END = re.compile(r"[.!?](?:\s|$)")
@@ -101,7 +102,7 @@ def blocks_of(page: str) -> list[Block]:
     root = Node("", None, 0)
     root.section = root
     node, block, links, out = root, None, 0, []
-    at, lowered = 0, None
+    at = 0
 
     def put(raw: str) -> None:
         nonlocal block
@@ -160,12 +161,10 @@ def blocks_of(page: str) -> list[Block]:
             continue
         child = _element(tag, m["rest"], node)
         if tag in RAW:
-            if lowered is None:
-                lowered = page.lower() if len(page.lower()) == len(page) else None
-            end = (lowered or page).find(f"</{tag}", at)
-            if end < 0:
+            end = _RAW_END[tag].search(page, at)
+            if end is None:
                 break
-            at = page.find(">", end) + 1 or len(page)
+            at = page.find(">", end.start()) + 1 or len(page)
             continue
         node = child
         links += tag == "a"

@@ -263,6 +263,12 @@ def test_page():
     assert mincut.main_text(PAGE)[0] == expected
 
 
+def test_page_whose_length_changes_in_lower_case():
+    body = "<article><p>The first sentence of the article is here. And a second one follows it.</p></article>"
+    page = f"<html><head><TITLE>\u0130stanbul</TITLE><STYLE>p{{}}</STYLE></head><body><SCRIPT>x()</SCRIPT>{body}</body></html>"
+    assert mincut.main_text(page)[0] == "The first sentence of the article is here. And a second one follows it."
+
+
 def test_pages(spark):
     pages = dict(read("pages", "page_id, html"))
     for r in rows_of(spark, "op1_minimum_cut_text"):
