@@ -18,10 +18,10 @@ SIMILARITY = 0.8
 # Each of SKETCHES draws the PICKED smallest occurrence-labelled shingles. Two texts of similarity 0.8 agree in one
 # with a chance of about 0.64, so they agree in none with one of 5e-6.
 SKETCHES, PICKED = 12, 2
-# Buckets up to this size are compared pair by pair, larger ones by leaders.
+# Buckets up to this size are compared pair by pair; larger ones by leaders first, then by a join on rare shingles.
 SMALL_BUCKET = 32
-# Leaders take turns until a round links less than this share of the pairs it has compared.
-LEAST_YIELD = 0.001
+# A large bucket gets another leader while a round leaves at most this share of its classes. It settles cost, not results.
+LEADING = 0.75
 
 _RNG = np.random.default_rng(20240607)
 _SEEDS = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -163,6 +163,68 @@ def _stars(members: DataFrame) -> DataFrame:
     return _near(met.select("digest", "n", F.col("hub.digest").alias("d"), F.col("hub.n").alias("m")))
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests, bodies = columns(batch, "digest", "body")
+        found = [pa.array(labels(shingles(body.split(b" "))).astype(np.int64)) for body in bodies]
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["digest", "labels"])
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different classes of two blocks of texts that hold one shingle, as far as lengths and places allow."""
+    for batch in batches:
+        first, second = [], []
+        for i, j, texts in zip(*columns(batch, "i", "j", "x")):
+            digest = np.array([t["digest"] for t in texts], dtype=object)
+            root = np.unique(np.array([t["root"].hex() for t in texts]), return_inverse=True)[1]
+            n, rest, block = (np.array([t[k] for t in texts]) for k in ("n", "rest", "block"))
+            # The first common shingle in the order of rareness has all other common ones after it.
+            need = SIMILARITY * (n[:, None] + n) / (1 + SIMILARITY) - 1e-9
+            fits = (root[:, None] < root) & (np.minimum(rest[:, None], rest) + 1 >= need)
+            if i != j:
+                fits &= block[:, None] != block
+            for a, b in zip(*np.nonzero(fits)):
+                low, high = sorted((digest[a], digest[b]))
+                first.append(low)
+                second.append(high)
+        yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["a", "b"])
+
+
+def _pairs_by_rare_shingles(texts: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different classes in ``texts`` (digest, n, root) that can reach the similarity.
+
+    Texts of n and m shingles that are near have at least SIMILARITY * max(n, m) labelled shingles in common, so they
+    share one among the n - SIMILARITY * n + 1 and m - SIMILARITY * m + 1 rarest. Shingles of one text come first and
+    match nothing. The texts that hold a shingle are dealt to blocks of about SMALL_BUCKET, and blocks to tasks by pairs.
+    """
+    placed = nodes.select("digest", "rid").join(offer_broadcast(texts.select("digest"), 60), "digest")
+    bodies = rows.select("rid", "body").join(offer_broadcast(placed, 120), "rid").select("digest", "body")
+    grams = bodies.mapInArrow(_labelled, "digest binary, labels array<long>").select("digest", F.explode("labels").alias("label"))
+    counts = settle(grams.groupBy("label").agg(F.count("*").alias("df")).filter("df > 1"))
+    shared = grams.join(offer_broadcast(counts, 60), "label").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("df", "label"))).alias("x"))
+    single = F.col("n") - F.size("x")
+    prefix = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1
+    reach = shared.join(texts, "digest").withColumn("single", single).withColumn("prefix", F.greatest(prefix - single, F.lit(0)).cast("int"))
+    held = reach.select("digest", "root", "n", "single", F.posexplode(F.slice("x", F.lit(1), F.col("prefix"))).alias("at", "one"))
+    postings = settle(held.select("digest", "root", "n", (F.col("n") - F.col("single") - F.col("at") - 1).alias("rest"), F.col("one.label").alias("label")))
+    blocks = F.ceil(F.count("*") / SMALL_BUCKET).cast("int").alias("blocks")
+    mixed = settle(postings.groupBy("label").agg(blocks, F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("label", "blocks"))
+    dealt = postings.join(offer_broadcast(mixed, 60), "label").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    groups = met.groupBy("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    lists = groups.agg(F.collect_list(F.struct("digest", "root", "n", "rest", "block")).alias("x")).filter(F.size("x") > 1)
+    return lists.select("i", "j", "x").mapInArrow(_across, "a binary, b binary").distinct()
+
+
+def _classes(links: DataFrame) -> DataFrame:
+    return settle(connected_components(links, [], "a", "b").select(F.col("Node").alias("digest"), F.col("Root").alias("root")))
+
+
+def _rooted(texts: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Texts with the root of their class; a text without links is its own."""
+    return texts.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest")) if roots is not None else texts.withColumn("root", F.col("digest"))
+
+
 def _links(pairs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs that the alignment confirms. Only texts of candidates move where the candidates are few enough to broadcast."""
     wanted = settle(pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct())
@@ -180,9 +242,10 @@ def near_duplicates(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     connect; equal word sequences are one node from the start. Null text is empty; a text without words is near only
     to its exact equals; a text of fewer than five words is one shingle. Repeated rows share a class. An empty table
     gives an empty result; other columns are ignored. Small buckets of candidates are compared pair by pair. Larger
-    ones are compared with their busiest text, then in rounds: what is linked is one member of its bucket, under another
-    leader, until a round finds next to no new link: fewer than LEAST_YIELD of the pairs it compared. So every link of a
-    small bucket is found, and a link inside a large bucket may be missed where no leader lies between its two texts.
+    ones are compared with their busiest text, then in rounds while these merge classes fast: one member of each class,
+    under another leader. At last all texts of buckets that still hold several classes are joined on their rarest
+    shingles, and every pair of different classes that can be near is aligned. So the classes are those of comparing all
+    pairs of every bucket.
     Result: doc_id, class_id (smallest doc_id of the class), class_size, kept (one row of each class), rid.
     """
     number = F.col(row_id) if row_id else F.monotonically_increasing_id()
@@ -198,29 +261,38 @@ def near_duplicates(docs: DataFrame, row_id: str | None = None) -> DataFrame:
 
     tested = settle(_pairs_of_small(crowded).unionByName(_stars(large)).distinct())
     links = _links(tested, rows, nodes)
-    roots, round_ = None, 0
-    while not links.isEmpty():
-        roots = settle(connected_components(links, [], "a", "b").select(F.col("Node").alias("digest"), F.col("Root").alias("root")))
+    roots = None if links.isEmpty() else _classes(links)
+    parts, round_ = large.groupBy("bucket").agg(F.count("*").alias("before")), 0
+    while True:
+        placed = _rooted(large, roots)
+        parts = settle(placed.groupBy("bucket").agg(F.countDistinct("root").alias("now")).join(parts, "bucket").filter("now > 1"))
+        led = parts.filter(F.col("now") <= LEADING * F.col("before")).select("bucket", F.col("now").alias("before"))
+        if led.isEmpty():
+            break
         # One member of each class stands for it in a large bucket; another one, under another leader, in every round.
         round_ += 1
-        placed = large.join(roots, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
         drawn = F.min(F.struct(F.xxhash64("digest", "bucket", F.lit(round_)).alias("busy"), "digest", "n"))
-        apart = placed.groupBy("bucket", "root").agg(drawn.alias("x")).select("bucket", "x.digest", "x.n", "x.busy")
+        apart = placed.join(led, "bucket").groupBy("bucket", "root").agg(drawn.alias("x")).select("bucket", "x.digest", "x.n", "x.busy")
         fresh = settle(_stars(apart).join(tested, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            break
         found = _links(fresh, rows, nodes)
-        linked, compared = found.count(), fresh.count()
-        tested, links = tested.unionByName(fresh), links.unionByName(found)
-        if linked < LEAST_YIELD * compared:
-            if linked:
-                roots = settle(connected_components(links, [], "a", "b").select(F.col("Node").alias("digest"), F.col("Root").alias("root")))
+        tested, links, parts = tested.unionByName(fresh), links.unionByName(found), led
+        if found.isEmpty():
             break
+        roots = _classes(links)
+
+    # What is still parted in a large bucket is compared across its classes, whatever the leaders found.
+    placed = _rooted(large, roots)
+    parted = placed.groupBy("bucket").agg(F.countDistinct("root").alias("now")).filter("now > 1").select("bucket")
+    apart = settle(placed.join(parted, "bucket").select("digest", "n", "root").distinct())
+    if not apart.isEmpty():
+        fresh = settle(_pairs_by_rare_shingles(apart, rows, nodes).join(tested, ["a", "b"], "left_anti"))
+        found = _links(fresh, rows, nodes)
+        if not found.isEmpty():
+            roots = _classes(links.unionByName(found))
 
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     by_digest = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    rooted = by_digest.join(roots, "digest", "left") if roots is not None else by_digest.withColumn("root", F.col("digest"))
-    rooted = settle(rooted.withColumn("root", F.coalesce("root", "digest")))
+    rooted = settle(_rooted(by_digest, roots))
     classes = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("copies").alias("class_size"))
     answers = settle(rooted.select("digest", "root").join(classes, "root").select("digest", "keep", "class_size"))
     out = rows.select("doc_id", "rid", "digest").join(answers, "digest")

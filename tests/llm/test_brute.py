@@ -114,6 +114,28 @@ def test_copy_that_repeats_a_shingle(spark):
     assert {r["doc_id"]: r["class_id"] for r in ordermin.near_duplicates(docs).collect()} == {k: k - k % 2 for k in range(20)}
 
 
+def test_crowded_buckets(spark):
+    """Pairs among many texts that share a long passage, and a chain of copies without a middle."""
+    rng = random.Random(11)
+
+    def fresh(n):
+        return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+    passage, texts = fresh(258), []
+    for _ in range(30):
+        own = fresh(11)
+        texts += [passage + own + fresh(31), passage + own + fresh(31)]
+    texts += [passage + fresh(42) for _ in range(300)]
+    line = fresh(900)
+    texts += [line[k * 7 : k * 7 + 300] for k in range(80)]
+    expected = {k: k - k % 2 if k < 60 else min(k, 360) for k in range(440)}
+    grams = [ordermin.shingles([w.encode() for w in t]).tolist() for t in texts]
+    assert all(ordermin.aligned(grams[k], grams[k + 1], 0.8) >= 0.8 for k in [*range(0, 60, 2), *range(360, 439)])
+    assert all(ordermin.aligned(grams[k], grams[k + 1], 0.8) < 0.8 for k in [*range(1, 60, 2), *range(60, 360)])
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in ordermin.near_duplicates(docs).collect()} == expected
+
+
 def test_shards(spark):
     rows = rows_of(spark, "op7_histogram_shards")
     docs = dict(read("documents", "doc_id, text"))
