@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import chat, contamination, factors, grace, histosort, mincut, mixture, noisyor, ordermin, pitmanyor
+from assayer.llm import alignment, chat, contamination, factors, grace, histosort, mincut, mixture, noisyor, ordermin, pitmanyor
 from assayer.llm.common import table
 from assayer.llm.registry import query
 
@@ -121,3 +121,9 @@ def op4_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_minimum_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return mincut.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op13_arrow_alignment")
+def op13_arrow_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers over every document."""
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE["ranks_path"], BYTE_BPE["pattern"], public_tokenizers.path("piece_bpe_32k.model"))
