@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import alignment, chat, contamination, factors, grace, histosort, mincut, mixture, noisyor, ordermin, pitmanyor
+from assayer.llm import alignment, chat, contamination, doubling, factors, grace, histosort, mincut, mixture, noisyor, ordermin, pitmanyor
 from assayer.llm.common import table
 from assayer.llm.registry import query
 
@@ -123,6 +123,12 @@ def op1_minimum_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op12_prefix_doubling")
+def op12_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 400 bytes that occur elsewhere too."""
+    return doubling.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 @query("op13_arrow_alignment")
 def op13_arrow_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups and links of the tokens of two tokenizers over every document."""
