@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import alignment, chat, contamination, doubling, factors, grace, histosort, mincut, mixture, noisyor, ordermin, pitmanyor
+from assayer.llm import alignment, chat, collocations, contamination, doubling, factors, grace, histosort, mincut, mixture, noisyor, ordermin, pitmanyor
 from assayer.llm.common import table
 from assayer.llm.registry import query
 
@@ -123,6 +123,44 @@ def op1_minimum_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mincut.extract(table(spark, sf_dir, "pages"))
 
 
+COLLOCATION_SQL = r"""
+WITH piece AS (
+  SELECT lang, row_number() OVER () AS pid, words FROM (
+    SELECT lang, regexp_extract_all(part, '[^\x20\x09]+') AS words FROM (
+      SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS part FROM documents))
+  WHERE len(words) > 0
+), gram AS (
+  SELECT lang, w, words[a : a + w - 1] AS ws FROM (
+    SELECT p.lang, p.words, l.w, unnest(range(1, len(p.words) - l.w + 2)) AS a FROM piece p, (SELECT unnest([1, 2, 3, 4]) AS w) l WHERE len(p.words) >= l.w)
+), f AS (
+  SELECT lang, w, ws, count(*) AS f FROM gram GROUP BY ALL
+), total AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE w = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, w, ws, f AS a FROM f WHERE w >= 2 AND f >= 30
+), inside AS (
+  SELECT lang, ws[s : s + v - 1] AS ws, max(a) AS longer FROM (
+    SELECT lang, ws, w, a, v, unnest(range(1, w - v + 2)) AS s FROM (SELECT *, unnest(range(2, w)) AS v FROM cand)) GROUP BY ALL
+), cut AS (
+  SELECT c.lang, c.ws, c.a, c.k, x.f AS l, y.f AS r, CAST((2000000::HUGEINT * c.a) // (x.f::HUGEINT + y.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, w)) AS k FROM cand) c
+  JOIN f x ON x.lang = c.lang AND x.ws = c.ws[1 : c.k] JOIN f y ON y.lang = c.lang AND y.ws = c.ws[c.k + 1 :]
+), worst AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) AS place FROM cut
+), ranked AS (
+  SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, a DESC, array_to_string(w.ws, ' ')) AS rank, array_to_string(w.ws, ' ') AS phrase, a, l, r, score
+  FROM worst w LEFT JOIN inside i ON i.lang = w.lang AND i.ws = w.ws WHERE place = 1 AND (i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * a)
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score FROM ranked r JOIN total t USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op11_transducer_collocations", COLLOCATION_SQL)
+def op11_transducer_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The firmest phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op12_prefix_doubling")
 def op12_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of strings of 400 bytes that occur elsewhere too."""
