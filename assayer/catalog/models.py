@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.catalog.attribution import rounds
+from assayer.catalog.attribution import TEAM_CTE, rounds
 from assayer.catalog.metrics import PRED_CTE, predicted
+from assayer.catalog.qc import TICKET_CTE
 from assayer.catalog.registry import Inputs, query, shown
 from assayer.operators import attribution as A
 from assayer.operators import candidates as K
@@ -66,10 +67,29 @@ def ridge_candidates(inp: Inputs):
     return shown(K.fit_candidates(single_rounds(inp)).health)
 
 
+@query(
+    f"""
+WITH {TICKET_CTE}, {TEAM_CTE},
+ob AS (SELECT * FROM att WHERE SizeAdjustedGroup IS NOT NULL),
+wt AS (SELECT o.Process, o.Branch, count(DISTINCT t.Worker) AS w FROM ob o JOIN teams t ON o.WO = t.WO AND o.RoundNo = t.RoundNo AND o.Item = t.Item AND o.Process = t.Process GROUP BY 1, 2),
+ft AS (SELECT Process, Branch, count(*) AS n, count(DISTINCT SizeAdjustedGroup) + count(DISTINCT RoundNo) + max(CASE WHEN TeamSize > 1 THEN 1 ELSE 0 END) + max(CASE WHEN TeamSize = 0 THEN 1 ELSE 0 END) AS t FROM ob GROUP BY 1, 2)
+SELECT f.Process, f.Branch, Variant, Penalty, CAST(f.n AS BIGINT) AS Observations, CAST(f.t + coalesce(wt.w, 0) AS BIGINT) AS Terms, CAST(0 AS BIGINT) AS TermsOffBalance, true AS Converged
+FROM ft f LEFT JOIN wt ON wt.Process = f.Process AND wt.Branch = f.Branch,
+(VALUES ('ridge_expanded_pieces'), ('ridge_expanded_equal_round')) v(Variant), (VALUES (CAST(0.1 AS DOUBLE)), (CAST(1 AS DOUBLE)), (CAST(10 AS DOUBLE))) q(Penalty)
+""",
+    ("qc_tickets", "assignment"),
+)
+def ridge_expanded(inp: Inputs):
+    """Shared-team designs: every term's gradient vanishes at the fitted coefficients."""
+    learned = cut_lineage(single_rounds(inp))
+    balance = K.design_balance(learned, K.fit_expanded(learned))
+    return shown(balance, "Process", "Branch", "Variant", "Penalty", "Observations", "Terms", "TermsOffBalance", "Converged")
+
+
 @query()
 def candidate_selection(inp: Inputs):
     """Validation-selected candidates and their test log-loss."""
-    result = K.compare(single_rounds(inp))
+    result = K.compare(single_rounds(inp), expanded=False)
     test = result["comparison"].filter("Cohort = 'single'").select("Process", "Branch", "Variant", "Rounds", "PieceLogLoss")
     return shown(test.join(result["selection"], ["Process", "Branch"], "left"))
 

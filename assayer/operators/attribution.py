@@ -55,7 +55,7 @@ def round_teams(production: DataFrame) -> DataFrame:
 def attribute_rounds(rounds: DataFrame, production: DataFrame) -> DataFrame:
     """single / team / unknown by the workers that match the round's item and process."""
     sizes = round_teams(production).groupBy(*ROUND, "Item", "Process").agg(
-        F.count("*").alias("TeamSize"), F.min("Worker").alias("__w")
+        F.count("*").alias("TeamSize"), F.min("Worker").alias("__w"), F.sort_array(F.collect_list("Worker")).alias("Workers")
     )
     joined = rounds.join(sizes, [*ROUND, "Item", "Process"], "left")
     size = F.coalesce("TeamSize", F.lit(0))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.operators.attribution import coverage
+from assayer.operators.designs import DesignFit, fit_outcomes, off_balance, predict_outcomes
 from assayer.operators.effects import EffectFit, Shrinkage, fit_crossed_logit, predict_logit
 from assayer.operators.metrics import binomial_metrics
 from assayer.operators.ordering import quantiles
@@ -21,6 +22,10 @@ RIDGE = {
     "ridge_single_equal_round": ("single", "equal"),
     "group_only_all": ("group", "pieces"),
 }
+EXPANDED = {
+    "ridge_expanded_pieces": ("expanded", "pieces"),
+    "ridge_expanded_equal_round": ("expanded", "equal"),
+}
 LEGACY = {"legacy_1000": 1000, "legacy_5000": 5000}
 PENALTIES = (0.1, 1.0, 10.0)
 
@@ -39,7 +44,7 @@ def weighted_cohort(rounds: DataFrame, variants: dict[str, tuple[str, str]] = RI
         )
     )
     rows = rounds.join(caps, FIT, "left").select("*", choice.alias("c")).select("*", "c.*").drop("c")
-    rows = rows.filter("Mode = 'group' OR Attribution = 'single'")
+    rows = rows.filter("Mode <> 'single' OR Attribution = 'single'")
     n = F.col("InspectedQty")
     exposure = F.when(F.col("Weighting") == "capped", F.least(n, F.col("__cap"))).when(F.col("Weighting") == "equal", F.lit(1.0)).otherwise(n)
     return rows.withColumns({"PassQty": F.col("PassQty") / n * exposure, "InspectedQty": exposure}).drop("__cap")
@@ -55,6 +60,33 @@ def fit_candidates(rounds: DataFrame, variants=RIDGE, penalties=PENALTIES, max_i
     return _both(with_workers, group_only)
 
 
+def fit_expanded(rounds: DataFrame, variants=EXPANDED, penalties=PENALTIES, tol: float = 1e-6) -> DesignFit:
+    """Ridge fits on sparse designs, all advanced together; ``rounds`` carry the array ``Workers`` of their team.
+
+    Expanded candidates learn from all rounds: each worker of a team counts 1 / team size, and indicators tell rounds of teams
+    and of unknown workers. Every variant of this module can be fitted this way.
+    """
+    return fit_outcomes(weighted_cohort(rounds, variants, penalties), [*FIT, "Variant", "Penalty"], tol)
+
+
+def predict_expanded(fit: DesignFit, rows: DataFrame, variants=EXPANDED) -> DataFrame:
+    """Predictions of every fitted design for the same rows; a team counts as the mean of its workers."""
+    modes = F.create_map(*[F.lit(part) for name, (mode, _w) in variants.items() for part in (name, mode)])
+    grid = rows.join(fit.health.select(*FIT, "Variant", "Penalty", "Converged"), FIT).withColumn("Mode", modes[F.col("Variant")])
+    return predict_outcomes(grid, fit, [*FIT, "Variant", "Penalty"]).drop("Mode")
+
+
+def design_balance(rounds: DataFrame, fit: DesignFit, variants=EXPANDED, penalties=PENALTIES, bound: float = 1e-5) -> DataFrame:
+    """Terms of every design fit, and those whose gradient per round exceeds ``bound``, recomputed from the rounds."""
+    keys = [*FIT, "Variant", "Penalty"]
+    cohort = cut_lineage(weighted_cohort(rounds, variants, penalties))
+    sizes = cohort.filter("SizeAdjustedGroup IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("Observations"))
+    steep = off_balance(cohort, fit, keys).join(sizes, keys).groupBy(*keys, "Observations").agg(
+        F.count("*").alias("Terms"), F.count_if(F.abs("Gradient") / F.col("Observations") > bound).alias("TermsOffBalance")
+    )
+    return steep.join(fit.health.select(*keys, "Converged"), keys)
+
+
 def fit_legacy(rounds: DataFrame, variants: dict[str, int] = LEGACY) -> EffectFit:
     """The adaptive-variance benchmark at each iteration budget.
 
@@ -108,8 +140,8 @@ def select_variant(choices: DataFrame) -> DataFrame:
     return viable.groupBy(*FIT).agg(F.min_by("Variant", F.struct("PieceLogLoss", "Variant")).alias("SelectedVariant"))
 
 
-def compare(rounds: DataFrame, min_train: int = 10, min_validation: int = 5) -> dict[str, DataFrame]:
-    """Tune on validation only, refit on train and validation, score the test window once."""
+def compare(rounds: DataFrame, min_train: int = 10, min_validation: int = 5, expanded: bool = True) -> dict[str, DataFrame]:
+    """Tune on validation only, refit on train and validation, score the test window once; ``expanded`` adds the shared-team designs."""
     split = cut_lineage(three_way_split(rounds, by=["Process"]))
     sizes = split.groupBy(*FIT).agg(
         F.count_if(F.col("Split") == "train").alias("a"),
@@ -120,15 +152,19 @@ def compare(rounds: DataFrame, min_train: int = 10, min_validation: int = 5) ->
     usable = cut_lineage(split.join(enough, FIT, "left_semi"))
     train = usable.filter("Split = 'train'")
     validation = usable.filter("Split = 'validation' AND Attribution = 'single'")
-    tuned = predict_candidates(fit_candidates(train), validation).unionByName(predict_candidates(fit_legacy(train), validation))
+
+    def predictions_of(training: DataFrame, rows: DataFrame) -> DataFrame:
+        found = predict_candidates(fit_candidates(training), rows).unionByName(predict_candidates(fit_legacy(training), rows))
+        return found.unionByName(predict_expanded(fit_expanded(training), rows)) if expanded else found
+
+    tuned = predictions_of(train, validation)
     scores = binomial_metrics(tuned, [*FIT, "Variant", "Penalty", "Converged"])
     choices = cut_lineage(select_penalty(scores))
     winners = select_variant(choices)
     refit_rows = usable.filter("Split IN ('train', 'validation')")
     test = usable.filter("Split = 'test'")
     chosen = choices.select(*FIT, "Variant", "Penalty")
-    refit = predict_candidates(fit_candidates(refit_rows), test).unionByName(predict_candidates(fit_legacy(refit_rows), test))
-    predictions = cut_lineage(refit.join(chosen, [*FIT, "Variant", "Penalty"], "left_semi"))
+    predictions = cut_lineage(predictions_of(refit_rows, test).join(chosen, [*FIT, "Variant", "Penalty"], "left_semi"))
     cohorts = predictions.withColumn("Cohort", F.explode(F.array(F.lit("all"), F.col("Attribution"))))
     single = predictions.filter("Attribution = 'single'")
     base = single.filter("Variant = 'legacy_1000'").select(*FIT, "WO", "RoundNo", F.col("Prediction").alias("Baseline"))
