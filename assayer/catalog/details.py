@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.catalog.attribution import WR_CTE, rounds
-from assayer.catalog.metrics import SCORE_CTE, scores
-from assayer.catalog.models import times
+from assayer.catalog.attribution import TEAM_CTE, WR_CTE, rounds
+from assayer.catalog.models import single_rounds, times
 from assayer.catalog.qc import TICKET_CTE
 from assayer.catalog.registry import Inputs, query, shown
 from assayer.operators import attribution as A
@@ -14,10 +13,10 @@ from assayer.operators import crossval as V
 from assayer.operators import details as D
 from assayer.operators import effects as E
 from assayer.operators import metrics as M
+from assayer.session import cut_lineage
 
-# Tickets whose item differs from their round's stand for the source's mismatches.
 LINK_CTE = """
-tk AS (SELECT TicketId, WO, RoundNo, CASE WHEN CAST(substr(WO, 3) AS BIGINT) % 19 = 0 THEN 'I-other' ELSE Item END AS Item FROM qc_tickets),
+tk AS (SELECT TicketId, WO, RoundNo, Item FROM qc_tickets),
 lk AS (SELECT t.*, r.Item AS RoundItem, r.Process AS RoundProcess, r.PassQty, r.PassQty + r.FailQty AS n, r.WO IS NOT NULL AS found
   FROM tk t LEFT JOIN rounds r ON t.WO = r.WO AND t.RoundNo = r.RoundNo),
 ln AS (SELECT *, CASE WHEN NOT found THEN 'NOT_LINKED' WHEN Item IS DISTINCT FROM RoundItem THEN 'ITEM_MISMATCH' ELSE 'MATCHED' END AS im FROM lk),
@@ -25,9 +24,8 @@ fp AS (SELECT *, CASE WHEN RoundNo = 1 AND n > 0 AND im = 'MATCHED' THEN PassQty
 
 
 def linked(inp: Inputs):
-    item = F.when(F.substring("WO", 3, 20).cast("bigint") % 19 == 0, "I-other").otherwise(F.col("Item"))
     core = rounds(inp).withColumn("InspectedQty", F.col("PassQty") + F.col("FailQty"))
-    return D.link_tickets(inp.qc_tickets.select("TicketId", "WO", "RoundNo", item.alias("Item")), core)
+    return D.link_tickets(inp.qc_tickets.select("TicketId", "WO", "RoundNo", "Item"), core)
 
 
 @query(
@@ -43,10 +41,11 @@ def ticket_rounds(inp: Inputs):
 
 @query(
     f"""
-WITH {TICKET_CTE}, {WR_CTE}, {LINK_CTE},
-ef AS (SELECT Process, CASE WHEN RoundNo = 1 THEN 'FIRST_PASS' ELSE 'REWORK' END AS Branch, Worker, avg(ln(Hours / Qty)) AS e FROM assignment
-  WHERE CAST(substr(Worker, 2) AS BIGINT) % 4 <> 0 GROUP BY 1, 2, 3)
-SELECT f.TicketId, f.WO, f.RoundNo, CASE WHEN f.RoundNo = 1 THEN 'FIRST_PASS' ELSE 'REWORK' END AS Branch, w.Worker, CAST(w.n AS BIGINT) AS WorkersInRound, round(e, 6) AS WorkerEffect,
+WITH {TICKET_CTE}, {WR_CTE}, {TEAM_CTE}, {LINK_CTE},
+sg AS (SELECT Process, CASE WHEN RoundNo = 1 THEN 'FIRST_PASS' ELSE 'REWORK' END AS Branch, Worker, SizeAdjustedGroup FROM att WHERE Attribution = 'single' AND SizeAdjustedGroup IS NOT NULL),
+ok AS (SELECT Process, Branch FROM sg GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT Worker) >= 2 AND count(DISTINCT SizeAdjustedGroup) >= 2),
+ef AS (SELECT DISTINCT sg.Process, sg.Branch, Worker, 1 AS e FROM sg JOIN ok ON sg.Process = ok.Process AND sg.Branch = ok.Branch)
+SELECT f.TicketId, f.WO, f.RoundNo, CASE WHEN f.RoundNo = 1 THEN 'FIRST_PASS' ELSE 'REWORK' END AS Branch, w.Worker, CAST(w.n AS BIGINT) AS WorkersInRound,
   CASE WHEN w.Worker IS NULL THEN 'NO_ATTRIBUTED_PRODUCTION_WORKER' WHEN e IS NULL THEN 'NO_FITTED_EFFECT' ELSE 'DIAGNOSTIC_ONLY' END AS WorkerScoreStatus
 FROM fp f LEFT JOIN wrn w ON f.WO = w.WO AND f.RoundNo = w.RoundNo
 LEFT JOIN ef ON ef.Process = f.RoundProcess AND ef.Worker = w.Worker AND ef.Branch = CASE WHEN f.RoundNo = 1 THEN 'FIRST_PASS' ELSE 'REWORK' END
@@ -54,24 +53,35 @@ LEFT JOIN ef ON ef.Process = f.RoundProcess AND ef.Worker = w.Worker AND ef.Bran
     ("qc_tickets", "assignment"),
 )
 def ticket_worker_effects(inp: Inputs):
-    branch = F.when(F.col("RoundNo") == 1, "FIRST_PASS").otherwise("REWORK").alias("Branch")
-    known = inp.assignment.filter("CAST(substr(Worker, 2) AS BIGINT) % 4 <> 0")
-    effects = known.groupBy("Process", branch, "Worker").agg(F.avg(F.ln(F.col("Hours") / F.col("Qty"))).alias("WorkerEffect"))
-    rows = D.ticket_workers(linked(inp), A.worker_rounds(inp.assignment), effects)
-    return shown(rows, "TicketId", "WO", "RoundNo", "Branch", "Worker", "WorkersInRound", "WorkerEffect", "WorkerScoreStatus")
+    """Which of a ticket's workers have a fitted effect of the round's branch."""
+    return shown(with_effects(inp), "TicketId", "WO", "RoundNo", "Branch", "Worker", "WorkersInRound", "WorkerScoreStatus")
+
+
+def with_effects(inp: Inputs):
+    learned = cut_lineage(single_rounds(inp).filter("Attribution = 'single'"))
+    branch = F.when(F.col("RoundNo") == 1, "FIRST_PASS").otherwise("REWORK")
+    fit = E.fit_crossed_logit(learned.withColumn("Branch", branch), ["Process", "Branch"])
+    return D.ticket_workers(linked(inp), A.worker_rounds(inp.assignment), fit.workers)
+
+
+@query()
+def ticket_worker_effect_values(inp: Inputs):
+    """Tickets with the fitted first-pass and rework effects of their workers."""
+    return shown(with_effects(inp), "TicketId", "WO", "RoundNo", "Branch", "Worker", "WorkersInRound", "WorkerEffect", "WorkerScoreStatus")
 
 
 @query(
-    f"""
-WITH {SCORE_CTE}, z AS (SELECT *, CASE WHEN stddev_samp(d) OVER w > 0 THEN (d - avg(d) OVER w) / stddev_samp(d) OVER w ELSE 0 END AS zz
-  FROM (SELECT *, Skill - Score AS d FROM pair) x WINDOW w AS (PARTITION BY Process))
-SELECT Process, Worker, round(zz, 6) AS ZScore FROM z WHERE abs(zz) >= 2 ORDER BY abs(zz) DESC, Process, Worker
+    """
+WITH z AS (SELECT Process, concat(WO, '-', CAST(RoundNo AS VARCHAR)) AS Assignment, CASE WHEN stddev_samp(y) OVER w > 0 THEN (y - avg(y) OVER w) / stddev_samp(y) OVER w ELSE 0 END AS zz
+  FROM (SELECT *, ln(Hours / Qty) AS y FROM production) p WINDOW w AS (PARTITION BY Process))
+SELECT Process, Assignment, round(zz, 6) AS ZScore FROM z WHERE abs(zz) >= 2 ORDER BY abs(zz) DESC, Process, Assignment
 """,
-    ("assignment", "skills"),
+    ("production",),
 )
 def ranked_outliers(inp: Inputs):
-    rows = scores(inp).withColumn("Difference", F.col("Skill") - F.col("Score"))
-    return shown(M.ranked_outliers(rows, ["Process"], "Difference", "Worker"), "Process", "Worker", "ZScore")
+    """Production records whose time per piece stands out in their process, in report order."""
+    rows = times(inp).withColumn("Assignment", F.concat_ws("-", "WO", F.col("RoundNo").cast("bigint").cast("string")))
+    return shown(M.ranked_outliers(rows, ["Process"], "LogTime", "Assignment"), "Process", "Assignment", "ZScore")
 
 
 @query()
