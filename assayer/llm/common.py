@@ -63,6 +63,14 @@ def offer_broadcast(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have; Spark takes names without regard to case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def binary(column: str):
     """UTF-8 bytes of a text column; null is empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

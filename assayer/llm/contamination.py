@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.common import offer_broadcast, settle
+from assayer.llm.common import free_name, offer_broadcast, settle
 
 WINDOW = 10
 # Characters that separate words once A-Z are lower-cased, and the same set for text as it is (fixed by the contract).
@@ -120,6 +120,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without any benchmark window, their columns unchanged."""
-    found = settle(overlaps(docs, benchmark).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__h"))
+    number, text = free_name(docs, "__id"), free_name(docs, "__h")
+    found = settle(overlaps(docs, benchmark).select(F.col("doc_id").alias(number), F.col("h").alias(text)))
+    same = F.col("doc_id").eqNullSafe(F.col(number)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(text))
     return docs.join(offer_broadcast(found, 64), same, "left_anti")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import binary, columns, settle, slices
+from assayer.llm.common import binary, columns, free_name, settle, slices
 
 # White space that does not count in a comparison (fixed by the contract).
 WHITE_SPACE = b" \t\n\x0b\x0c\r"
@@ -144,6 +144,7 @@ def exact_duplicates(docs: DataFrame, table_bytes: int = TABLE_BYTES, row_id: st
 
 def drop_exact_duplicates(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, all their columns unchanged; see exact_duplicates for which stay."""
-    numbered = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
-    stay = exact_duplicates(numbered, table_bytes, row_id="__row").filter("kept").select(F.col("rid").alias("__row"))
-    return numbered.join(stay, "__row", "left_semi").drop("__row")
+    row = free_name(docs, "__row")
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))
+    stay = exact_duplicates(numbered, table_bytes, row_id=row).filter("kept").select(F.col("rid").alias(row))
+    return numbered.join(stay, row, "left_semi").drop(row)

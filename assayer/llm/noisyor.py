@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.llm.common import binary, columns
+from assayer.llm.common import binary, columns, free_name
 from assayer.llm.features import REMEMBERED, TRAIN_ROWS, adam, counted, fitted, held_out, sentences, training_rows
 
 FEATURES = 1 << 18
@@ -23,7 +23,7 @@ STEPS, RATE, SHRINK = 150, 0.08, 2e-5
 BEGINNINGS = (5, 6, 7, 8)
 # A feature takes part where presence and label of the training documents depend on each other at least this much.
 LEAST_CHI_SQUARE, LEAST_DOCUMENTS = 15.0, 4
-_MARK = "__toxicity"
+
 
 def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
@@ -141,7 +141,7 @@ def _append(shared):
             raws = batch.column(batch.num_columns - 1).to_pylist()
             if raws:
                 score = _evaluate(raws, weights, b)[0]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=[*batch.schema.names[:-1], _MARK])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], names=batch.schema.names)
 
     return run
 
@@ -167,6 +167,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, all their columns unchanged; one pass, no shuffle of texts."""
-    wide = docs.withColumn(_MARK, binary("text"))
-    schema = T.StructType([*docs.schema.fields, T.StructField(_MARK, T.DoubleType())])
-    return wide.mapInArrow(_append(_model(docs, labels, train_rows)), schema).filter(F.col(_MARK) < threshold).drop(_MARK)
+    mark = free_name(docs, "__toxicity")
+    wide = docs.withColumn(mark, binary("text"))
+    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.DoubleType())])
+    return wide.mapInArrow(_append(_model(docs, labels, train_rows)), schema).filter(F.col(mark) < threshold).drop(mark)

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.common import binary, columns, offer_broadcast, settle
+from assayer.llm.common import binary, columns, free_name, offer_broadcast, settle
 from assayer.operators.graph import connected_components
 
 SHINGLE = 5
@@ -22,6 +22,10 @@ SKETCHES, PICKED = 12, 2
 SMALL_BUCKET = 32
 # A large bucket gets another leader while a round leaves at most this share of its classes. It settles cost, not results.
 LEADING = 0.75
+# Texts of a block in the join on rare shingles: those outside a shingle's main class, and all that hold it.
+OUTSIDE_BLOCK, ALL_BLOCK = 256, 1024
+# A shingle that occurs more often in a text is aligned by one mask of its places.
+MANY_PLACES = 64
 
 _RNG = np.random.default_rng(20240607)
 _SEEDS = _RNG.integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -95,6 +99,12 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _ROWS_DDL = "doc_id long, rid long, digest binary, n long, sketches array<long>, body binary"
 
 
+def _mask(places: list[int], n: int) -> int:
+    bits = np.zeros(n, np.uint8)
+    bits[places] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
 def aligned(a: list, b: list, least: float) -> float:
     """Similarity by banded alignment: shingles matched in order over all shingles, 0 where it stays below ``least``.
 
@@ -108,6 +118,9 @@ def aligned(a: list, b: list, least: float) -> float:
     places: dict = {}
     for k, gram in enumerate(a):
         places.setdefault(gram, []).append(k)
+    # A shingle of many places is matched at once; there are few of those, so their masks stay small.
+    many = max(MANY_PLACES, n // 1024)
+    masks = {gram: _mask(at, n) for gram, at in places.items() if len(at) > many}
     counts: dict = {}
     for gram in b:
         if gram in places:
@@ -118,10 +131,15 @@ def aligned(a: list, b: list, least: float) -> float:
     full = (1 << n) - 1
     row = full
     for j, gram in enumerate(b):
-        match = 0
-        for k in places.get(gram, ()):
-            if abs(k - j) <= band:
-                match |= 1 << k
+        if gram in masks:
+            low = max(j - band, 0)
+            match = masks[gram] >> low & (1 << j + band + 1 - low) - 1
+            match <<= low
+        else:
+            match = 0
+            for k in places.get(gram, ()):
+                if abs(k - j) <= band:
+                    match |= 1 << k
         if match:
             both = row & match
             row = ((row + both) | (row - both)) & full
@@ -171,31 +189,31 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes of two blocks of texts that hold one shingle, as far as lengths and places allow."""
+    """Pairs of different classes, one text of a block outside a shingle's main class each, as far as lengths and places allow."""
     for batch in batches:
         first, second = [], []
-        for i, j, texts in zip(*columns(batch, "i", "j", "x")):
+        for group in batch.column(0):
+            texts = group.as_py()
             digest = np.array([t["digest"] for t in texts], dtype=object)
             root = np.unique(np.array([t["root"].hex() for t in texts]), return_inverse=True)[1]
-            n, rest, block = (np.array([t[k] for t in texts]) for k in ("n", "rest", "block"))
+            n, rest, outside = (np.array([t[k] for t in texts]) for k in ("n", "rest", "outside"))
+            here, there = np.flatnonzero(outside), np.flatnonzero(~outside)
             # The first common shingle in the order of rareness has all other common ones after it.
-            need = SIMILARITY * (n[:, None] + n) / (1 + SIMILARITY) - 1e-9
-            fits = (root[:, None] < root) & (np.minimum(rest[:, None], rest) + 1 >= need)
-            if i != j:
-                fits &= block[:, None] != block
+            need = SIMILARITY * (n[here, None] + n[there]) / (1 + SIMILARITY) - 1e-9
+            fits = (root[here, None] != root[there]) & (np.minimum(rest[here, None], rest[there]) + 1 >= need)
             for a, b in zip(*np.nonzero(fits)):
-                low, high = sorted((digest[a], digest[b]))
+                low, high = sorted((digest[here[a]], digest[there[b]]))
                 first.append(low)
                 second.append(high)
         yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["a", "b"])
 
 
-def _pairs_by_rare_shingles(texts: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different classes in ``texts`` (digest, n, root) that can reach the similarity.
+def _rare_shingles(texts: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(digest, n, rest, label): the rare shingles of ``texts`` (digest, n), and how many common ones follow each.
 
     Texts of n and m shingles that are near have at least SIMILARITY * max(n, m) labelled shingles in common, so they
     share one among the n - SIMILARITY * n + 1 and m - SIMILARITY * m + 1 rarest. Shingles of one text come first and
-    match nothing. The texts that hold a shingle are dealt to blocks of about SMALL_BUCKET, and blocks to tasks by pairs.
+    match nothing.
     """
     placed = nodes.select("digest", "rid").join(offer_broadcast(texts.select("digest"), 60), "digest")
     bodies = rows.select("rid", "body").join(offer_broadcast(placed, 120), "rid").select("digest", "body")
@@ -205,15 +223,44 @@ def _pairs_by_rare_shingles(texts: DataFrame, rows: DataFrame, nodes: DataFrame)
     single = F.col("n") - F.size("x")
     prefix = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1
     reach = shared.join(texts, "digest").withColumn("single", single).withColumn("prefix", F.greatest(prefix - single, F.lit(0)).cast("int"))
-    held = reach.select("digest", "root", "n", "single", F.posexplode(F.slice("x", F.lit(1), F.col("prefix"))).alias("at", "one"))
-    postings = settle(held.select("digest", "root", "n", (F.col("n") - F.col("single") - F.col("at") - 1).alias("rest"), F.col("one.label").alias("label")))
-    blocks = F.ceil(F.count("*") / SMALL_BUCKET).cast("int").alias("blocks")
-    mixed = settle(postings.groupBy("label").agg(blocks, F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("label", "blocks"))
-    dealt = postings.join(offer_broadcast(mixed, 60), "label").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = met.groupBy("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    lists = groups.agg(F.collect_list(F.struct("digest", "root", "n", "rest", "block")).alias("x")).filter(F.size("x") > 1)
-    return lists.select("i", "j", "x").mapInArrow(_across, "a binary, b binary").distinct()
+    held = reach.select("digest", "n", "single", F.posexplode(F.slice("x", F.lit(1), F.col("prefix"))).alias("at", "one"))
+    return settle(held.select("digest", "n", (F.col("n") - F.col("single") - F.col("at") - 1).alias("rest"), F.col("one.label").alias("label")))
+
+
+def _parted(postings: DataFrame) -> DataFrame:
+    """The ``postings`` (with root) of shingles that texts of several classes hold."""
+    mixed = postings.groupBy("label").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("label")
+    return postings.join(offer_broadcast(settle(mixed), 40), "label")
+
+
+def _one_a_class(postings: DataFrame, round_: int) -> DataFrame:
+    """Candidate pairs of each shingle: one text of each class with that of one class, fewer pairs than postings."""
+    drawn = F.min(F.struct(F.xxhash64("digest", "label", F.lit(round_)).alias("busy"), "digest", "n"))
+    return _stars(postings.groupBy(F.col("label").alias("bucket"), "root").agg(drawn.alias("x")).select("bucket", "x.digest", "x.n", "x.busy"))
+
+
+def outsiders_and_all(postings: DataFrame) -> DataFrame:
+    """``postings`` (with root) dealt to groups (label, i, j) in which every two texts of different classes meet.
+
+    One text of such a pair lies outside the largest class of the shingle. Those texts are dealt to blocks, and so are
+    all texts of the shingle; a pair of blocks is a group of bounded size. A few texts beside a family of copies cost
+    about one row for each copy.
+    """
+    sizes = settle(postings.groupBy("label", "root").agg(F.count("*").alias("size")))
+    main = sizes.groupBy("label").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("classes")).filter("classes > 1")
+    blocks = [F.ceil((F.col("all") - F.col("main.size")) / OUTSIDE_BLOCK).cast("int").alias("outsides"), F.ceil(F.col("all") / ALL_BLOCK).cast("int").alias("alls")]
+    dealt = postings.join(offer_broadcast(settle(main.select("label", F.col("main.root").alias("main"), *blocks)), 80), "label")
+    block = lambda count, seed: F.pmod(F.xxhash64("digest", F.lit(seed)), F.col(count)).cast("int")
+    kept = ["digest", "root", "n", "rest"]
+    mine = dealt.filter(F.col("root") != F.col("main")).select("label", *kept, block("outsides", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("outside"))
+    others = dealt.select("label", *kept, F.explode(F.sequence(F.lit(0), F.col("outsides") - 1)).alias("i"), block("alls", 2).alias("j"), F.lit(False).alias("outside"))
+    return mine.unionByName(others)
+
+
+def _pairs_by_rare_shingles(postings: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different classes in ``postings`` (with root) that can reach the similarity."""
+    groups = outsiders_and_all(postings).groupBy("label", "i", "j").agg(F.collect_list(F.struct("digest", "root", "n", "rest", "outside")).alias("x"))
+    return groups.select("x").mapInArrow(_across, "a binary, b binary").distinct()
 
 
 def _classes(links: DataFrame) -> DataFrame:
@@ -244,7 +291,8 @@ def near_duplicates(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     gives an empty result; other columns are ignored. Small buckets of candidates are compared pair by pair. Larger
     ones are compared with their busiest text, then in rounds while these merge classes fast: one member of each class,
     under another leader. At last all texts of buckets that still hold several classes are joined on their rarest
-    shingles, and every pair of different classes that can be near is aligned. So the classes are those of comparing all
+    shingles: one text of each class in rounds while classes merge, then every pair of different classes that can be
+    near is aligned. So the classes are those of comparing all
     pairs of every bucket.
     Result: doc_id, class_id (smallest doc_id of the class), class_size, kept (one row of each class), rid.
     """
@@ -283,9 +331,20 @@ def near_duplicates(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     # What is still parted in a large bucket is compared across its classes, whatever the leaders found.
     placed = _rooted(large, roots)
     parted = placed.groupBy("bucket").agg(F.countDistinct("root").alias("now")).filter("now > 1").select("bucket")
-    apart = settle(placed.join(parted, "bucket").select("digest", "n", "root").distinct())
+    apart = settle(placed.join(parted, "bucket").select("digest", "n").distinct())
     if not apart.isEmpty():
-        fresh = settle(_pairs_by_rare_shingles(apart, rows, nodes).join(tested, ["a", "b"], "left_anti"))
+        rare = _rare_shingles(apart, rows, nodes)
+        # First one text of each class that holds a shingle, in rounds while classes merge: most stragglers go here.
+        while True:
+            round_ += 1
+            rare = settle(_parted(_rooted(rare.drop("root"), roots)))
+            fresh = settle(_one_a_class(rare, round_).join(tested, ["a", "b"], "left_anti"))
+            found = _links(fresh, rows, nodes)
+            tested, links = tested.unionByName(fresh), links.unionByName(found)
+            if found.isEmpty():
+                break
+            roots = _classes(links)
+        fresh = settle(_pairs_by_rare_shingles(rare).join(tested, ["a", "b"], "left_anti"))
         found = _links(fresh, rows, nodes)
         if not found.isEmpty():
             roots = _classes(links.unionByName(found))
@@ -301,6 +360,7 @@ def near_duplicates(docs: DataFrame, row_id: str | None = None) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each class of near duplicates, all columns unchanged."""
-    numbered = settle(docs.withColumn("__row", F.monotonically_increasing_id()))
-    stay = near_duplicates(numbered, row_id="__row").filter("kept").select(F.col("rid").alias("__row"))
-    return numbered.join(stay, "__row", "left_semi").drop("__row")
+    row = free_name(docs, "__row")
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))
+    stay = near_duplicates(numbered, row_id=row).filter("kept").select(F.col("rid").alias(row))
+    return numbered.join(stay, row, "left_semi").drop(row)

@@ -136,6 +136,48 @@ def test_crowded_buckets(spark):
     assert {r["doc_id"]: r["class_id"] for r in ordermin.near_duplicates(docs).collect()} == expected
 
 
+def test_family_with_stragglers(spark):
+    """A large family of edited copies, and texts that are near to a few of them or to none."""
+    rng = random.Random(5)
+
+    def edited(words, edits):
+        words = list(words)
+        for _ in range(edits):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**9)}"
+        return words
+
+    base = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    copies = [edited(base, rng.randrange(1, 4)) for _ in range(150)]
+    texts = copies + [edited(copies[k], 5 + k % 5) for k in range(20)]
+    docs = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    found = ordermin.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in found.collect()} == near_by_hand(docs)
+
+
+def test_rows_of_crowded_shingles(spark):
+    """Rows grow with the copies of a family, not with their square, and every two texts of two classes meet."""
+    schema = "digest binary, n long, rest long, label long, root binary"
+    rows = [(b"%05d" % k, 50, 49, 1, b"main" if k >= 20 else b"%05d" % k) for k in range(5000)]
+    postings = spark.createDataFrame(rows, schema)
+    dealt = ordermin.outsiders_and_all(postings)
+    assert dealt.count() <= 5000 + 20 * 5
+    pairs = {(bytes(r["a"]), bytes(r["b"])) for r in ordermin._pairs_by_rare_shingles(postings).collect()}
+    assert pairs == {(rows[a][0], rows[b][0]) for a in range(20) for b in range(a + 1, 5000)}
+
+
+def test_alignment_of_repeated_shingles(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(60):
+        a = [rng.randrange(6) for _ in range(rng.randrange(1, 120))]
+        b = [x if rng.random() < 0.95 else rng.randrange(6) for x in a] + [1] * rng.randrange(4)
+        monkeypatch.setattr(ordermin, "MANY_PLACES", 10**9)
+        plain = ordermin.aligned(a, b, 0.8)
+        monkeypatch.setattr(ordermin, "MANY_PLACES", 0)
+        assert ordermin.aligned(a, b, 0.8) == plain
+    line = [1] * 60_000
+    assert ordermin.aligned(line, line[:-10], 0.8) == (60_000 - 10) / 60_000
+
+
 def test_shards(spark):
     rows = rows_of(spark, "op7_histogram_shards")
     docs = dict(read("documents", "doc_id, text"))

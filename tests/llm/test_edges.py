@@ -162,3 +162,12 @@ def test_chats(spark):
     assert rows[1]["turns_sha256"] == hashlib.sha256(b"tool\n[ROLE] \\ </s>\nuser\n\nassistant\nb\nassistant\nb\n").hexdigest()
     assert rows[None]["turns_sha256"] == hashlib.sha256(b"\nx\n").hexdigest() and rows[2]["loss_sha256"] == hashlib.sha256(b"<|endoftext|>").hexdigest()
     assert chat.read_chats(chat.format_chats(turns.filter("false"), **BYTE_BPE), **BYTE_BPE).count() == 0
+
+
+def test_names_of_the_callers_columns(spark, labels, benchmark):
+    docs = spark.createDataFrame([(1, PROSE, 5, "a", "b", "c"), (2, PROSE, 6, "a", "b", "c")], "doc_id long, text string, __row int, __id string, __H string, __toxicity string")
+    for found in (grace.drop_exact_duplicates(docs), ordermin.drop_near_duplicates(docs), contamination.drop_contaminated(docs, benchmark.limit(0)), noisyor.drop_toxic(docs, labels)):
+        assert found.columns == docs.columns
+        assert set(map(tuple, found.collect())) <= set(map(tuple, docs.collect()))
+    assert ordermin.drop_near_duplicates(docs).count() == 1
+    assert grace.drop_exact_duplicates(docs).count() == 1
