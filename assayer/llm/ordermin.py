@@ -239,6 +239,21 @@ def _one_a_class(postings: DataFrame, round_: int) -> DataFrame:
     return _stars(postings.groupBy(F.col("label").alias("bucket"), "root").agg(drawn.alias("x")).select("bucket", "x.digest", "x.n", "x.busy"))
 
 
+def _main_classes(postings: DataFrame) -> DataFrame:
+    """The largest class of each shingle of several, the blocks its texts are dealt to, and the rows of that."""
+    sizes = postings.groupBy("label", "root").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("label").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("classes")).filter("classes > 1")
+    outside = F.col("all") - F.col("main.size")
+    blocks = main.withColumn("outsides", F.ceil(outside / OUTSIDE_BLOCK).cast("int")).withColumn("alls", F.ceil(F.col("all") / ALL_BLOCK).cast("int"))
+    return blocks.select("label", F.col("main.root").alias("main"), "outsides", "alls", "all", (outside * F.col("alls") + F.col("all") * F.col("outsides")).alias("rows"))
+
+
+def _many_rows(postings: DataFrame) -> bool:
+    """Whether dealing would take more than two rows for each posting."""
+    total = _main_classes(postings).agg(F.sum("rows").alias("rows"), F.sum("all").alias("all")).first()
+    return (total["rows"] or 0) > 2 * (total["all"] or 0)
+
+
 def outsiders_and_all(postings: DataFrame) -> DataFrame:
     """``postings`` (with root) dealt to groups (label, i, j) in which every two texts of different classes meet.
 
@@ -246,10 +261,7 @@ def outsiders_and_all(postings: DataFrame) -> DataFrame:
     all texts of the shingle; a pair of blocks is a group of bounded size. A few texts beside a family of copies cost
     about one row for each copy.
     """
-    sizes = settle(postings.groupBy("label", "root").agg(F.count("*").alias("size")))
-    main = sizes.groupBy("label").agg(F.max(F.struct("size", "root")).alias("main"), F.sum("size").alias("all"), F.count("*").alias("classes")).filter("classes > 1")
-    blocks = [F.ceil((F.col("all") - F.col("main.size")) / OUTSIDE_BLOCK).cast("int").alias("outsides"), F.ceil(F.col("all") / ALL_BLOCK).cast("int").alias("alls")]
-    dealt = postings.join(offer_broadcast(settle(main.select("label", F.col("main.root").alias("main"), *blocks)), 80), "label")
+    dealt = postings.join(offer_broadcast(settle(_main_classes(postings).select("label", "main", "outsides", "alls")), 80), "label")
     block = lambda count, seed: F.pmod(F.xxhash64("digest", F.lit(seed)), F.col(count)).cast("int")
     kept = ["digest", "root", "n", "rest"]
     mine = dealt.filter(F.col("root") != F.col("main")).select("label", *kept, block("outsides", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("outside"))
@@ -291,7 +303,7 @@ def near_duplicates(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     gives an empty result; other columns are ignored. Small buckets of candidates are compared pair by pair. Larger
     ones are compared with their busiest text, then in rounds while these merge classes fast: one member of each class,
     under another leader. At last all texts of buckets that still hold several classes are joined on their rarest
-    shingles: one text of each class in rounds while classes merge, then every pair of different classes that can be
+    shingles: one text of each class first, in rounds, then every pair of different classes that can be
     near is aligned. So the classes are those of comparing all
     pairs of every bucket.
     Result: doc_id, class_id (smallest doc_id of the class), class_size, kept (one row of each class), rid.
@@ -333,17 +345,20 @@ def near_duplicates(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     parted = placed.groupBy("bucket").agg(F.countDistinct("root").alias("now")).filter("now > 1").select("bucket")
     apart = settle(placed.join(parted, "bucket").select("digest", "n").distinct())
     if not apart.isEmpty():
-        rare = _rare_shingles(apart, rows, nodes)
-        # First one text of each class that holds a shingle, in rounds while classes merge: most stragglers go here.
+        rare = settle(_parted(_rooted(_rare_shingles(apart, rows, nodes), roots)))
+        # First one text of each class that holds a shingle: most stragglers go here. More rounds follow while classes
+        # merge and what is left would still cost many rows; that settles cost, not results.
         while True:
             round_ += 1
-            rare = settle(_parted(_rooted(rare.drop("root"), roots)))
             fresh = settle(_one_a_class(rare, round_).join(tested, ["a", "b"], "left_anti"))
             found = _links(fresh, rows, nodes)
             tested, links = tested.unionByName(fresh), links.unionByName(found)
             if found.isEmpty():
                 break
             roots = _classes(links)
+            rare = settle(_parted(_rooted(rare.drop("root"), roots)))
+            if not _many_rows(rare):
+                break
         fresh = settle(_pairs_by_rare_shingles(rare).join(tested, ["a", "b"], "left_anti"))
         found = _links(fresh, rows, nodes)
         if not found.isEmpty():
