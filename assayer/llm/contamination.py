@@ -60,19 +60,32 @@ def _run(side: int) -> Column:
     """How many words next to the anchor agree on one side, WINDOW - 1 at most."""
     length = F.lit(WINDOW - 1)
     for step in range(WINDOW - 1, 0, -1):
-        agree = F.get("words", F.col("pos") + side * step) == F.col("around")[WINDOW - 1 + side * step]
+        agree = F.get("beside", F.col("here") + side * step) == F.col("around")[WINDOW - 1 + side * step]
         length = F.when(F.coalesce(agree, F.lit(False)), length).otherwise(step - 1)
     return length
 
 
+def _with_reach(tokens: DataFrame) -> DataFrame:
+    """Tokens with the words that a window over them can hold in place of all words, and their place among these."""
+    low = F.greatest(F.col("pos") - (WINDOW - 1), F.lit(0))
+    high = F.col("pos") + WINDOW
+    beside = F.slice("words", low + 1, high - low)
+    return tokens.withColumn("beside", beside).withColumn("here", F.least("pos", F.lit(WINDOW - 1))).drop("words")
+
+
 def hits(keyed: DataFrame, prefix: DataFrame) -> DataFrame:
-    """(doc_id, h, item_id, first, last): runs of document words that hold whole windows of an item."""
+    """(doc_id, h, item_id, first, last): runs of document words that hold whole windows of an item.
+
+    Where the prefix words are few enough to be broadcast, other tokens leave before anything moves. Beyond that tokens are
+    shuffled, each with the words within a window's reach of it, never with the text.
+    """
+    offered = offer_broadcast(prefix, 700)
     words = keyed.select("doc_id", "h", words_of(F.col("text")).alias("words"))
-    tokens = words.select("doc_id", "h", "words", F.posexplode("words").alias("pos", "word"))
+    spread = words.select("doc_id", "h", "words", F.posexplode("words").alias("pos", "word"))
+    candidates = _with_reach(spread.join(offered, "word")) if offered is not prefix else _with_reach(spread).join(prefix, "word")
     # Length and position: the document must have room for a window around the anchor.
-    room = F.least("pos", "p", F.lit(WINDOW - 1)) + F.least(F.size("words") - F.col("pos") - 1, "after", F.lit(WINDOW - 1)) + 1
-    candidates = tokens.join(offer_broadcast(prefix, 700), "word").filter(room >= F.col("w"))
-    runs = candidates.select("doc_id", "h", "item_id", "w", "pos", _run(-1).alias("before"), _run(1).alias("behind"))
+    room = F.least("here", "p") + F.least(F.size("beside") - F.col("here") - 1, "after", F.lit(WINDOW - 1)) + 1
+    runs = candidates.filter(room >= F.col("w")).select("doc_id", "h", "item_id", "w", "pos", _run(-1).alias("before"), _run(1).alias("behind"))
     exact = runs.filter(F.col("before") + F.col("behind") + 1 >= F.col("w"))
     return exact.select("doc_id", "h", "item_id", (F.col("pos") - F.col("before")).alias("first"), (F.col("pos") + F.col("behind")).alias("last")).distinct()
 
