@@ -42,8 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write a table once into the shared checkpoint folder and read it back.
+def settle(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write a table once into the shared checkpoint folder, in one folder per value of ``by`` if given, and read it back.
 
     Later steps start from files every executor can read, so a lost executor costs only the step it was in,
     and columns such as row numbers stay what they were at the time of writing.
@@ -51,7 +51,7 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

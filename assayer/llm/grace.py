@@ -1,12 +1,13 @@
-"""Exact deduplication as a Grace hash: partition by hash, fill one table per bucket, partition the overflow again."""
+"""Exact deduplication as a Grace hash: partition by hash, fill one table per bucket, partition again what is too large."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.common import binary, columns, free_name, settle, slices
@@ -16,6 +17,8 @@ WHITE_SPACE = b" \t\n\x0b\x0c\r"
 # Bytes of content one bucket's table may hold in a task.
 TABLE_BYTES = 64 * 1024 * 1024
 ENTRY_BYTES = 400
+# Most buckets of one exchange.
+FAN_OUT = 4096
 
 _RECORD = pa.schema([("digest", pa.binary()), ("content", pa.binary()), ("size", pa.int64()), ("n_chars", pa.int64()), ("doc_id", pa.int64()), ("ties", pa.int64()), ("done", pa.bool_())])
 _RECORD_DDL = "digest binary, content binary, size long, n_chars long, doc_id long, ties long, done boolean"
@@ -97,26 +100,43 @@ def _bucket(table_bytes: int):
     return fill
 
 
-def groups_of_equal(rows: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """(digest, size, n_chars, doc_id, ties): one row per distinct content of ``raw``.
+def _extent(content: Column) -> list[Column]:
+    """Bytes that tables of these records need at most, and records."""
+    return [F.coalesce(F.sum(F.octet_length(content) + ENTRY_BYTES), F.lit(0)).alias("need"), F.count(content).alias("records")]
 
-    ``rows`` has raw (bytes), n_chars and doc_id. Level by level the records are dealt out by another mix of
-    their hash and written to the shared folder; each task fills a table of at most ``table_bytes``, and only what
-    found no room is partitioned again. Every level settles at least one content per task, so the loop ends.
+
+def groups_of_equal(rows: DataFrame, table_bytes: int = TABLE_BYTES, fan_out: int = FAN_OUT) -> DataFrame:
+    """(digest, size, n_chars, doc_id, ties): one row per distinct content of ``rows``.
+
+    ``rows`` has raw (bytes), n_chars and doc_id. Records are dealt out by a hash of their content to as many buckets as
+    tables of ``table_bytes`` are needed. Where these are more than ``fan_out``, records go to spill files of fewer, larger
+    buckets first, and each is partitioned in turn by another hash, so rewrites grow with the logarithm of the input.
+    What finds no room in a bucket's table is measured and partitioned again; every bucket settles at least one
+    content, so this ends.
     """
     spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    need, records = rows.agg(*_extent(F.col("raw"))).first()
     pending = rows.select("raw", "n_chars", "doc_id").mapInArrow(_local(table_bytes), _RECORD_DDL)
-    level, done = 0, None
-    while True:
-        dealt = pending.repartition(parts, F.xxhash64("digest", F.lit(level)))
-        spilled = settle(dealt.mapInArrow(_bucket(table_bytes), _RECORD_DDL))
-        finished = spilled.filter("done").drop("content", "done")
-        done = finished if done is None else done.unionByName(finished)
-        pending = spilled.filter("NOT done")
-        if pending.isEmpty():
-            return done
-        level += 1
+    waiting, finished = [(pending, 0, need, records)], []
+    while waiting:
+        pending, level, need, records = waiting.pop()
+        # Buckets differ in size by chance: a quarter more of them than full tables.
+        tables = min(-(-need * 5 // (table_bytes * 4)), records)
+        hashed = F.xxhash64("digest", F.lit(level))
+        if tables > fan_out:
+            wide = min(-(-tables // fan_out), fan_out)
+            spilled = settle(pending.withColumn("bucket", F.pmod(hashed, F.lit(wide)).cast("int")), by="bucket")
+            sizes = spilled.groupBy("bucket").agg(*_extent(F.col("content"))).collect()
+            waiting += [(spilled.filter(F.col("bucket") == k).drop("bucket"), level + 1, *extent) for k, *extent in sizes]
+            continue
+        filled = settle(pending.repartition(max(least, tables), hashed).mapInArrow(_bucket(table_bytes), _RECORD_DDL))
+        finished.append(filled.filter("done").drop("content", "done"))
+        over = filled.filter("NOT done")
+        need, records = over.agg(*_extent(F.col("content"))).first()
+        if records:
+            waiting.append((over, level + 1, need, records))
+    return reduce(DataFrame.unionByName, finished)
 
 
 def exact_duplicates(docs: DataFrame, table_bytes: int = TABLE_BYTES, row_id: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.llm import chat, contamination, factors, grace, histosort, mincut, mixture, noisyor, ordermin, pitmanyor
+from assayer.llm import chat, common, contamination, factors, grace, histosort, mincut, mixture, noisyor, ordermin, pitmanyor
 from assayer.llm.common import prepare
 from assayer.llm.queries import BYTE_BPE
 
@@ -64,6 +64,29 @@ def test_overflow_goes_to_further_levels(odd):
     assert wide == narrow
 
 
+def test_writes_grow_with_the_logarithm(spark, monkeypatch):
+    """As many buckets as tables are needed; a fan-out below that makes spill files of buckets first."""
+    docs = frame(prepare(spark), [(k, f"text number {k // 2} " * 9) for k in range(800)])
+    writes = []
+    monkeypatch.setattr(grace, "settle", lambda df, by=None, kept=grace.settle: (writes.append(by), kept(df, by))[1])
+    rows = docs.select(F.encode("text", "UTF-8").alias("raw"), F.lit(1).cast("long").alias("n_chars"), "doc_id")
+    found = []
+    for table_bytes, fan_out in ((1 << 20, 4096), (50_000, 4096), (12_500, 4096), (50_000, 4)):
+        writes.clear()
+        groups = grace.groups_of_equal(rows, table_bytes, fan_out)
+        found.append(sorted(map(tuple, groups.drop("ties").collect())))
+        assert len(found[-1]) == 400 and {r[1] for r in found[-1]} == {2}
+        assert writes[0] == ("bucket" if fan_out == 4 else None) and (fan_out == 4 or len(writes) <= 3)
+    assert all(f == found[0] for f in found)
+
+
+def test_hits_without_a_broadcast(odd, benchmark, monkeypatch):
+    """Beyond the broadcast bound tokens move with their reach only; the result is the same."""
+    near = sorted(map(str, contamination.contamination(odd, benchmark).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert near == sorted(map(str, contamination.contamination(odd, benchmark).collect())) and any("contaminated=True" in r for r in near)
+
+
 def test_near_duplicates(odd, none):
     rows = {(r["doc_id"], r["rid"]): r for r in ordermin.near_duplicates(odd).collect()}
     assert len(rows) == len(TEXTS) and ordermin.near_duplicates(none).count() == 0
