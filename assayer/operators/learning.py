@@ -5,19 +5,22 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from assayer.functions.expressions import is_close, micros, or_false, poisson_one
 from assayer.operators.contracts import assert_none, assert_unique
-from assayer.operators.ordering import midpoint_score, prefix_totals, quantiles, row_positions
+from assayer.operators.ordering import midpoint_score, prefix_totals, quantiles, ranked, row_positions
 from assayer.operators.production import GROUP, drop_other
-from assayer.session import cut_lineage
+from assayer.session import cut_lineage, settle
 
 # Evidence gates and ratio limits.
 MIN_PAIR_WOS, MIN_PAIR_DAYS, MIN_PAIR_DATES = 6, 30, 3
 MIN_GROUP_PAIRS, MIN_GROUP_WOS, MIN_GROUP_WORKERS = 3, 18, 2
 RATIO_MIN, RATIO_MAX = 0.1, 10.0
 IMPROVEMENT = math.log(1.10)
+# Half width, in root n, of the ranks searched for a resampled median: six of its standard deviations.
+NEAR_MIDDLE = 3.0
 PAIR = ["Process", GROUP, "Item", "Worker"]
 STAGES = ["Early", "Middle", "Late"]
 
@@ -110,18 +113,68 @@ def _score_against(points: DataFrame, value: str, reference: DataFrame, ref_valu
     return points.join(facts.select("Process", F.col("__v").alias(value), score.alias(name)), ["Process", value])
 
 
+def _resampled_medians(pairs: DataFrame, repetitions: int, seed: int) -> DataFrame:
+    """(Process, group, Rep, Stage, v): exact medians of every stage over Poisson(1) resamples of the pairs.
+
+    Nearly every resampled median has a rank within a few root n of the middle. Only pairs that close are repeated for each
+    replicate; of the pairs below only the total weight counts, summed before any shuffle. A median that the window does not
+    hold is taken from all pairs of its group.
+    """
+    group, spark = ["Process", GROUP], pairs.sparkSession
+    stages = range(1, len(STAGES) + 1)
+    reps = F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("Rep")
+    weight = poisson_one(F.lit(seed), F.col("Rep"), *[F.col(c) for c in PAIR])
+    wide = pairs.select(*PAIR, *[F.col(f"{s}EffortRatio").alias(f"v{i}") for i, s in zip(stages, STAGES)])
+    # A fixed number of partitions here and below: few rows become many, so they are not to be merged by their size.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wide = settle(wide.repartition(tasks, *PAIR))
+    rows = wide.select(*PAIR, F.inline(F.array(*[F.struct(F.lit(i).alias("Stage"), F.col(f"v{i}").alias("v")) for i in stages])))
+    rows = rows.filter("v IS NOT NULL")
+
+    facts = ranked(rows, [*group, "Stage"], "v")
+    middle, reach = (F.col("n_total") - 1) / 2, NEAR_MIDDLE * (F.sqrt("n_total") + 1)
+    near = (F.col("n_before") <= middle + reach) & (F.col("n_before") + F.col("n") - 1 >= middle - reach)
+    windows = settle(facts.filter(near).groupBy(*group, "Stage").agg(F.min("v").alias("low"), F.max("v").alias("high")))
+    bounds = windows.groupBy(*group).agg(*[F.max(F.when(F.col("Stage") == i, F.col("low"))).alias(f"low{i}") for i in stages])
+    weighed = wide.join(settle(bounds), group).select("*", reps).withColumn("k", weight).filter("k > 0")
+    totals = weighed.groupBy(*group, "Rep").agg(
+        *[F.sum(F.when(F.col(f"v{i}").isNotNull(), F.col("k"))).alias(f"total{i}") for i in stages],
+        *[F.sum(F.when(F.col(f"v{i}") < F.col(f"low{i}"), F.col("k")).otherwise(0)).alias(f"below{i}") for i in stages],
+    )
+    parts = [F.struct(F.lit(i).alias("Stage"), F.col(f"total{i}").alias("total"), F.col(f"below{i}").alias("below")) for i in stages]
+    totals = settle(totals.select(*group, "Rep", F.inline(F.array(*parts))).filter("total IS NOT NULL"))
+
+    # Dealt before the replicates are made; a window is about root n pairs, so its replicates are sorted in one task.
+    close = rows.join(windows, [*group, "Stage"]).filter("v BETWEEN low AND high").repartition(tasks, *group, "Stage")
+    close = close.select(*PAIR, "Stage", "v", reps).withColumn("k", weight).filter("k > 0").drop("Worker", "Item")
+    key = [*group, "Stage", "Rep"]
+    running = W.partitionBy(*key).orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    placed = close.withColumn("before", F.coalesce(F.sum("k").over(running), F.lit(0))).join(totals, key)
+    first = F.col("below") + F.col("before")
+    rank = (F.col("total") - 1) / 2
+
+    def at(wanted: Column) -> Column:
+        return F.max(F.when((wanted >= first) & (wanted < first + F.col("k")), F.col("v")))
+
+    found = placed.groupBy(*key).agg(at(F.floor(rank)).alias("lower"), at(F.ceil(rank)).alias("upper"), F.max(rank - F.floor(rank)).alias("fraction"))
+    found = settle(found.filter("lower IS NOT NULL AND upper IS NOT NULL").select(*key, (F.col("lower") + F.col("fraction") * (F.col("upper") - F.col("lower"))).alias("v")))
+    missing = settle(totals.select(*key).join(found, key, "left_anti"))
+    if missing.isEmpty():
+        return found
+    rest = rows.join(missing, [*group, "Stage"]).withColumn("k", weight).filter("k > 0")
+    return found.unionByName(quantiles(rest, key, "v", {"v": 0.5}, weight=F.col("k")))
+
+
 def learning_bootstrap(pairs: DataFrame, scores: DataFrame, repetitions: int = 200, seed: int = 42) -> DataFrame:
     """Share of resampled scores within one point, and a 90 % interval, per scored group."""
     reference = cut_lineage(scores.filter("Eligible"))
     scored = pairs.join(reference.select("Process", GROUP), ["Process", GROUP], "left_semi")
-    draws = scored.withColumn("Rep", F.explode(F.sequence(F.lit(1), F.lit(repetitions))))
-    draws = draws.withColumn("k", poisson_one(F.lit(seed), F.col("Rep"), *[F.col(c) for c in PAIR])).filter("k > 0")
-    draws = cut_lineage(draws.select("Process", GROUP, "Rep", "k", *[f"{s}EffortRatio" for s in STAGES]))
+    medians = _resampled_medians(scored, repetitions, seed)
     key = ["Process", GROUP, "Rep"]
-    merged = draws.select(*key).distinct()
+    merged = medians.select(*key).distinct()
     for i, stage in enumerate(STAGES, 1):
-        medians = quantiles(draws, key, f"{stage}EffortRatio", {f"v{i}": 0.5}, weight=F.col("k"))
-        merged = merged.join(_score_against(medians, f"v{i}", reference, f"Learning{stage}Ratio", f"s{i}").select(*key, f"s{i}"), key)
+        points = medians.filter(F.col("Stage") == i).select(*key, F.col("v").alias(f"v{i}"))
+        merged = merged.join(_score_against(points, f"v{i}", reference, f"Learning{stage}Ratio", f"s{i}").select(*key, f"s{i}"), key)
     point = reference.select("Process", GROUP, "LearningSourceScore")
     sampled = merged.withColumn("s", (F.col("s1") + F.col("s2") + F.col("s3")) / 3).join(point, ["Process", GROUP])
     near = (F.abs(F.col("s") - F.col("LearningSourceScore")) <= 1).cast("double")
