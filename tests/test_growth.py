@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions.expressions import poisson_one
+from assayer.operators import jointtime as J
 from assayer.operators import learning as L
 
 
@@ -42,3 +43,25 @@ def test_resampled_medians_are_exact_and_write_no_replicated_pairs(spark, monkey
         for i, s in enumerate(L.STAGES, 1):
             assert got[group, rep, i] == pytest.approx(np.median(np.repeat(rows[f"{s}EffortRatio"], rows.k)), abs=1e-12)
     assert len(got) == 2 * 40 * 3
+
+
+def test_joint_time_is_solved_without_descent(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(150):
+        pb, worker = f"P{i % 2} / First pass", None if i % 25 == 0 else f"W{rng.integers(9)}"
+        d, q = (None if i % 9 == 0 else float(rng.integers(10))), (None if i % 7 == 0 else float(rng.integers(1, 12)))
+        rows.append((pb.split(" / ")[0], pb, f"{pb} / G{rng.integers(4)}", worker, d, q, float(rng.normal() + (d or 0) * 0.05)))
+    names = "Process string, PB string, GroupKey string, WorkerKey string, DifficultyScore double, QuotedMinutesPerSemi double, LogMinutes double"
+    df = spark.createDataFrame(rows, names)
+    prior = spark.createDataFrame([(None, 0.4), ("P0", 0.7)], "Process string, Elasticity double")
+
+    def refuse(*args, **options):
+        raise AssertionError("a Spark job per step")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(J, "LinearRegression", refuse)
+        solved = {(r.Block, r.Key): r.Estimate for r in J.fit_joint_time(df, prior=prior, prior_weight=50.0).coefficients.collect()}
+    monkeypatch.setattr(J, "SOLVED_TERMS", 0, raising=False)
+    descended = {(r.Block, r.Key): r.Estimate for r in J.fit_joint_time(df, prior=prior, prior_weight=50.0, max_iter=2000).coefficients.collect()}
+    assert solved.keys() == descended.keys() and max(abs(solved[k] - v) for k, v in descended.items()) < 1e-3
