@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions.expressions import poisson_one
+from assayer.operators import bom as B
 from assayer.operators import jointtime as J
 from assayer.operators import learning as L
 
@@ -65,3 +66,14 @@ def test_joint_time_is_solved_without_descent(spark, monkeypatch):
     monkeypatch.setattr(J, "SOLVED_TERMS", 0, raising=False)
     descended = {(r.Block, r.Key): r.Estimate for r in J.fit_joint_time(df, prior=prior, prior_weight=50.0, max_iter=2000).coefficients.collect()}
     assert solved.keys() == descended.keys() and max(abs(solved[k] - v) for k, v in descended.items()) < 1e-3
+
+
+def test_audit_tells_rounding_from_a_difference(spark):
+    names = [*B.CONTEXT, "SemiBom"]
+    rolled = ["CastingCountScenario", "StoneCountScenario", "KnownStoneWeightGram", "AvgStoneWeightGram", "StoneCount", "TotalStoneWeightGram", "LargestSingleStonePctOfAllStones"]
+    w, n = 3e9 + 0.1, 7e8 + 1
+    top = [("F", "FG", k, 5.0, n, w, w / n, n, total, 1.0) for k, total in (("same", w), ("order", w), ("apart", w), ("cyclic", w), ("average", w * (1 + 1e-9)))]
+    up = [("F", "FG", k, 5.0, n, x) for k, x in (("same", w), ("order", w + 2e-6), ("apart", w * (1 + 1e-9)), ("average", w))]
+    a = spark.createDataFrame(top, ", ".join(f"{c} string" for c in names) + ", " + ", ".join(f"{c} double" for c in rolled))
+    b = spark.createDataFrame(up, ", ".join(f"{c} string" for c in names) + ", Castings double, Stones double, Weight double")
+    assert B.audit(a, b).first()[:] == (5, 2, 1)
