@@ -185,7 +185,7 @@ SELECT WO, Worker, CAST(count(*) AS BIGINT) AS Intervals, CAST(count(CASE WHEN W
 )
 def stream_overlap_alerts(inp: Inputs):
     rows = inp.touches.withColumns({c: F.col(c).cast("timestamp") for c in ("WorkerStart", "WorkerStop")})
-    table = J.drain(J.overlap_alerts(staged_stream(inp, rows)), "update")
+    table = J.overlap_alerts(staged_stream(inp, rows))
     return shown(table.groupBy("WO", "Worker").agg(F.count("*").alias("Intervals"), F.count_if("Late").alias("Alerts")))
 
 

@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from assayer.session import ensure_checkpoint_dir
@@ -79,54 +77,40 @@ def labour_sessions(stream: DataFrame, time: str, worker: str, gap: str = "30 mi
     )
 
 
-TRAJECTORY_SCHEMA = "WO string, FirstFailQty double, RecoveredQty double, RemainingFailQty double, RoundsReached bigint, OpenWO boolean"
-TRAJECTORY_STATE = "fail double, recovered double, reached bigint"
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    fail, recovered, reached = state.get if state.exists else (0.0, 0.0, 0)
-    for rows in batches:
-        fail += float(rows.loc[rows.RoundNo == 1, "ReworkQty"].sum())
-        recovered += float(rows.loc[rows.RoundNo >= 2, "PassQty"].sum())
-        reached = max(reached, int(rows.RoundNo.max()))
-    state.update((fail, recovered, reached))
-    remaining = max(0.0, fail - recovered)
-    yield pd.DataFrame(
-        {
-            "WO": [key[0]], "FirstFailQty": [fail], "RecoveredQty": [recovered], "RemainingFailQty": [remaining], "RoundsReached": [reached],
-            "OpenWO": [remaining > 0],
-        }
-    )
-
-
 def open_trajectories(rounds: DataFrame) -> DataFrame:
     """Running recovery state per order: three numbers, however many rounds arrive."""
-    return rounds.select("WO", "RoundNo", "PassQty", "ReworkQty").groupBy("WO").applyInPandasWithState(
-        _advance, TRAJECTORY_SCHEMA, TRAJECTORY_STATE, "update", GroupStateTimeout.NoTimeout
+    state = rounds.groupBy("WO").agg(
+        F.sum(F.when(F.col("RoundNo") == 1, F.coalesce(F.col("ReworkQty").cast("double"), F.lit(0.0))).otherwise(0.0)).alias("FirstFailQty"),
+        F.sum(F.when(F.col("RoundNo") >= 2, F.coalesce(F.col("PassQty").cast("double"), F.lit(0.0))).otherwise(0.0)).alias("RecoveredQty"),
+        F.max(F.col("RoundNo").cast("bigint")).alias("RoundsReached"),
     )
-
-
-OVERLAP_SCHEMA = "EventId string, WO string, Worker string, Late boolean"
-OVERLAP_STATE = "until timestamp"
-
-
-def _watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches)).sort_values(["WorkerStart", "EventId"])
-    until = state.get[0] if state.exists else None
-    alerts = []
-    for start, stop, event in zip(rows.WorkerStart, rows.WorkerStop, rows.EventId):
-        alerts.append(until is not None and pd.notna(until) and start < until)
-        until = stop if until is None or pd.isna(until) or stop > until else until
-    state.update((until,))
-    yield pd.DataFrame({"EventId": rows.EventId, "WO": key[0], "Worker": key[1], "Late": alerts})
+    remaining = F.greatest(F.lit(0.0), F.col("FirstFailQty") - F.col("RecoveredQty"))
+    return state.select("WO", "FirstFailQty", "RecoveredQty", remaining.alias("RemainingFailQty"), "RoundsReached", (remaining > 0).alias("OpenWO"))
 
 
 def overlap_alerts(events: DataFrame) -> DataFrame:
-    """Intervals that start before an earlier one of the same worker and order has stopped.
+    """Intervals that start before an earlier one of the same worker and order has stopped, over all available input.
 
-    State is one timestamp per worker and order; a trigger holds only that key's new rows,
-    so the source's per-trigger file limit bounds the memory of a hot key.
+    The state is one timestamp per worker, order and trigger that had rows of theirs, in a table next to the alerts; a
+    trigger writes both under its number, so one that is run again replaces what it wrote.
     """
-    return events.select("EventId", "WO", "Worker", "WorkerStart", "WorkerStop").groupBy("WO", "Worker").applyInPandasWithState(
-        _watch, OVERLAP_SCHEMA, OVERLAP_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    spark, root, who = events.sparkSession, _workspace(events.sparkSession), ["WO", "Worker"]
+    rows = events.select("EventId", *who, "WorkerStart", "WorkerStop")
+    earlier = W.partitionBy(*who).orderBy(F.col("WorkerStart").asc_nulls_last(), "EventId").rowsBetween(W.unboundedPreceding, -1)
+
+    def watch(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        placed = batch.withColumn("until", F.max("WorkerStop").over(earlier))
+        if number:
+            known = batch.sparkSession.read.parquet(f"{root}/until").filter(F.col("BatchId") < number)
+            known = known.groupBy(*[F.col(c).alias(f"__{c}") for c in who]).agg(F.max("until").alias("__until"))
+            same = F.col("WO").eqNullSafe(F.col("__WO")) & F.col("Worker").eqNullSafe(F.col("__Worker"))
+            placed = placed.join(known, same, "left").withColumn("until", F.greatest("until", "__until"))
+        late = F.coalesce(F.col("WorkerStart") < F.col("until"), F.lit(False))
+        placed.select("EventId", *who, late.alias("Late")).write.mode("overwrite").parquet(f"{root}/out/BatchId={number}")
+        batch.groupBy(*who).agg(F.max("WorkerStop").alias("until")).write.mode("overwrite").parquet(f"{root}/until/BatchId={number}")
+        batch.unpersist()
+
+    writer = rows.writeStream.option("checkpointLocation", f"{root}/state").foreachBatch(watch)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/out")

@@ -1,5 +1,7 @@
 """Steps whose work must not outgrow their input."""
 
+from datetime import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from assayer.functions.expressions import poisson_one
 from assayer.operators import bom as B
 from assayer.operators import jointtime as J
 from assayer.operators import learning as L
+from assayer.streaming import jobs as S
 
 
 def history(spark, n=400):
@@ -77,3 +80,30 @@ def test_audit_tells_rounding_from_a_difference(spark):
     a = spark.createDataFrame(top, ", ".join(f"{c} string" for c in names) + ", " + ", ".join(f"{c} double" for c in rolled))
     b = spark.createDataFrame(up, ", ".join(f"{c} string" for c in names) + ", Castings double, Stones double, Weight double")
     assert B.audit(a, b).first()[:] == (5, 2, 1)
+
+
+def stream_of(spark, folder, *files):
+    """A stream that takes one file a trigger, in the given order."""
+    for rows in files:
+        rows.coalesce(1).write.mode("append").parquet(str(folder))
+    return spark.readStream.schema(files[0].schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_trajectories_keep_their_state_without_python(spark, tmp_path):
+    names = "WO string, RoundNo bigint, PassQty double, ReworkQty double"
+    first = spark.createDataFrame([("A", 1, 5.0, 4.0), ("B", 1, 7.0, 0.0), ("C", 1, 1.0, None)], names)
+    second = spark.createDataFrame([("A", 2, 3.0, 1.0), ("B", 2, 2.0, 0.0)], names)
+    table = S.open_trajectories(stream_of(spark, tmp_path / "in", first, second))
+    assert "Pandas" not in table._jdf.queryExecution().analyzed().toString()
+    rows = S.drain(table, "update").groupBy("WO").agg(F.max_by(F.struct("FirstFailQty", "RecoveredQty", "RemainingFailQty", "RoundsReached", "OpenWO"), "BatchId").alias("s"))
+    assert {r.WO: tuple(r.s) for r in rows.collect()} == {"A": (4.0, 3.0, 1.0, 2, True), "B": (0.0, 2.0, 0.0, 2, False), "C": (0.0, 0.0, 0.0, 1, False)}
+
+
+def test_alerts_reach_across_triggers(spark, tmp_path):
+    def rows(*given):
+        return spark.createDataFrame([(e, "A", w, *[None if h is None else datetime(2024, 1, 1, h) for h in t]) for e, w, *t in given], "EventId string, WO string, Worker string, WorkerStart timestamp, WorkerStop timestamp")
+
+    first = rows(("1", "X", 1, 5), ("2", "X", 2, 3), ("3", "X", 5, 6), ("4", None, 1, 9), ("5", "Y", 1, None))
+    second = rows(("6", "X", 5, 7), ("7", "X", 7, 8), ("8", None, 2, 3), ("9", "Y", 2, 3), ("10", "X", None, 9))
+    table = S.overlap_alerts(stream_of(spark, tmp_path / "in", first, second))
+    assert {r.EventId for r in table.filter("Late").collect()} == {"2", "6", "8"} and table.count() == 10
