@@ -14,7 +14,7 @@ from assayer.operators import effects as E
 from assayer.operators import learning as L
 from assayer.operators import production as P
 from assayer.operators import resample as S
-from assayer.session import cut_lineage
+from assayer.session import cut_lineage, settle
 
 
 def times(inp: Inputs):
@@ -104,10 +104,12 @@ fp AS (SELECT p.*, mu + coalesce(we, 0) + coalesce(ie, 0) AS pred FROM productio
 def fixed_effects(inp: Inputs):
     """A deliberately simple effect table (means), to check frozen prediction."""
     rows = times(inp)
-    mean = rows.groupBy("Process").agg(F.avg("LogTime").alias("Intercept"))
-    centred = cut_lineage(rows.join(mean, "Process").withColumn("d", F.col("LogTime") - F.col("Intercept")))
-    workers = centred.filter("CAST(substr(Worker, 2) AS BIGINT) % 4 <> 0").groupBy("Process", "Worker").agg(F.avg("d").alias("WorkerEffect"))
-    items = centred.filter("RoundNo % 2 = 0").groupBy("Process", F.col("SizeAdjustedGroup").alias("ItemKey")).agg(F.avg("d").alias("ItemEffect"))
+    # Tables of a few rows each, written once: known to be small, they are broadcast and no row moves to its process.
+    mean = settle(rows.groupBy("Process").agg(F.avg("LogTime").alias("Intercept")))
+    deviation = (F.col("LogTime") - F.col("Intercept")).alias("d")
+    centred = settle(rows.join(mean, "Process").select("Process", "Worker", "SizeAdjustedGroup", "RoundNo", deviation))
+    workers = settle(centred.filter("CAST(substr(Worker, 2) AS BIGINT) % 4 <> 0").groupBy("Process", "Worker").agg(F.avg("d").alias("WorkerEffect")))
+    items = settle(centred.filter("RoundNo % 2 = 0").groupBy("Process", F.col("SizeAdjustedGroup").alias("ItemKey")).agg(F.avg("d").alias("ItemEffect")))
     return E.EffectFit(workers, items, mean.withColumn("Converged", F.lit(True)))
 
 

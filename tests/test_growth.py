@@ -6,8 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.catalog import models as C
+from assayer.catalog.registry import Inputs
 from assayer.functions.expressions import poisson_one
 from assayer.operators import bom as B
+from assayer.operators import effects as E
 from assayer.operators import jointtime as J
 from assayer.operators import learning as L
 from assayer.streaming import jobs as S
@@ -107,3 +110,10 @@ def test_alerts_reach_across_triggers(spark, tmp_path):
     second = rows(("6", "X", 5, 7), ("7", "X", 7, 8), ("8", None, 2, 3), ("9", "Y", 2, 3), ("10", "X", None, 9))
     table = S.overlap_alerts(stream_of(spark, tmp_path / "in", first, second))
     assert {r.EventId for r in table.filter("Late").collect()} == {"2", "6", "8"} and table.count() == 10
+
+
+def test_effects_are_attached_without_moving_rows_to_their_process(spark, sf):
+    inp = Inputs(spark, sf)
+    rows = C.times(inp).select("Process", "SizeAdjustedGroup", "Worker", "LogTime").localCheckpoint()
+    plan = E.predict_log_time(rows, C.fixed_effects(inp), ["Process"], "SizeAdjustedGroup")._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
