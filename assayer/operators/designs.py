@@ -1,24 +1,32 @@
-"""Penalised models on sparse designs: Newton steps by conjugate gradients whose vectors are tables.
+"""Penalised models on sparse designs: Newton steps, one job each, or by conjugate gradients whose vectors are tables.
 
 A design is long: rows (fit, row, term, value), so a row may belong to any number of terms, such as the workers of its
-team at 1 / team size. Rows with the same terms are collapsed before. The coefficients of all fits are one table
-(fit, term, ...); an iteration is one job over all fits that are still open, and only a few sums per fit reach the driver.
-Every fit goes the same way whatever its size, and says how far its steepest gradient is from zero.
+team at 1 / team size. Rows with the same terms are collapsed before. Fits of at most ``SOLVED_TERMS`` terms, however many
+rows, sum their gradients and curvatures inside the tasks, and one task solves a fit's equations: a Newton step is one job
+over all of them. Of fits with more terms the coefficients are one table (fit, term, ...); an iteration of conjugate
+gradients is one job over all that are still open, and only a few sums per fit reach the driver.
+Every fit says how far its steepest gradient is from zero.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.expressions import clip, logistic
-from assayer.session import settle
+from assayer.session import settle, ship
 
 INTERCEPT = "Intercept"
+# Terms of a fit whose equations one task solves; numbers of a dense slice of rows, and of the sums a task holds.
+SOLVED_TERMS, DENSE_CELLS, HELD_NUMBERS = 400, 2_000_000, 8_000_000
 
 
 @dataclass(frozen=True)
@@ -63,11 +71,166 @@ def solve(rows: DataFrame, entries: DataFrame, terms: DataFrame, keys: list[str]
     ``rows``: keys, row, y, n. ``entries``: keys, row, Term, Value. ``terms``: keys, Term, Ridge, Prior and Start. Solved when
     no gradient of a fit exceeds ``tol`` times its number of rows; health tells it for each fit with its steps.
     """
-    spark = rows.sparkSession
+    terms = settle(terms)
+    widths = settle(terms.groupBy(*keys).agg(F.count("*").alias("__terms")))
+    few, many = ([tuple(r) for r in widths.filter(which).select(*keys).collect()] for which in (F.col("__terms") <= SOLVED_TERMS, F.col("__terms") > SOLVED_TERMS))
+    found = []
+    if few or not many:
+        found.append(_newton(*_of(few, keys, rows, entries, terms), keys, family, tol, max_steps))
+    if many:
+        found.append(_iterated(*_of(many, keys, rows, entries, terms), keys, family, tol, max_steps, max_iterations))
+    if len(found) == 1:
+        return found[0]
+    return DesignFit(found[0].coefficients.unionByName(found[1].coefficients), found[0].health.unionByName(found[1].health))
+
+
+def _of(chosen: list[tuple], keys: list[str], *tables: DataFrame) -> list[DataFrame]:
+    """The rows of the chosen fits."""
+    schema = T.StructType([tables[-1].schema[k] for k in keys])
+    only = tables[-1].sparkSession.createDataFrame(chosen, schema)
+    return [df.join(F.broadcast(only), keys, "left_semi") for df in tables]
+
+
+# The same families on arrays, inside tasks.
+_ON_ARRAYS = {
+    "binomial": lambda eta, y, n, p: (n * p - y, n * p * (1 - p), n * np.logaddexp(0.0, eta) - y * eta),
+    "gaussian": lambda eta, y, n, p: (n * (eta - y), n, 0.5 * n * (eta - y) * (eta - y)),
+}
+
+
+def _sums(family: str, at: dict[int, np.ndarray]):
+    """(fit, loss, gradient and curvature as bytes) of the rows of a task at the coefficients ``at`` of the open fits."""
+    parts = _ON_ARRAYS[family]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            packed = [total.tobytes() for total in held.values()]
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packed, pa.binary())], names=["__fit", "sums"])
+
+        for batch in batches:
+            fits, y, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__fit", "y", "n"))
+            lists = batch.column("parts")
+            flat, lengths = lists.flatten(), np.diff(lists.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(fits)), lengths)
+            place, value = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("place", "v"))
+            for fit in np.unique(fits):
+                x = at.get(int(fit))
+                if x is None:
+                    continue
+                mine, p = np.flatnonzero(fits == fit), len(x)
+                for k in range(0, len(mine), max(1, DENSE_CELLS // p)):
+                    some = mine[k : k + max(1, DENSE_CELLS // p)]
+                    line = np.full(len(fits), -1)
+                    line[some] = np.arange(len(some))
+                    here = line[owner] >= 0
+                    design = np.zeros((len(some), p))
+                    np.add.at(design, (line[owner[here]], place[here]), value[here])
+                    eta = design @ x
+                    error, curve, loss = parts(eta, y[some], n[some], 0.5 * (1 + np.tanh(0.5 * eta)))
+                    if fit not in held:
+                        held[int(fit)] = np.zeros(1 + p + p * p)
+                    total = held[int(fit)]
+                    total[0] += loss.sum()
+                    total[1 : 1 + p] += design.T @ error
+                    total[1 + p :] += (design.T @ (design * curve[:, None])).ravel()
+            if sum(map(len, held.values())) > HELD_NUMBERS:
+                yield out()
+                held.clear()
+        yield out()
+
+    return run
+
+
+def _step(at: dict[int, np.ndarray], ridge: dict[int, np.ndarray], prior: dict[int, np.ndarray]):
+    """(fit, objective, steepest gradient, Newton step as bytes) from the sums of all tasks."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        fit = int(pdf["__fit"].iloc[0])
+        x, pen, off = at[fit], ridge[fit], at[fit] - prior[fit]
+        p = len(x)
+        total = np.zeros(1 + p + p * p)
+        for part in pdf["sums"]:
+            total += np.frombuffer(part)
+        slope = total[1 : 1 + p] + pen * off
+        curve = total[1 + p :].reshape(p, p) + np.diag(pen)
+        curve[np.diag_indices(p)] = np.maximum(curve.diagonal(), 1e-12)
+        try:
+            step = np.linalg.solve(curve, -slope)
+        except np.linalg.LinAlgError:
+            step = np.linalg.lstsq(curve, -slope, rcond=None)[0]
+        return pd.DataFrame({"__fit": [fit], "loss": [float(total[0] + 0.5 * (pen * off * off).sum())], "steepest": [float(np.abs(slope).max())], "step": [step.tobytes()]})
+
+    return run
+
+
+def _numbered(terms: DataFrame, keys: list[str]) -> tuple[list[_State], DataFrame]:
+    """The fits in order, and a table of their keys and numbers."""
     listed = sorted((tuple(r) for r in terms.select(*keys).distinct().collect()), key=str)
     states = [_State(key, number) for number, key in enumerate(listed)]
     schema = T.StructType([*(terms.schema[k] for k in keys), T.StructField("__fit", T.IntegerType())])
-    numbers = spark.createDataFrame([(*s.key, s.fit) for s in states], schema)
+    return states, terms.sparkSession.createDataFrame([(*s.key, s.fit) for s in states], schema)
+
+
+def _newton(rows: DataFrame, entries: DataFrame, terms: DataFrame, keys: list[str], family: str, tol: float, max_steps: int) -> DesignFit:
+    """All fits of few terms, one job a Newton step; a step that does not lower the objective is halved."""
+    spark = ship(rows.sparkSession)
+    states, numbers = _numbered(terms, keys)
+    place = F.row_number().over(Window.partitionBy("__fit").orderBy("Term")) - 1
+    vocabulary = settle(terms.join(F.broadcast(numbers), keys).select("__fit", "Term", place.alias("place"), "Ridge", "Prior", "Start"))
+    lists = entries.join(F.broadcast(numbers), keys).join(F.broadcast(vocabulary.select("__fit", "Term", "place")), ["__fit", "Term"])
+    lists = lists.groupBy("__fit", "row").agg(F.collect_list(F.struct("place", F.col("Value").cast("double").alias("v"))).alias("parts"))
+    outcomes = rows.join(F.broadcast(numbers), keys).select("__fit", "row", F.col("y").cast("double").alias("y"), F.col("n").cast("double").alias("n"))
+    none = F.array().cast("array<struct<place:int,v:double>>")
+    packed = settle(outcomes.join(lists, ["__fit", "row"], "left").select("__fit", "y", "n", F.coalesce("parts", none).alias("parts")))
+    sizes = {r["__fit"]: r["c"] for r in packed.groupBy("__fit").agg(F.count("*").alias("c")).collect()}
+    known: dict[int, list] = {s.fit: [] for s in states}
+    for row in vocabulary.orderBy("__fit", "place").collect():
+        known[row["__fit"]].append((row["Ridge"], row["Prior"], row["Start"]))
+    ridge, prior, at = ({f: np.array([t[k] for t in listed], float) for f, listed in known.items()} for k in range(3))
+    before: dict[int, np.ndarray] = {}
+    steps: dict[int, np.ndarray] = {}
+
+    open_fits = list(states)
+    for step in range(max_steps + 1):
+        here = {s.fit: at[s.fit] for s in open_fits}
+        sums = packed.filter(F.col("__fit").isin(list(here))).mapInArrow(_sums(family, here), "__fit int, sums binary")
+        solved = sums.groupBy("__fit").applyInPandas(_step(here, ridge, prior), "__fit int, loss double, steepest double, step binary")
+        found = {r["__fit"]: r for r in solved.collect()}
+        for s in open_fits:
+            row = found[s.fit]
+            if s.fit in before and row["loss"] > s.loss + 1e-9 * (1 + abs(s.loss)) and s.alpha > 1e-6 and step < max_steps:
+                s.alpha /= 2
+                at[s.fit] = before[s.fit] + s.alpha * steps[s.fit]
+                continue
+            s.gradient, s.loss, s.steps, s.iterations, s.alpha = row["steepest"], row["loss"], step, step, 1.0
+            s.converged = s.gradient <= tol * sizes.get(s.fit, 1)
+            if not s.converged and step < max_steps:
+                before[s.fit], steps[s.fit] = at[s.fit], np.frombuffer(row["step"])
+                at[s.fit] = before[s.fit] + steps[s.fit]
+        open_fits = [s for s in open_fits if not s.converged]
+        if not open_fits:
+            break
+
+    values = spark.createDataFrame([(f, k, float(v)) for f, x in at.items() for k, v in enumerate(x)], "__fit int, place int, Coefficient double")
+    result = vocabulary.join(F.broadcast(values), ["__fit", "place"]).join(F.broadcast(numbers), "__fit").select(*keys, "Term", "Coefficient")
+    return DesignFit(settle(result), _health(states, sizes, terms, keys))
+
+
+def _health(states: list[_State], sizes: dict[int, int], terms: DataFrame, keys: list[str]) -> DataFrame:
+    names = ["Rows", "Steps", "Iterations", "MaxGradient", "Objective", "Converged"]
+    kinds = [T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]
+    return terms.sparkSession.createDataFrame(
+        [(*s.key, sizes.get(s.fit, 0), s.steps, s.iterations, s.gradient, s.loss, s.converged) for s in states],
+        T.StructType([*(terms.schema[k] for k in keys), *(T.StructField(n, k) for n, k in zip(names, kinds))]),
+    )
+
+
+def _iterated(rows: DataFrame, entries: DataFrame, terms: DataFrame, keys: list[str], family: str, tol: float, max_steps: int, max_iterations: int) -> DesignFit:
+    """Fits of any number of terms: Newton directions by conjugate gradients over tables."""
+    spark = rows.sparkSession
+    states, numbers = _numbered(terms, keys)
     rows = settle(rows.join(F.broadcast(numbers), keys).select("__fit", "row", F.col("y").cast("double").alias("y"), F.col("n").cast("double").alias("n")))
     entries = settle(entries.join(F.broadcast(numbers), keys).select("__fit", "row", "Term", F.col("Value").cast("double").alias("v")))
     sizes = {r["__fit"]: r["c"] for r in rows.groupBy("__fit").agg(F.count("*").alias("c")).collect()}
@@ -136,13 +299,7 @@ def solve(rows: DataFrame, entries: DataFrame, terms: DataFrame, keys: list[str]
     for part in finished[1:]:
         result = result.unionByName(part)
     coefficients = settle(result.join(F.broadcast(numbers), "__fit").select(*keys, "Term", F.col("x").alias("Coefficient")))
-    names = ["Rows", "Steps", "Iterations", "MaxGradient", "Objective", "Converged"]
-    kinds = [T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.BooleanType()]
-    health = spark.createDataFrame(
-        [(*s.key, sizes.get(s.fit, 0), s.steps, s.iterations, s.gradient, s.loss, s.converged) for s in states],
-        T.StructType([*(terms.schema[k] for k in keys), *(T.StructField(n, k) for n, k in zip(names, kinds))]),
-    )
-    return DesignFit(coefficients, health)
+    return DesignFit(coefficients, _health(states, sizes, terms, keys))
 
 
 def _direction(table: DataFrame, here: DataFrame, entries: DataFrame, fits: list[_State], along, given, max_iterations: int) -> DataFrame:

@@ -97,3 +97,23 @@ def test_gaussian_family_solves_the_normal_equations(spark):
     pen = np.array([0, 0.5, 1.0])
     expected = np.linalg.solve((x.T * n) @ x + np.diag(pen), x.T @ (n * y) + pen * np.array([0, 0.3, 0.6]))
     assert {r["Term"]: r["Coefficient"] for r in fit.coefficients.collect()} == pytest.approx({f"t{k}": expected[k] for k in range(3)}, abs=1e-7)
+
+
+def test_many_terms_and_few_terms_reach_the_same_optimum(teams, monkeypatch):
+    df, _ = teams
+    found = []
+    for bound in (400, 0):
+        monkeypatch.setattr(D, "SOLVED_TERMS", bound)
+        fit = K.fit_expanded(df, {"ridge_expanded_pieces": ("expanded", "pieces")}, (1.0,), 1e-9)
+        assert all(r.Converged for r in fit.health.collect())
+        found.append({r.Term: r.Coefficient for r in fit.coefficients.collect()})
+    assert found[0].keys() == found[1].keys() and all(found[1][t] == pytest.approx(x, abs=1e-6) for t, x in found[0].items())
+
+
+def test_a_newton_step_is_one_job(teams, monkeypatch):
+    def none(*_args):
+        raise AssertionError("fits of few terms need no conjugate gradients over tables")
+
+    monkeypatch.setattr(D, "_direction", none)
+    fit = K.fit_expanded(teams[0], {"ridge_expanded_pieces": ("expanded", "pieces")}, (0.1, 1.0), 1e-9)
+    assert [r.Converged for r in fit.health.collect()] == [True, True]
