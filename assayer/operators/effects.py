@@ -5,7 +5,8 @@ grouped aggregations over the cells, for all fits at once, and is a single job t
 table; the effects of any number of workers and items stay distributed. Only a few numbers per fit (intercept,
 variances, largest moves) reach the driver. There the slow part of such fits, the variances, is extrapolated along its
 geometric tail every few sweeps, so that tens of sweeps do. A fit that has converged leaves while the others go on.
-Fits of few cells, counted first, are solved directly inside a task each (``localfits``); the optima are the same.
+Fits of few cells, counted first, are solved directly inside a task each (``localfits``). Time fits of more cells but few
+items sum the items' equations inside the tasks (``eliminated``), whatever the workers. The optima are the same.
 
 Rows without a worker or an item take no part in any fit.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.expressions import clip, logistic
+from assayer.operators import eliminated as X
 from assayer.operators import localfits as L
 from assayer.operators.contracts import assert_none
 from assayer.session import cut_lineage, settle
@@ -133,11 +135,15 @@ def _solved(
     update: Callable[[Fit, list[Any]], bool],
     max_iter: int,
     local_cells: int | None,
+    eliminated: Callable[[DataFrame, list[str], list[Fit]], DataFrame] | None = None,
 ) -> tuple[DataFrame, list[Fit]]:
-    """Effects of all fits: those of few cells solved directly, each inside a task, the others by distributed sweeps."""
+    """Effects of all fits: of few cells solved directly, each inside a task; of few items without the workers; the others by distributed sweeps."""
     bound = L.LOCAL_CELLS if local_cells is None else local_cells
-    sizes = {tuple(r[k] for k in keys): r["n"] for r in cells.groupBy(*keys).agg(F.count("*").alias("n")).collect()}
-    small, large = [f for f in fits if sizes[f.key] <= bound], [f for f in fits if sizes[f.key] > bound]
+    counts = cells.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct("ItemKey").alias("items"))
+    sizes = {tuple(r[k] for k in keys): (r["n"], r["items"]) for r in counts.collect()}
+    small, large = [f for f in fits if sizes[f.key][0] <= bound], [f for f in fits if sizes[f.key][0] > bound]
+    reduced = [f for f in large if eliminated and sizes[f.key][1] <= X.SOLVED_ITEMS]
+    large = [f for f in large if f not in reduced]
     parts = []
     if small:
         names = ["Kind", "Name", "x", "old", "y", "z"]
@@ -163,6 +169,8 @@ def _solved(
             else:
                 fit.at[row["Name"]] = row["x"]
         parts.append(found.filter("Kind <> 'number'"))
+    if reduced:
+        parts.append(eliminated(cells, keys, reduced))
     if large:
         chosen = table.join(_numbers(large, cells, keys).select(*keys), keys, "left_semi")
         parts.append(_swept(chosen, large, cells, keys, step, facts, update, max_iter)[0])
@@ -185,8 +193,8 @@ def _fits(rows: DataFrame, keys: list[str], names: list[str]) -> list[Fit]:
     return [Fit(tuple(r[k] for k in keys), {n: float(r[n]) for n in names}) for r in rows.collect()]
 
 
-def time_cells(df: DataFrame, keys: list[str], weight: Column, item: str, copies: Column | None = None) -> DataFrame:
-    """Sufficient statistics of weighted log time per fit, worker and item; ``copies`` counts a row several times."""
+def time_cells(df: DataFrame, keys: list[str], weight: Column, item: str, copies: Column | None = None, *more: Column) -> DataFrame:
+    """Sufficient statistics of weighted log time per fit, worker and item; ``copies`` counts a row several times; ``more`` sums."""
     y, k = F.col("LogTime"), F.lit(1) if copies is None else copies
     return df.withColumns({"__w": weight, "__k": k}).groupBy(*keys, "Worker", F.col(item).alias("ItemKey")).agg(
         F.sum("__k").alias("n"),
@@ -195,7 +203,7 @@ def time_cells(df: DataFrame, keys: list[str], weight: Column, item: str, copies
         F.sum(F.col("__k") * F.col("__w") * y * y).alias("wyy"),
         F.sum(F.col("__k") * F.ln("__w")).alias("lnw"),
         F.sum(F.col("__k") * y).alias("y"),
-        F.sum(F.col("__k") * y * y).alias("yy"),
+        F.sum(F.col("__k") * y * y).alias("yy"), *more,
     )
 
 
@@ -236,7 +244,7 @@ def fit_two_way(
         fit.at["mu"] = by["mu"]["x"]
         return moved < tol
 
-    final, fits = _solved(start, fits, cells, keys, L.least_squares, step, facts, update, max_iter, local_cells)
+    final, fits = _solved(start, fits, cells, keys, L.least_squares, step, facts, update, max_iter, local_cells, X.least_squares)
     workers, items = _block(final, keys, "worker", "Worker", x="u"), _block(final, keys, "item", "ItemKey", x="v")
     # The data leave the level of either kind open: it goes into the intercept.
     of_worker, of_item = (cells.groupBy(*keys, e).agg(F.sum("w").alias("w")) for e in ("Worker", "ItemKey"))
@@ -256,8 +264,11 @@ def fit_time_em(
     df: DataFrame, keys: list[str], item: str = "Item", max_iter: int = 500, tol: float = 1e-7, local_cells: int | None = None
 ) -> EffectFit:
     """Gaussian random workers and fixed items on log time, fitted to the exact marginal likelihood."""
-    assert_none(df.filter("LogTime IS NULL OR isnan(LogTime) OR Qty <= 0"), "Time model requires finite times and positive quantities")
-    raw = cut_lineage(time_cells(_known(df, item), keys, F.sqrt("Qty"), item))
+    # Counted with the cells, so that the rows are read once; cells of no worker or item only tell that.
+    wrong = F.count_if(F.expr("LogTime IS NULL OR isnan(LogTime) OR Qty <= 0")).alias("wrong")
+    read = settle(time_cells(df, keys, F.sqrt("Qty"), item, None, wrong))
+    assert_none(read.filter("wrong > 0"), "Time model requires finite times and positive quantities")
+    raw = _known(read.drop("wrong"), "ItemKey")
     mean_w = raw.groupBy(*keys).agg((F.sum("w") / F.sum("n")).alias("m"))
     cells = settle(
         raw.join(mean_w, keys).select(
@@ -317,7 +328,7 @@ def fit_time_em(
         fit.extrapolate(("s2", "t2"))
         return False
 
-    final, fits = _solved(start, fits, cells, keys, L.variance_profile, step, facts, update, max_iter, local_cells)
+    final, fits = _solved(start, fits, cells, keys, L.variance_profile, step, facts, update, max_iter, local_cells, X.variance_profile)
     for row in facts(final, _numbers(fits, cells, keys)).collect() if fits else []:
         fit = next(f for f in fits if f.key == tuple(row[k] for k in keys))
         fit.at["ll"] = likelihood(fit.at, row)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import effects as E
+from assayer.operators import eliminated as X
 from assayer.operators import jointtime as J
 from assayer.operators import metrics as M
 from assayer.operators import ordering as O
@@ -192,3 +193,30 @@ def test_bootstrap_interval_covers_the_point(spark):
     r = S.paired_bootstrap(df, ["Process"], "a", "b", repetitions=200).first()
     assert r.Lower95 < r.LossDifference < r.Upper95 < 0
     assert S.paired_bootstrap(df.limit(5), ["Process"], "a", "b", repetitions=20).first().Status == "INSUFFICIENT_WOS"
+
+
+def test_time_fits_without_their_workers_reach_the_direct_solutions(times, monkeypatch):
+    df, _ = times
+
+    def none(*_args):
+        raise AssertionError("a time fit of few items needs no sweeps, whatever its cells")
+
+    monkeypatch.setattr(E, "_swept", none)
+    found = []
+    for cells in (None, 0):
+        two, em = E.fit_two_way(df, ["Process"], local_cells=cells), E.fit_time_em(df, ["Process"], local_cells=cells)
+        effects = {(r.Process, r.ItemKey): r.ItemEffect for r in two.items.collect()} | {(r.Process, r.Worker): r.WorkerEffect for r in two.workers.collect()}
+        health = {r.Process: (r.LogLikelihood, r.Intercept, r.ResidualVariance, r.WorkerVariance, r.ItemVariance, r.WorkerShare, r.AIC) for r in em.health.collect()}
+        abilities = {(r.Process, r.Worker, k): r[k] for r in em.workers.collect() for k in ("Ability", "AbilitySE")}
+        found.append((effects, health, abilities))
+    for direct, without in zip(*found):
+        assert direct.keys() == without.keys()
+        assert all(without[k] == pytest.approx(v, abs=1e-6) for k, v in direct.items())
+
+
+def test_time_fits_of_many_items_are_swept_to_the_same_solution(times, monkeypatch):
+    df, _ = times
+    monkeypatch.setattr(X, "SOLVED_ITEMS", 0)
+    a, b = (E.fit_two_way(df, ["Process"], tol=1e-9, local_cells=n) for n in (None, 0))
+    gap = a.items.join(b.items.withColumnRenamed("ItemEffect", "o"), ["Process", "ItemKey"]).agg(F.max(F.abs(F.col("ItemEffect") - F.col("o")))).first()
+    assert gap[0] < 1e-7
