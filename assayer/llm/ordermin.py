@@ -24,6 +24,10 @@ SMALL_BUCKET = 32
 LEADING = 0.75
 # Texts of a block in the join on rare shingles: those outside a shingle's main class, and all that hold it.
 OUTSIDE_BLOCK, ALL_BLOCK = 256, 1024
+# Counts of a text's labelled shingles by hash, which bound what two texts can have in common; longer texts go unbounded.
+TALLIES, LONGEST_TALLIED = 256, 60_000
+# First rare shingles of a text that tell whether a pair meets earlier; later meetings are repeats that are dropped after.
+FIRST_LABELS = 64
 # A shingle that occurs more often in a text is aligned by one mask of its places.
 MANY_PLACES = 64
 
@@ -188,11 +192,27 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["digest", "labels"])
 
 
+def tally(labelled: np.ndarray) -> np.ndarray:
+    """How many labelled shingles fall to each of TALLIES hashes: two texts share at most the sum of the lesser counts."""
+    return np.minimum(np.bincount((labelled >> np.uint64(40)) % np.uint64(TALLIES), minlength=TALLIES), 65_535).astype(np.uint16)
+
+
+def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        digests, bodies = columns(batch, "digest", "body")
+        found = [tally(labels(shingles(body.split(b" ")))).tobytes() for body in bodies]
+        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(found, pa.binary())], names=["digest", "tally"])
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different classes, one text of a block outside a shingle's main class each, as far as lengths and places allow."""
+    """Pairs of different classes, one text of a block outside a shingle's main class each, as far as lengths and places allow.
+
+    Where texts carry tallies, those bound the labelled shingles in common: a near pair has ``need`` of them, so the bound
+    drops no link. Where they carry their first rare shingles, a pair leaves at the first one its texts share and not again.
+    """
     for batch in batches:
         first, second = [], []
-        for group in batch.column(0):
+        for label, group in zip(batch.column(0).to_pylist(), batch.column(1)):
             texts = group.as_py()
             digest = np.array([t["digest"] for t in texts], dtype=object)
             root = np.unique(np.array([t["root"].hex() for t in texts]), return_inverse=True)[1]
@@ -201,10 +221,20 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # The first common shingle in the order of rareness has all other common ones after it.
             need = SIMILARITY * (n[here, None] + n[there]) / (1 + SIMILARITY) - 1e-9
             fits = (root[here, None] != root[there]) & (np.minimum(rest[here, None], rest[there]) + 1 >= need)
+            if "tally" in texts[0]:
+                tallies = np.frombuffer(b"".join(t["tally"] for t in texts), np.uint16).reshape(len(texts), TALLIES)
+                for a in np.flatnonzero(fits.any(axis=1)):
+                    b = np.flatnonzero(fits[a])
+                    common = np.minimum(tallies[there[b]], tallies[here[a]]).sum(axis=1, dtype=np.int64)
+                    fits[a, b] = (common >= need[a, b]) | (np.minimum(n[here[a]], n[there[b]]) > LONGEST_TALLIED)
+            earlier = [frozenset(t["first"][: t["first"].index(label)] if label in t["first"] else t["first"]) if "first" in t else frozenset() for t in texts]
+            met = set()
             for a, b in zip(*np.nonzero(fits)):
                 low, high = sorted((digest[here[a]], digest[there[b]]))
-                first.append(low)
-                second.append(high)
+                if (low, high) not in met and earlier[here[a]].isdisjoint(earlier[there[b]]):
+                    met.add((low, high))
+                    first.append(low)
+                    second.append(high)
         yield pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(second, pa.binary())], names=["a", "b"])
 
 
@@ -263,7 +293,7 @@ def outsiders_and_all(postings: DataFrame) -> DataFrame:
     """
     dealt = postings.join(offer_broadcast(settle(_main_classes(postings).select("label", "main", "outsides", "alls")), 80), "label")
     block = lambda count, seed: F.pmod(F.xxhash64("digest", F.lit(seed)), F.col(count)).cast("int")
-    kept = ["digest", "root", "n", "rest"]
+    kept = ["digest", "root", "n", "rest", *_marks(postings)]
     mine = dealt.filter(F.col("root") != F.col("main")).select("label", *kept, block("outsides", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), F.lit(True).alias("outside"))
     others = dealt.select("label", *kept, F.explode(F.sequence(F.lit(0), F.col("outsides") - 1)).alias("i"), block("alls", 2).alias("j"), F.lit(False).alias("outside"))
     return mine.unionByName(others)
@@ -271,8 +301,23 @@ def outsiders_and_all(postings: DataFrame) -> DataFrame:
 
 def _pairs_by_rare_shingles(postings: DataFrame) -> DataFrame:
     """All pairs (a, b) of different classes in ``postings`` (with root) that can reach the similarity."""
-    groups = outsiders_and_all(postings).groupBy("label", "i", "j").agg(F.collect_list(F.struct("digest", "root", "n", "rest", "outside")).alias("x"))
-    return groups.select("x").mapInArrow(_across, "a binary, b binary").distinct()
+    held = ["digest", "root", "n", "rest", "outside", *_marks(postings)]
+    groups = outsiders_and_all(postings).groupBy("label", "i", "j").agg(F.collect_list(F.struct(*held)).alias("x"))
+    return groups.select("label", "x").mapInArrow(_across, "a binary, b binary").distinct()
+
+
+def _marks(postings: DataFrame) -> list[str]:
+    return [c for c in ("tally", "first") if c in postings.columns]
+
+
+def _marked(postings: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``postings`` with the tally and the first rare shingles of their texts."""
+    order = F.sort_array(F.collect_list(F.struct("rest", "label")), asc=False)
+    first = settle(postings.groupBy("digest").agg(F.slice(order, 1, FIRST_LABELS)["label"].alias("first")))
+    placed = nodes.select("digest", "rid").join(offer_broadcast(first.select("digest"), 60), "digest")
+    bodies = rows.select("rid", "body").join(offer_broadcast(placed, 120), "rid").select("digest", "body")
+    marks = settle(bodies.mapInArrow(_tallied, "digest binary, tally binary").join(first, "digest"))
+    return settle(postings.join(marks, "digest"))
 
 
 def _classes(links: DataFrame) -> DataFrame:
@@ -359,7 +404,7 @@ def near_duplicates(docs: DataFrame, row_id: str | None = None) -> DataFrame:
             rare = settle(_parted(_rooted(rare.drop("root"), roots)))
             if not _many_rows(rare):
                 break
-        fresh = settle(_pairs_by_rare_shingles(rare).join(tested, ["a", "b"], "left_anti"))
+        fresh = settle(_pairs_by_rare_shingles(_marked(rare, rows, nodes)).join(tested, ["a", "b"], "left_anti"))
         found = _links(fresh, rows, nodes)
         if not found.isEmpty():
             roots = _classes(links.unionByName(found))

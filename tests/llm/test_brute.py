@@ -354,3 +354,27 @@ def test_pipeline(spark):
     leaks = {r["doc_id"] for r in rows_of(spark, "op3_prefix_decontamination") if r["contaminated"]}
     kept = {i: x for i, x in kept.items() if i not in leaks}
     packed_right(corpus_pipeline.run(spark, SMALL).collect(), [(i, t, s) for i, (t, s) in kept.items()])
+
+
+def test_a_pair_of_classes_leaves_one_group_and_far_pairs_none(spark):
+    """Strangers that share rare shingles with a family in many places: each near pair is made once, others never."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    texts = {b"%02d" % k: [b"w%d" % x for x in rng.integers(0, 50_000, 100)] for k in range(6)}
+    texts[b"01"] = [*texts[b"00"][:95], *texts[b"01"][95:]]
+    for k in range(2, 6):
+        texts[b"%02d" % k] = [*texts[b"00"][:40], *texts[b"%02d" % k][40:]]
+    rows, tallies = [], {}
+    for d, words in texts.items():
+        found = ordermin.labels(ordermin.shingles(words))
+        order = sorted(found.astype(np.int64).tolist())
+        tallies[d] = ordermin.tally(found).tobytes()
+        rows += [(d, d, len(order), len(order) - at - 1, label, order[: ordermin.FIRST_LABELS]) for at, label in enumerate(order[:40])]
+    schema = "digest binary, root binary, n long, rest long, label long, first array<long>, tally binary"
+    postings = spark.createDataFrame([(*r, tallies[r[0]]) for r in rows], schema)
+    held = ["digest", "root", "n", "rest", "outside", "tally", "first"]
+    groups = ordermin.outsiders_and_all(postings).groupBy("label", "i", "j").agg(F.collect_list(F.struct(*held)).alias("x"))
+    made = groups.select("label", "x").mapInArrow(ordermin._across, "a binary, b binary").collect()
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in made] == [(b"00", b"01")]
+    assert [(bytes(r["a"]), bytes(r["b"])) for r in ordermin._pairs_by_rare_shingles(postings).collect()] == [(b"00", b"01")]
