@@ -260,6 +260,28 @@ def fit_two_way(
     )
 
 
+def fit_two_way_copies(df: DataFrame, keys: list[str], item: str, copies: list[Column], number: str, first: int = 0, workers: bool = True) -> EffectFit:
+    """``fit_two_way`` of several weightings of the same rows at once; ``copies`` says how often a row counts in each, ``number`` names them.
+
+    A row moves once with all its counts. Keys of more than ``SOLVED_ITEMS`` items repeat their rows for each weighting.
+    Without ``workers`` only the items' effects are made.
+    """
+    weight, y = F.sqrt(F.greatest(F.coalesce("Qty", F.lit(1.0)), F.lit(1.0))), F.col("LogTime")
+    counted = _known(df, item).withColumns({"__w": weight, **{f"__k{c}": k.cast("double") for c, k in enumerate(copies)}})
+    sums = [F.sum(F.col(f"__k{c}") * x).alias(f"{name}{c}") for c in range(len(copies)) for name, x in (("w", F.col("__w")), ("wy", F.col("__w") * y))]
+    cells = settle(counted.groupBy(*keys, "Worker", F.col(item).alias("ItemKey")).agg(*sums))
+    sizes = cells.groupBy(*keys).agg(F.count_distinct("ItemKey").alias("items"))
+    few, many = (cut_lineage(sizes.filter(F.col("items") <= X.SOLVED_ITEMS).select(*keys)), cut_lineage(sizes.filter(F.col("items") > X.SOLVED_ITEMS).select(*keys)))
+    of_workers, items, health = X.copied_least_squares(cells, keys, len(copies), few, number, first, workers)
+    if many.isEmpty():
+        return EffectFit(of_workers, items, health.withColumn("Converged", F.lit(True)))
+    pairs = F.array(*[F.struct(F.lit(first + c).cast("bigint").alias(number), k.cast("bigint").alias("__k")) for c, k in enumerate(copies)])
+    repeated = df.join(F.broadcast(many), keys, "left_semi").select("*", F.inline(pairs)).filter("__k > 0")
+    rest = fit_two_way(repeated, [*keys, number], item, copies=F.col("__k"))
+    health = health.withColumn("Converged", F.lit(True)).unionByName(rest.health.select(*keys, number, "Intercept", "Converged"))
+    return EffectFit(of_workers.unionByName(rest.workers) if workers else None, items.unionByName(rest.items), health)
+
+
 def fit_time_em(
     df: DataFrame, keys: list[str], item: str = "Item", max_iter: int = 500, tol: float = 1e-7, local_cells: int | None = None
 ) -> EffectFit:

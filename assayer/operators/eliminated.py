@@ -22,6 +22,7 @@ from assayer.session import settle, ship
 SOLVED_ITEMS, PASS_NUMBERS, HELD_NUMBERS, DENSE_CELLS = 128, 50_000, 8_000_000, 2_000_000
 
 _PACKED = ["held", "own", "square"]
+_SOLUTION = "__fit int, level binary, weight binary, target double"
 
 
 class Packed:
@@ -91,7 +92,7 @@ def _pass(inverse: dict[int, np.ndarray], sizes: dict[int, int]):
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(kept), pa.int32()), pa.array([t.tobytes() for t in kept.values()], pa.binary())], names=["__fit", "sums"])
 
-        for batch in _slices(batches, max(sizes.values())):
+        for batch in _slices(batches, max(sizes.values(), default=1)):
             fits, held, own, square, owner, place, w, wy = _read(batch)
             for fit in map(int, np.unique(fits)):
                 m = sizes[fit]
@@ -157,7 +158,7 @@ def _items_least_squares(sizes: dict[int, int]):
         matrix = np.diag(weight) - taken
         # The level is open; a relative tolerance keeps rounding from being taken for a direction of its own.
         level = _gradients(lambda x: matrix @ x, target - drawn, np.maximum(matrix.diagonal(), 1e-12 * weight.max()), steps=20 * m)
-        return pd.DataFrame({"__fit": [fit], "level": [level.tobytes()]})
+        return pd.DataFrame({"__fit": [fit], "level": [level.tobytes()], "weight": [weight.tobytes()], "target": [target.sum()]})
 
     return run
 
@@ -191,7 +192,7 @@ def least_squares(cells: DataFrame, keys: list[str], fits: list) -> DataFrame:
     packed = Packed(cells, keys, fits)
     sizes = {fit: len(names) for fit, names in packed.items.items()}
     sums = packed.sums({fit: np.zeros(1) for fit in sizes})
-    levels = {r["__fit"]: np.frombuffer(r["level"]) for r in sums.groupBy("__fit").applyInPandas(_items_least_squares(sizes), "__fit int, level binary").collect()}
+    levels = {r["__fit"]: np.frombuffer(r["level"]) for r in sums.groupBy("__fit").applyInPandas(_items_least_squares(sizes), _SOLUTION).collect()}
     for fit in fits:
         fit.at["mu"], fit.sweeps, fit.converged = 0.0, 1, True
     return packed.solved(levels, "effects")
@@ -221,3 +222,58 @@ def variance_profile(cells: DataFrame, keys: list[str], fits: list) -> DataFrame
                 fit.converged = True
                 del ranges[number]
     return packed.solved(levels, "left")
+
+
+def _each(batches: Iterator[pa.RecordBatch], copies: int) -> Iterator[pa.RecordBatch]:
+    """A batch per copy of packed rows whose cells hold the sums of all copies; the fits of copy c are numbered fit * copies + c."""
+    for batch in batches:
+        fits, parts = batch.column("__fit").to_numpy(), batch.column("parts")
+        flat, offsets = parts.flatten(), np.concatenate([[0], np.cumsum(np.diff(parts.offsets.to_numpy()))])
+        owner = np.repeat(np.arange(len(fits)), np.diff(offsets))
+        for c in range(copies):
+            w, wy = (flat.field(f"{name}{c}").to_numpy(zero_copy_only=False) for name in ("w", "wy"))
+            cells = pa.StructArray.from_arrays([flat.field("place"), pa.array(w), pa.array(wy)], names=["place", "w", "wy"])
+            held, own = (np.bincount(owner, x, len(fits)) for x in (w, wy))
+            columns = [pa.array(fits * copies + c, pa.int32()), batch.column("Worker"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), cells), *map(pa.array, (held, own, np.zeros(len(fits))))]
+            yield pa.RecordBatch.from_arrays(columns, names=["__fit", "Worker", "parts", *_PACKED])
+
+
+def copied_least_squares(cells: DataFrame, keys: list[str], copies: int, chosen: DataFrame, number: str, first: int, workers: bool) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """Two-way least squares of every copy of the rows of ``chosen`` keys: effects of workers (if asked for) and items, each of mean zero, and intercepts.
+
+    ``cells`` hold for each worker and item the sums w0, wy0, w1, wy1 and so on, a pair a copy; a worker is packed once for
+    all of them. Who has no weight in a copy has no effect in it.
+    """
+    spark = ship(cells.sparkSession)
+    names: dict[tuple, list[str]] = {}
+    for row in cells.join(F.broadcast(chosen), keys, "left_semi").select(*keys, "ItemKey").distinct().orderBy(*keys, "ItemKey").collect():
+        names.setdefault(tuple(row[k] for k in keys), []).append(row["ItemKey"])
+    listed = list(names)
+    schema = [cells.schema[k] for k in keys]
+    placed = T.StructType([*schema, cells.schema["ItemKey"], T.StructField("__fit", T.IntegerType()), T.StructField("place", T.IntegerType())])
+    places = spark.createDataFrame([(*key, item, fit, at) for fit, key in enumerate(listed) for at, item in enumerate(names[key])], placed)
+    sums = [F.col(f"{name}{c}") for c in range(copies) for name in ("w", "wy")]
+    packed = cells.join(F.broadcast(places), [*keys, "ItemKey"]).groupBy("__fit", "Worker").agg(F.collect_list(F.struct("place", *sums)).alias("parts"))
+    packed = settle(packed) if workers else packed
+    sizes = {fit * copies + c: len(names[key]) for fit, key in enumerate(listed) for c in range(copies)}
+    whole = _pass({fit: np.zeros(1) for fit in sizes}, sizes)
+    passed = packed.mapInArrow(lambda batches: whole(_each(batches, copies)), "__fit int, sums binary")
+    levels, items, means = {}, [], []
+    for row in passed.groupBy("__fit").applyInPandas(_items_least_squares(sizes), _SOLUTION).collect():
+        fit, c = divmod(row["__fit"], copies)
+        level, weight = np.frombuffer(row["level"]), np.frombuffer(row["weight"])
+        levels[row["__fit"]], total = level, weight.sum()
+        if total > 0:
+            mean, key = float(weight @ level / total), (*listed[fit], first + c)
+            items += [(*key, name, float(x) - mean) for name, x, w in zip(names[listed[fit]], level, weight) if w > 0]
+            means.append((*key, row["__fit"], float(row["target"] / total), float(row["target"] / total) - mean))
+    kept = [*schema, T.StructField(number, T.LongType())]
+    effects = spark.createDataFrame(items, T.StructType([*kept, cells.schema["ItemKey"], T.StructField("ItemEffect", T.DoubleType())]))
+    numbers = [T.StructField("__fit", T.IntegerType()), T.StructField("Intercept", T.DoubleType()), T.StructField("level", T.DoubleType())]
+    means = spark.createDataFrame(means, T.StructType([*kept, *numbers]))
+    of_workers = None
+    if workers:
+        each = _workers(levels, True)
+        found = packed.mapInArrow(lambda batches: each(_each(batches, copies)), "__fit int, Name string, x double, y double, z double").filter("z > 0")
+        of_workers = found.join(F.broadcast(means), "__fit").select(*keys, number, F.col("Name").alias("Worker"), (F.col("x") - F.col("level")).alias("WorkerEffect"))
+    return of_workers, effects, means.select(*keys, number, "Intercept")

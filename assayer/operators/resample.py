@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.expressions import binomial_nll, expit, poisson_one, standard_normal
-from assayer.operators.effects import fit_two_way
+from assayer.operators.effects import fit_two_way_copies
 from assayer.operators.ordering import quantiles, ranked
 from assayer.session import cut_lineage
 
@@ -117,9 +117,9 @@ def simulate_quality(branches: DataFrame, draws: int = 4096) -> DataFrame:
 
 
 def item_stability(df: DataFrame, keys: list[str], item: str, row_key: list[str], repetitions: int = 10, seed: int = 42) -> DataFrame:
-    """0-100 stability of item effects over row resamples; all replicates fit in one job."""
-    sampled = _replicated(df, repetitions, seed, *row_key)
-    fit = fit_two_way(sampled, [*keys, "Rep"], item, copies=F.col("k"))
+    """0-100 stability of item effects over row resamples; rows move once with their weights in all replicates."""
+    copies = [poisson_one(F.lit(seed), F.lit(rep), *[F.col(c) for c in row_key]) for rep in range(1, repetitions + 1)]
+    fit = fit_two_way_copies(df, keys, item, copies, "Rep", first=1, workers=False)
     spread = cut_lineage(
         fit.items.groupBy(*keys, "ItemKey").agg(F.coalesce(F.stddev_samp("ItemEffect"), F.lit(0.0)).alias("BootstrapSD"))
     )

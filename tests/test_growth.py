@@ -11,6 +11,7 @@ from assayer.catalog.registry import Inputs
 from assayer.functions.expressions import poisson_one
 from assayer.operators import bom as B
 from assayer.operators import effects as E
+from assayer.operators import eliminated as X
 from assayer.operators import jointtime as J
 from assayer.operators import learning as L
 from assayer.streaming import jobs as S
@@ -117,3 +118,32 @@ def test_effects_are_attached_without_moving_rows_to_their_process(spark, sf):
     rows = C.times(inp).select("Process", "SizeAdjustedGroup", "Worker", "LogTime").localCheckpoint()
     plan = E.predict_log_time(rows, C.fixed_effects(inp), ["Process"], "SizeAdjustedGroup")._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
+
+
+def weighed(spark):
+    rng = np.random.default_rng(3)
+    rows = [("P", f"W{rng.integers(7)}", f"G{rng.integers(5)}", float(rng.integers(1, 9)), float(rng.normal()), i) for i in range(300)]
+    return spark.createDataFrame([*rows, ("P", "W0", "G9", 1.0, 0.5, 299)], "Process string, Worker string, SizeAdjustedGroup string, Qty double, LogTime double, WO int").persist()
+
+
+@pytest.mark.parametrize("solved", [X.SOLVED_ITEMS, 0])
+def test_copies_of_rows_are_fitted_without_repeating_them(spark, monkeypatch, solved):
+    rows, sizes, cut = weighed(spark), [], E.settle
+    copies = [(F.col("WO") % (c + 2) + F.when(F.col("WO") == 299, -(F.col("WO") % (c + 2))).otherwise(0)).cast("int") for c in range(4)]
+    pairs = F.array(*[F.struct(F.lit(c).cast("bigint").alias("Rep"), k.alias("k")) for c, k in enumerate(copies)])
+    whole = E.fit_two_way(rows.select("*", F.inline(pairs)).filter("k > 0"), ["Process", "Rep"], "SizeAdjustedGroup", copies=F.col("k"))
+
+    def spied(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(X, "SOLVED_ITEMS", solved)
+    monkeypatch.setattr(E, "settle", spied)
+    fit = E.fit_two_way_copies(rows, ["Process"], "SizeAdjustedGroup", copies, "Rep")
+    assert sizes[0] <= 7 * 5 + 1  # four copies would hold four times as many cells
+    for name, entity, value in (("workers", "Worker", "WorkerEffect"), ("items", "ItemKey", "ItemEffect")):
+        want, got = ({(r.Rep, r[entity]): r[value] for r in getattr(f, name).collect()} for f in (whole, fit))
+        assert want.keys() == got.keys() and (3, "G9") not in got and max(abs(want[k] - got[k]) for k in want) < 1e-8
+    want, got = ({r.Rep: r.Intercept for r in f.health.collect()} for f in (whole, fit))
+    assert got == pytest.approx(want, abs=1e-8)
