@@ -87,5 +87,5 @@ def ranked_outliers(inp: Inputs):
 @query()
 def cross_validated_effects(inp: Inputs):
     """Mean error of the two-way effect model over three folds, all fitted in one job."""
-    scored, means = V.cross_validate(times(inp), ["Process"], "SizeAdjustedGroup", lambda rows, keys: E.fit_two_way(rows, keys, "SizeAdjustedGroup"), ["WO", "RoundNo", "Worker", "Hours"])
+    scored, means = V.cross_validate(times(inp), ["Process"], "SizeAdjustedGroup", None, ["WO", "RoundNo", "Worker", "Hours"])
     return shown(means)

@@ -10,10 +10,12 @@ from assayer.catalog import models as C
 from assayer.catalog.registry import Inputs
 from assayer.functions.expressions import poisson_one
 from assayer.operators import bom as B
+from assayer.operators import crossval as V
 from assayer.operators import effects as E
 from assayer.operators import eliminated as X
 from assayer.operators import jointtime as J
 from assayer.operators import learning as L
+from assayer.operators import resample as R
 from assayer.streaming import jobs as S
 
 
@@ -147,3 +149,18 @@ def test_copies_of_rows_are_fitted_without_repeating_them(spark, monkeypatch, so
         assert want.keys() == got.keys() and (3, "G9") not in got and max(abs(want[k] - got[k]) for k in want) < 1e-8
     want, got = ({r.Rep: r.Intercept for r in f.health.collect()} for f in (whole, fit))
     assert got == pytest.approx(want, abs=1e-8)
+
+
+def test_resamples_and_folds_move_a_row_once(spark, monkeypatch):
+    def refuse(*args, **options):
+        raise AssertionError("rows repeated for every copy")
+
+    rows = weighed(spark)
+    folds = lambda: V.cross_validate(rows, ["Process"], "SizeAdjustedGroup", fitter, ["WO", "Worker"])[1].first().asDict()
+    fitter = lambda df, keys: E.fit_two_way(df, keys, "SizeAdjustedGroup")
+    want, fitter = folds(), None
+    monkeypatch.setattr(E, "fit_two_way", refuse)
+    monkeypatch.setattr(R, "fit_two_way", refuse, raising=False)
+    got = folds()
+    assert {k: v for k, v in got.items() if k != "Process"} == pytest.approx({k: v for k, v in want.items() if k != "Process"}, abs=1e-8)
+    assert R.item_stability(rows, ["Process"], "SizeAdjustedGroup", ["WO", "Worker"]).count() == 6
