@@ -23,6 +23,8 @@ STONE_TYPES = {
     "RM_Old ST": "Old stone (unspecified)",
 }
 CASTING = "SM_Casting"
+# Steps that every level may broadcast; more of them are sorted and merged, so that levels send nothing to the driver.
+BROADCAST_STEPS = 50_000
 # Share of a total that the order of its summands may change.
 ROUNDING = 1e-11
 # Structural warnings.
@@ -86,6 +88,8 @@ def closure(lines: DataFrame, through_castings: bool = True, look_after: int = 6
     """
     nodes = lines.select(*CONTEXT, "Node").distinct()
     steps = cut_lineage(_steps(lines, through_castings).join(nodes.withColumnRenamed("Node", "Supply"), [*CONTEXT, "Supply"], "left_semi"))
+    if steps.count() > BROADCAST_STEPS:
+        steps = steps.hint("merge")
     frontier = nodes.select(*CONTEXT, F.col("Node").alias("Root"), "Node", F.lit(1.0).alias("Multiplier"))
     frontier = cut_lineage(frontier)
     levels, looping = [frontier], None

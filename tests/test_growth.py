@@ -164,3 +164,21 @@ def test_resamples_and_folds_move_a_row_once(spark, monkeypatch):
     got = folds()
     assert {k: v for k, v in got.items() if k != "Process"} == pytest.approx({k: v for k, v in want.items() if k != "Process"}, abs=1e-8)
     assert R.item_stability(rows, ["Process"], "SizeAdjustedGroup", ["WO", "Worker"]).count() == 6
+
+
+def test_levels_of_many_steps_are_not_broadcast(spark, monkeypatch):
+    links = [(f"N{k}", f"N{k + 1}") for k in range(4)]
+    rows = [("F", "FG", a, b, 2.0, "PCS", "SM_FGs", True) for a, b in links]
+    lines = spark.createDataFrame(rows, "SourceFile string, Fg string, Node string, Supply string, Qty double, Unit string, ItemGroup string, ValidQty boolean").persist()
+    plans, cut = [], B.cut_lineage
+
+    def spied(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(B, "BROADCAST_STEPS", 2, raising=False)
+    monkeypatch.setattr(B, "cut_lineage", spied)
+    reach = {(r.Root, r.Node): r.Multiplier for r in B.closure(lines).collect()}
+    assert reach == {(f"N{a}", f"N{b}"): 2.0 ** (b - a) for a in range(4) for b in range(a, 4)}
+    grown = [p for p in plans if "StepQty" in p and "Multiplier" in p]
+    assert len(grown) == 4 and not any("BroadcastHashJoin" in p for p in grown)
