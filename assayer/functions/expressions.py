@@ -149,6 +149,14 @@ def standard_normal(*parts: Column) -> Column:
     return radius * F.cos(2.0 * F.pi() * unit_uniform(F.lit("angle"), *parts))
 
 
+def sorted_percentile(values: Column, share: float) -> Column:
+    """Percentile of an ascending array, interpolated as ``percentile`` does; null of an empty one."""
+    place = (F.size(values) - 1) * F.lit(share)
+    low, high = F.floor(place), F.ceil(place)
+    below, above = (F.get(values, k.cast("int")) for k in (low, high))
+    return F.when(low == high, below).otherwise((high - place) * below + (place - low) * above)
+
+
 def poisson_one(*parts: Column) -> Column:
     """Poisson(1) bootstrap weight from one keyed uniform (tail beyond 8 has mass 1e-6)."""
     u = unit_uniform(*parts)

@@ -7,10 +7,10 @@ entity or row contributes to a percentile.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.expressions import expit, standard_normal
+from assayer.functions.expressions import expit, sorted_percentile, standard_normal
 from assayer.operators.contracts import assert_none
 from assayer.operators.metrics import correlation
 from assayer.operators.ordering import average_rank
@@ -31,6 +31,15 @@ def _effects(draws: DataFrame, param: str, entity: str) -> DataFrame:
     return draws.filter(F.col("Param") == param).select(*FIT, "Draw", F.col("Entity").alias(entity), F.col("Value").alias(param))
 
 
+def _values(name: str) -> Column:
+    """The values of a group in ascending order: one list for all of its percentiles."""
+    return F.sort_array(F.collect_list(name)).alias(name)
+
+
+def _bounds(name: str, **shares: float) -> list[Column]:
+    return [sorted_percentile(F.col(name), share).alias(bound) for bound, share in shares.items()]
+
+
 def predict_quality(draws: DataFrame, test: DataFrame, seed: int = 42, training: DataFrame | None = None) -> DataFrame:
     """Mean pass probability and 5/95 % bounds per round, marginalising unseen entities.
 
@@ -48,11 +57,12 @@ def predict_quality(draws: DataFrame, test: DataFrame, seed: int = 42, training:
     order = F.coalesce(standard_normal(s, F.lit("order"), F.col("WO"), d) * F.col("wo_sd"), F.lit(0.0))
     eta = F.col("alpha") + F.col("beta") * F.coalesce("ScaledSkill", F.lit(0.0)) + worker + group + order
     staged = rows.select(*test.columns, expit(eta).alias("__p"), F.col("u").isNull().alias("__nu"), F.col("v").isNull().alias("__nv"))
-    return staged.groupBy("WO", "RoundNo", *FIT).agg(
-        F.max("PassQty").alias("PassQty"), F.max("InspectedQty").alias("InspectedQty"), F.avg("__p").alias("Prediction"),
-        F.percentile("__p", F.lit(0.05)).alias("Lower05"), F.percentile("__p", F.lit(0.95)).alias("Upper95"),
+    rounds = staged.groupBy("WO", "RoundNo", *FIT).agg(
+        F.max("PassQty").alias("PassQty"), F.max("InspectedQty").alias("InspectedQty"), F.avg("__p").alias("Prediction"), _values("__p"),
         F.bool_and("__nu").alias("UnseenWorker"), F.bool_and("__nv").alias("UnseenGroup"),
     )
+    kept = ["WO", "RoundNo", *FIT, "PassQty", "InspectedQty", "Prediction"]
+    return rounds.select(*kept, *_bounds("__p", Lower05=0.05, Upper95=0.95), "UnseenWorker", "UnseenGroup")
 
 
 def difficulty_draws(draws: DataFrame) -> DataFrame:
@@ -62,13 +72,9 @@ def difficulty_draws(draws: DataFrame) -> DataFrame:
 def group_summary(draws: DataFrame) -> DataFrame:
     """Difficulty mean, 95 and 97.5 % bounds and rank bounds per group."""
     per_draw = average_rank(cut_lineage(difficulty_draws(draws)), [*FIT, "Draw"], "Difficulty", "Rank")
-    bounds = {"Lower95": 0.025, "Upper95": 0.975, "Lower975": 0.0125, "Upper975": 0.9875}
-    return per_draw.groupBy(*FIT, GROUP).agg(
-        F.avg("Difficulty").alias("Difficulty10"),
-        *[F.percentile("Difficulty", F.lit(p)).alias(name) for name, p in bounds.items()],
-        F.percentile("Rank", F.lit(0.025)).alias("RankLower95"),
-        F.percentile("Rank", F.lit(0.975)).alias("RankUpper95"),
-    )
+    groups = per_draw.groupBy(*FIT, GROUP).agg(F.avg("Difficulty").alias("Difficulty10"), _values("Difficulty"), _values("Rank"))
+    bounds = _bounds("Difficulty", Lower95=0.025, Upper95=0.975, Lower975=0.0125, Upper975=0.9875)
+    return groups.select(*FIT, GROUP, "Difficulty10", *bounds, *_bounds("Rank", RankLower95=0.025, RankUpper95=0.975))
 
 
 def worker_summary(draws: DataFrame) -> DataFrame:

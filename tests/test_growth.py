@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from assayer.catalog import models as C
 from assayer.catalog.registry import Inputs
-from assayer.functions.expressions import poisson_one
+from assayer.functions.expressions import poisson_one, sorted_percentile
 from assayer.operators import bom as B
 from assayer.operators import crossval as V
 from assayer.operators import effects as E
 from assayer.operators import eliminated as X
 from assayer.operators import jointtime as J
 from assayer.operators import learning as L
+from assayer.operators import posterior as D
 from assayer.operators import resample as R
 from assayer.streaming import jobs as S
 
@@ -182,3 +183,23 @@ def test_levels_of_many_steps_are_not_broadcast(spark, monkeypatch):
     assert reach == {(f"N{a}", f"N{b}"): 2.0 ** (b - a) for a in range(4) for b in range(a, 4)}
     grown = [p for p in plans if "StepQty" in p and "Multiplier" in p]
     assert len(grown) == 4 and not any("BroadcastHashJoin" in p for p in grown)
+
+
+def test_bounds_of_draws_come_from_one_list(spark):
+    rng = np.random.default_rng(5)
+    draws = [("P", "B", d, "v", f"G{g}", float(rng.normal())) for d in range(1, 8 + 1) for g in range(3)]
+    table = spark.createDataFrame(draws, "Process string, Branch string, Draw int, Param string, Entity string, Value double").persist()
+    summary = D.group_summary(table)
+    assert "percentile(" not in summary._jdf.queryExecution().optimizedPlan().toString()
+    wanted = {"Lower95": 0.025, "Upper95": 0.975, "Lower975": 0.0125, "Upper975": 0.9875}
+    each = D.difficulty_draws(table).groupBy("SizeAdjustedGroup").agg(*[F.percentile("Difficulty", F.lit(p)).alias(n) for n, p in wanted.items()])
+    want = {r.SizeAdjustedGroup: [r[n] for n in wanted] for r in each.collect()}
+    assert {r.SizeAdjustedGroup: [r[n] for n in wanted] for r in summary.collect()} == want
+
+
+def test_percentile_of_a_sorted_list(spark):
+    lists = spark.createDataFrame([(0, []), (1, [4.0]), (2, [1.0, 3.0]), (3, [1.0, 2.0, 2.0, 8.0, 9.5])], "k int, x array<double>")
+    for share in (0.0, 0.05, 0.5, 0.975, 1.0):
+        got = {r.k: r.p for r in lists.select("k", sorted_percentile(F.col("x"), share).alias("p")).collect()}
+        want = {r.k: r.p for r in lists.select("k", F.explode_outer("x").alias("v")).groupBy("k").agg(F.percentile("v", F.lit(share)).alias("p")).collect()}
+        assert got == want
