@@ -28,6 +28,8 @@ OUTSIDE_BLOCK, ALL_BLOCK = 256, 1024
 TALLIES, LONGEST_TALLIED = 256, 60_000
 # First rare shingles of a text that tell whether a pair meets earlier; later meetings are repeats that are dropped after.
 FIRST_LABELS = 64
+# Slots that labelled shingles are counted in; their number is fixed, fuller slots only tell rare shingles apart less.
+SLOTS = 1 << 21
 # A shingle that occurs more often in a text is aligned by one mask of its places.
 MANY_PLACES = 64
 
@@ -185,11 +187,46 @@ def _stars(members: DataFrame) -> DataFrame:
     return _near(met.select("digest", "n", F.col("hub.digest").alias("d"), F.col("hub.n").alias("m")))
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests, bodies = columns(batch, "digest", "body")
-        found = [pa.array(labels(shingles(body.split(b" "))).astype(np.int64)) for body in bodies]
-        yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["digest", "labels"])
+def _slots(labelled: np.ndarray, slots: int) -> np.ndarray:
+    return (labelled % np.uint64(slots)).astype(np.int64)
+
+
+def _slot_counts(slots: int):
+    """Texts of each slot, and the least and greatest class number (``part``) among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, bodies = columns(batch, "part", "body")
+            found = [_slots(labels(shingles(body.split(b" "))), slots) for body in bodies]
+            slot = np.concatenate([np.zeros(0, np.int64), *found])
+            part = np.repeat(np.array(parts, np.int64), [len(x) for x in found])
+            order = np.lexsort((part, slot))
+            slot, part = slot[order], part[order]
+            first = np.flatnonzero(np.diff(slot, prepend=-1))
+            last = np.append(first[1:], len(slot)) - 1 if len(slot) else first
+            arrays = [pa.array(x, pa.int64()) for x in (slot[first], last - first + 1, part[first], part[last])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["slot", "f", "low", "high"])
+
+    return run
+
+
+def _rarest(shared):
+    """(digest, root, n, rest, label): of the first shingles of each text in the order of (count of the slot, label), those
+    whose slot holds several classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, mixed = shared.value
+        for batch in batches:
+            for digest, root, body in zip(*columns(batch, "digest", "root", "body")):
+                found = labels(shingles(body.split(b" ")))
+                slot, n = _slots(found, len(counts)), len(found)
+                first = np.lexsort((found, counts[slot]))[: n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1]
+                at = np.flatnonzero(mixed[slot[first]])
+                keys = [pa.array([x] * len(at), pa.binary()) for x in (digest, root)]
+                numbers = [pa.array(x.astype(np.int64), pa.int64()) for x in (np.full(len(at), n), n - at - 1, found[first[at]])]
+                yield pa.RecordBatch.from_arrays([*keys, *numbers], names=["digest", "root", "n", "rest", "label"])
+
+    return run
 
 
 def tally(labelled: np.ndarray) -> np.ndarray:
@@ -239,22 +276,23 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rare_shingles(texts: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(digest, n, rest, label): the rare shingles of ``texts`` (digest, n), and how many common ones follow each.
+    """(digest, root, n, rest, label): the rare shingles of ``texts`` (digest, root), and how many others follow each.
 
-    Texts of n and m shingles that are near have at least SIMILARITY * max(n, m) labelled shingles in common, so they
-    share one among the n - SIMILARITY * n + 1 and m - SIMILARITY * m + 1 rarest. Shingles of one text come first and
-    match nothing.
+    Texts of n and m shingles that are near have at least SIMILARITY * max(n, m) labelled shingles in common, so in any
+    order of all shingles they share one among the first n - SIMILARITY * n + 1 and m - SIMILARITY * m + 1. The order is
+    that of counts in a table of SLOTS hashes, so a text is cut to those in its own task and the others never move. Nor
+    do shingles whose slot holds one class only; a slot shared by chance costs a row, never a link.
     """
-    placed = nodes.select("digest", "rid").join(offer_broadcast(texts.select("digest"), 60), "digest")
-    bodies = rows.select("rid", "body").join(offer_broadcast(placed, 120), "rid").select("digest", "body")
-    grams = bodies.mapInArrow(_labelled, "digest binary, labels array<long>").select("digest", F.explode("labels").alias("label"))
-    counts = settle(grams.groupBy("label").agg(F.count("*").alias("df")).filter("df > 1"))
-    shared = grams.join(offer_broadcast(counts, 60), "label").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("df", "label"))).alias("x"))
-    single = F.col("n") - F.size("x")
-    prefix = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-9) + 1
-    reach = shared.join(texts, "digest").withColumn("single", single).withColumn("prefix", F.greatest(prefix - single, F.lit(0)).cast("int"))
-    held = reach.select("digest", "n", "single", F.posexplode(F.slice("x", F.lit(1), F.col("prefix"))).alias("at", "one"))
-    return settle(held.select("digest", "n", (F.col("n") - F.col("single") - F.col("at") - 1).alias("rest"), F.col("one.label").alias("label")))
+    placed = nodes.select("digest", "rid").join(offer_broadcast(texts.select("digest", "root"), 100), "digest")
+    bodies = rows.select("rid", "body").join(offer_broadcast(placed, 160), "rid").select("digest", "root", F.xxhash64("root").alias("part"), "body")
+    tallied = bodies.mapInArrow(_slot_counts(SLOTS), "slot long, f long, low long, high long").groupBy("slot")
+    found = tallied.agg(F.sum("f").alias("f"), (F.min("low") < F.max("high")).alias("mixed")).toArrow()
+    counts, mixed = np.zeros(SLOTS, np.uint32), np.zeros(SLOTS, bool)
+    slot = found["slot"].to_numpy()
+    counts[slot] = np.minimum(found["f"].to_numpy(), 2**32 - 1)
+    mixed[slot] = found["mixed"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast((counts, mixed))
+    return settle(bodies.mapInArrow(_rarest(shared), "digest binary, root binary, n long, rest long, label long"))
 
 
 def _parted(postings: DataFrame) -> DataFrame:
@@ -388,9 +426,9 @@ def near_duplicates(docs: DataFrame, row_id: str | None = None) -> DataFrame:
     # What is still parted in a large bucket is compared across its classes, whatever the leaders found.
     placed = _rooted(large, roots)
     parted = placed.groupBy("bucket").agg(F.countDistinct("root").alias("now")).filter("now > 1").select("bucket")
-    apart = settle(placed.join(parted, "bucket").select("digest", "n").distinct())
+    apart = settle(placed.join(parted, "bucket").select("digest", "root").distinct())
     if not apart.isEmpty():
-        rare = settle(_parted(_rooted(_rare_shingles(apart, rows, nodes), roots)))
+        rare = settle(_parted(_rare_shingles(apart, rows, nodes)))
         # First one text of each class that holds a shingle: most stragglers go here. More rounds follow while classes
         # merge and what is left would still cost many rows; that settles cost, not results.
         while True:

@@ -378,3 +378,30 @@ def test_a_pair_of_classes_leaves_one_group_and_far_pairs_none(spark):
     made = groups.select("label", "x").mapInArrow(ordermin._across, "a binary, b binary").collect()
     assert [(bytes(r["a"]), bytes(r["b"])) for r in made] == [(b"00", b"01")]
     assert [(bytes(r["a"]), bytes(r["b"])) for r in ordermin._pairs_by_rare_shingles(postings).collect()] == [(b"00", b"01")]
+
+
+@pytest.mark.parametrize("slots", [7, ordermin.SLOTS])
+def test_rare_shingles_are_cut_in_their_own_task(spark, monkeypatch, slots):
+    """No shingle of a family moves but the first of each text, and no near pair is lost however full the slots are."""
+    monkeypatch.setattr(ordermin, "SLOTS", slots)
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 10**9, 200)]
+    texts = {}
+    for k in range(40):
+        texts[b"%02d" % k] = [f"e{k}-{j}" if j in (3 * k % 190, 5 * k % 190) else w for j, w in enumerate(base)]
+    rows = spark.createDataFrame([(int(d), d, " ".join(t).encode()) for d, t in texts.items()], "rid long, digest binary, body binary")
+    sizes = spark.createDataFrame([(d, d) for d in texts], "digest binary, root binary")
+    plans, write = [], ordermin.settle
+    monkeypatch.setattr(ordermin, "settle", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    postings = ordermin._rare_shingles(sizes, rows, rows.select("digest", "rid"))
+    assert not [line for plan in plans for line in plan.splitlines() if "Join" in line and "label" in line]
+    held = collections.defaultdict(set)
+    for r in postings.collect():
+        held[bytes(r["digest"])].add((r["label"], r["rest"], r["n"]))
+    assert all(len(x) <= 196 - 157 + 1 for x in held.values())
+    grams = {d: ordermin.shingles([w.encode() for w in t]) for d, t in texts.items()}
+    for a, b in itertools.combinations(texts, 2):
+        if ordermin.aligned(grams[a].tolist(), grams[b].tolist(), 0.8) >= 0.8:
+            assert {x[0] for x in held[a]} & {x[0] for x in held[b]}
+    one = spark.createDataFrame([(d, b"00") for d in texts], "digest binary, root binary")
+    assert ordermin._rare_shingles(one, rows, rows.select("digest", "rid")).count() == 0
