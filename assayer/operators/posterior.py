@@ -77,6 +77,11 @@ def group_summary(draws: DataFrame) -> DataFrame:
     return groups.select(*FIT, GROUP, "Difficulty10", *bounds, *_bounds("Rank", RankLower95=0.025, RankUpper95=0.975))
 
 
+def group_difficulty(draws: DataFrame) -> DataFrame:
+    """Difficulty mean per group, without bounds or ranks."""
+    return difficulty_draws(draws).groupBy(*FIT, GROUP).agg(F.avg("Difficulty").alias("Difficulty10"))
+
+
 def worker_summary(draws: DataFrame) -> DataFrame:
     return _effects(draws, "u", "Worker").groupBy(*FIT, "Worker").agg(
         F.avg("u").alias("WorkerResidual"), F.percentile("u", F.lit(0.025)).alias("Lower95"), F.percentile("u", F.lit(0.975)).alias("Upper95")

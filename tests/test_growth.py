@@ -203,3 +203,11 @@ def test_percentile_of_a_sorted_list(spark):
         got = {r.k: r.p for r in lists.select("k", sorted_percentile(F.col("x"), share).alias("p")).collect()}
         want = {r.k: r.p for r in lists.select("k", F.explode_outer("x").alias("v")).groupBy("k").agg(F.percentile("v", F.lit(share)).alias("p")).collect()}
         assert got == want
+
+
+def test_missing_branches_need_no_ranks(spark, monkeypatch):
+    rows = [("P", "B", d, "v", f"G{g}", (d * 7 + g * 3) % 5 / 5.0) for d in range(6) for g in range(4)]
+    draws = spark.createDataFrame(rows, "Process string, Branch string, Draw int, Param string, Entity string, Value double")
+    full = {r.SizeAdjustedGroup: r.Difficulty10 for r in D.group_summary(draws).collect()}
+    monkeypatch.setattr(D, "average_rank", None)
+    assert {r.SizeAdjustedGroup: r.Difficulty10 for r in D.group_difficulty(draws).collect()} == pytest.approx(full)
