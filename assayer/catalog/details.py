@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.catalog.attribution import TEAM_CTE, WR_CTE, rounds
-from assayer.catalog.models import single_rounds, times
+from assayer.catalog.models import times
 from assayer.catalog.qc import TICKET_CTE
 from assayer.catalog.registry import Inputs, query, shown
 from assayer.operators import attribution as A
@@ -13,7 +13,7 @@ from assayer.operators import crossval as V
 from assayer.operators import details as D
 from assayer.operators import effects as E
 from assayer.operators import metrics as M
-from assayer.session import cut_lineage
+from assayer.session import settle
 
 LINK_CTE = """
 tk AS (SELECT TicketId, WO, RoundNo, Item FROM qc_tickets),
@@ -58,10 +58,13 @@ def ticket_worker_effects(inp: Inputs):
 
 
 def with_effects(inp: Inputs):
-    learned = cut_lineage(single_rounds(inp).filter("Attribution = 'single'"))
+    # The rounds are rebuilt once, in the few columns that the fit and the tickets read.
+    core = settle(rounds(inp).select("WO", "RoundNo", "Item", "Process", "SizeAdjustedGroup", "PassQty", "FailQty", "InspectedQty"))
     branch = F.when(F.col("RoundNo") == 1, "FIRST_PASS").otherwise("REWORK")
-    fit = E.fit_crossed_logit(learned.withColumn("Branch", branch), ["Process", "Branch"])
-    return D.ticket_workers(linked(inp), A.worker_rounds(inp.assignment), fit.workers)
+    learned = A.attribute_rounds(core, inp.assignment).filter("Attribution = 'single'").withColumn("Branch", branch)
+    fit = E.fit_crossed_logit(learned, ["Process", "Branch"])
+    tickets = D.link_tickets(inp.qc_tickets.select("TicketId", "WO", "RoundNo", "Item"), core.withColumn("InspectedQty", F.col("PassQty") + F.col("FailQty")))
+    return D.ticket_workers(tickets, A.worker_rounds(inp.assignment), fit.workers)
 
 
 @query()

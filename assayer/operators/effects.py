@@ -425,9 +425,10 @@ class Shrinkage:
 
 
 def logit_cells(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Passed and inspected pieces per fit, worker, group and round."""
+    """Passed and inspected pieces per fit, worker, group and round; a column ``obs`` says how many rounds a row stands for."""
+    obs = F.sum("obs") if "obs" in df.columns else F.count("*")
     return df.groupBy(*keys, "Worker", F.col("SizeAdjustedGroup").alias("ItemKey"), F.col("RoundNo").cast("bigint").alias("RoundNo")).agg(
-        F.sum("PassQty").alias("y"), F.sum("InspectedQty").alias("n"), F.count("*").alias("obs")
+        F.sum("PassQty").alias("y"), F.sum("InspectedQty").alias("n"), obs.alias("obs")
     )
 
 
@@ -444,6 +445,7 @@ def fit_crossed_logit(
     source = _known(df if shrink.use_workers else df.withColumn("Worker", F.lit("*")), "SizeAdjustedGroup")
     cells = logit_cells(source, [*keys, *extra])
     if shrink.use_workers and shrink.adaptive:
+        cells = settle(cells)
         size = cells.groupBy(*keys).agg(
             F.sum("obs").alias("rows"), F.count_distinct("Worker").alias("nw"), F.count_distinct("ItemKey").alias("ng")
         )

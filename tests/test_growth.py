@@ -211,3 +211,14 @@ def test_missing_branches_need_no_ranks(spark, monkeypatch):
     full = {r.SizeAdjustedGroup: r.Difficulty10 for r in D.group_summary(draws).collect()}
     monkeypatch.setattr(D, "average_rank", None)
     assert {r.SizeAdjustedGroup: r.Difficulty10 for r in D.group_difficulty(draws).collect()} == pytest.approx(full)
+
+
+def test_ticket_effects_rebuild_the_rounds_once(spark, monkeypatch):
+    from assayer.catalog import attribution, details, models
+
+    made, rounds = [], attribution.rounds
+    for module in (attribution, details, models):
+        if hasattr(module, "rounds"):
+            monkeypatch.setattr(module, "rounds", lambda inp: made.append(1) or rounds(inp))
+    details.with_effects(Inputs(spark, "/root/testdata/sf0.001"))
+    assert len(made) == 1
