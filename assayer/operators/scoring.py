@@ -39,8 +39,11 @@ def technical_complexity(factors: DataFrame) -> DataFrame:
     modeled = or_false((F.col("Factor") == "Quality") | (F.upper(F.trim("Method")) == "MODEL_ESTIMATE"))
     trusted = or_false(confidence.between(0, 1) & (F.upper(F.trim("ConfidenceStatus")) == "ESTIMATED_VALIDATED"))
     weight = _weight_of(F.col("Factor"))
+    # A bit for each known factor: five rows that set all bits are the five factors once each, without a distinct count.
+    bit = F.coalesce(*[F.when(F.col("Factor") == name, 1 << k) for k, name in enumerate(FACTOR_WEIGHTS)])
+    every = (1 << len(FACTOR_WEIGHTS)) - 1
     facts = factors.groupBy("Item", "Process").agg(
-        ((F.count("*") == 5) & (F.count_distinct("Factor") == 5) & F.bool_and(weight.isNotNull())).alias("whole"),
+        ((F.count("*") == len(FACTOR_WEIGHTS)) & (F.coalesce(F.bit_or(bit), F.lit(0)) == every)).alias("whole"),
         F.bool_and(or_false(score.between(0, 10))).alias("scored"),
         *[F.bool_and(clean_text(c).isNotNull()).alias(f"has{c}") for c in ("Evidence", "Scorer", "Approver", "Version")],
         F.bool_and(folded("Approved") == "true").alias("approved"),

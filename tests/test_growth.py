@@ -205,6 +205,18 @@ def test_percentile_of_a_sorted_list(spark):
         assert got == want
 
 
+def test_five_factors_are_told_without_a_distinct_count(spark):
+    from assayer.operators import scoring as Q
+
+    names = list(Q.FACTOR_WEIGHTS)
+    sets = {"whole": names, "twice": [*names[:4], names[0]], "other": [*names[:4], "x"], "none": ["x"] * 5, "short": names[:4], "more": [*names, names[0]], "null": [*names[:4], None]}
+    rows = [(item, "P", f, 5.0, "e", "s", "a", "v", "true", "Valid", 0.9, "ESTIMATED_VALIDATED") for item, found in sets.items() for f in found]
+    columns = "Item string, Process string, Factor string, Score double, Evidence string, Scorer string, Approver string, Version string, Approved string, DataQualityStatus string, ConfidencePct double, ConfidenceStatus string"
+    gated = Q.technical_complexity(spark.createDataFrame(rows, columns))
+    assert "Expand" not in gated._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.Item for r in gated.collect() if "Missing or duplicate factors" not in r.FactorGate} == {"whole"}
+
+
 def test_missing_branches_need_no_ranks(spark, monkeypatch):
     rows = [("P", "B", d, "v", f"G{g}", (d * 7 + g * 3) % 5 / 5.0) for d in range(6) for g in range(4)]
     draws = spark.createDataFrame(rows, "Process string, Branch string, Draw int, Param string, Entity string, Value double")
