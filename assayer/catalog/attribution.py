@@ -18,6 +18,11 @@ def rounds(inp: Inputs):
     return reconstruction(inp, cutoff=QC_CUTOFF).rounds
 
 
+def rounds_once(inp: Inputs):
+    """The rounds for a query that reads them once: not written, and only the columns it takes."""
+    return reconstruction(inp, cutoff=QC_CUTOFF, once=True).rounds
+
+
 WR_CTE = """
 wr AS (SELECT WO, RoundNo, Worker, sum(Hours) AS Hours, sum(Qty) AS QtyDoing FROM assignment GROUP BY 1, 2, 3),
 wrn AS (SELECT *, count(*) OVER (PARTITION BY WO, RoundNo) AS n FROM wr)"""
@@ -82,8 +87,8 @@ planned AS (SELECT *, CASE WHEN Attribution <> 'single' THEN 'NO_SINGLE_PRODUCTI
   CASE Attribution WHEN 'team' THEN 'AUDIT_ONLY_MULTIPLE_WORKERS' WHEN 'unknown' THEN 'AUDIT_ONLY_NO_ROUND_WORKER' ELSE 'ELIGIBLE' END AS Eligibility FROM plan)"""
 
 
-def planned(inp: Inputs):
-    return A.planner_rounds(rounds(inp), inp.assignment, inp.skills, VERIFIED)
+def planned(inp: Inputs, source=rounds):
+    return A.planner_rounds(source(inp), inp.assignment, inp.skills, VERIFIED)
 
 
 @query(

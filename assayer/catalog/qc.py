@@ -291,7 +291,7 @@ SELECT EventId, Phase, CASE Phase WHEN 'FirstPass' THEN 1 WHEN 'Rework' THEN nr
     ("qc_tickets", "touches"),
 )
 def touch_phase(inp: Inputs):
-    rows = T.reconstruct_touch(inp.touches, reconstruction(inp, cutoff=CUTOFF).rounds)
+    rows = T.reconstruct_touch(inp.touches, reconstruction(inp, cutoff=CUTOFF, once=True).rounds)
     return shown(rows, "EventId", "Phase", "RoundNo", "Attribution", "TouchMinutes")
 
 
@@ -304,5 +304,5 @@ SELECT Process, Worker, CAST(count(*) AS BIGINT) AS ReworkTouches, CAST(count(CA
     ("qc_tickets", "touches"),
 )
 def rescue_minutes(inp: Inputs):
-    rows = T.reconstruct_touch(inp.touches, reconstruction(inp, cutoff=CUTOFF).rounds)
+    rows = T.reconstruct_touch(inp.touches, reconstruction(inp, cutoff=CUTOFF, once=True).rounds)
     return shown(T.rescue_summary(rows))

@@ -47,26 +47,23 @@ def attach_first_worker(first: DataFrame, production: DataFrame, skills: DataFra
 
 
 def round_teams(production: DataFrame) -> DataFrame:
-    """Long membership table: each distinct worker of a round's item and process."""
+    """The distinct workers of every round's item and process, in order; one exchange."""
     valid = production.filter((F.col("RoundNo") >= 1) & is_whole(F.col("RoundNo")) & F.col("Worker").isNotNull())
-    return valid.select(*ROUND, "Item", "Process", "Worker").distinct()
+    return valid.groupBy(*ROUND, "Item", "Process").agg(F.sort_array(F.collect_set("Worker")).alias("Workers"))
 
 
 def attribute_rounds(rounds: DataFrame, production: DataFrame) -> DataFrame:
     """single / team / unknown by the workers that match the round's item and process."""
-    sizes = round_teams(production).groupBy(*ROUND, "Item", "Process").agg(
-        F.count("*").alias("TeamSize"), F.min("Worker").alias("__w"), F.sort_array(F.collect_list("Worker")).alias("Workers")
-    )
-    joined = rounds.join(sizes, [*ROUND, "Item", "Process"], "left")
-    size = F.coalesce("TeamSize", F.lit(0))
+    joined = rounds.join(round_teams(production), [*ROUND, "Item", "Process"], "left")
+    size = F.when(F.col("Workers").isNull(), 0).otherwise(F.size("Workers")).cast("bigint")
     return joined.withColumns(
         {
             "TeamSize": size,
-            "Worker": F.when(size == 1, F.col("__w")),
+            "Worker": F.when(size == 1, F.get("Workers", F.lit(0))),
             "Attribution": F.when(size == 1, "single").when(size > 1, "team").otherwise("unknown"),
             "Branch": branch(F.col("RoundNo")),
         }
-    ).drop("__w")
+    )
 
 
 def branch(round_no: Column, first: str = "First pass", later: str = "Rework") -> Column:
@@ -86,19 +83,20 @@ def planner_rounds(rounds: DataFrame, production: DataFrame, skills: DataFrame,
     valid = production.filter(
         (F.col("RoundNo") >= 1) & is_whole(F.col("RoundNo")) & F.col("Worker").isNotNull() & F.col("WO").isNotNull()
     )
+    # One exchange: the items and workers of a round are few, however many rows it has.
     crew = valid.groupBy(*ROUND).agg(
-        F.count_distinct("Worker").alias("WorkersInRound"),
+        F.size(F.collect_set("Worker")).cast("bigint").alias("WorkersInRound"),
         F.min("Worker").alias("__w"),
         F.min("Process").alias("__p0"),
         F.max("Process").alias("__p1"),
+        F.collect_set("Item").alias("__items"),
     )
-    items = valid.select(*ROUND, "Item").distinct().withColumn("__item", F.lit(True))
-    q = rounds.drop("Worker").join(crew, ROUND, "left").join(items, [*ROUND, "Item"], "left")
+    q = rounds.drop("Worker").join(crew, ROUND, "left")
     size = F.coalesce("WorkersInRound", F.lit(0))
-    agrees = (F.col("__p0") == F.col("Process")) & (F.col("__p1") == F.col("Process")) & F.col("__item")
+    agrees = (F.col("__p0") == F.col("Process")) & (F.col("__p1") == F.col("Process")) & F.array_contains("__items", F.col("Item"))
     attribution = F.when(size > 1, "team").when((size == 1) & or_false(agrees), "single").otherwise("unknown")
     q = q.withColumns({"WorkersInRound": size, "Attribution": attribution})
-    q = q.withColumn("Worker", F.when(F.col("Attribution") == "single", F.col("__w"))).drop("__w", "__p0", "__p1", "__item")
+    q = q.withColumn("Worker", F.when(F.col("Attribution") == "single", F.col("__w"))).drop("__w", "__p0", "__p1", "__items")
     q = q.join(
         clean_skills(skills, check=False).select("Worker", "Process", F.col("Skill").alias("CertifiedSkill")),
         ["Worker", "Process"],

@@ -25,7 +25,7 @@ from assayer.functions.expressions import (
 )
 from assayer.operators.contracts import require_columns, with_group_stats
 from assayer.operators.production import GROUP, rename_aliases
-from assayer.session import cut_lineage
+from assayer.session import cut_lineage, settle
 
 TICKET_COLUMNS = ["TicketId", "WO", "Item", "RoundNo", "Status", "Qty", "ExpectedQty", "QcStart", "QcStop"]
 TICKET_ALIASES = [
@@ -155,9 +155,24 @@ def collapse_snapshots(raw: DataFrame) -> DataFrame:
 
 def flag_tickets(tickets: DataFrame, cutoff: str | None = None) -> DataFrame:
     """Reason per ticket: unusable itself, sharing an order with one, or after the cutoff."""
+    counted = with_group_stats(tickets, ["TicketId"], F.count("*").alias("__copies"))
+    bad, future = _faults(tickets, F.col("__copies") > 1, cutoff)
+    marked = counted.withColumns({"__bad": bad, "__future": future}).drop("__copies")
+    guilty = marked.filter("__bad AND NOT __future AND WO IS NOT NULL").select("WO").distinct().withColumn("__guilty", F.lit(True))
+    return (
+        marked.join(guilty, "WO", "left")
+        .withColumn(
+            "Reason",
+            F.when(F.col("__future"), AFTER_CUTOFF).when(F.col("__bad") | F.col("__guilty").isNotNull(), BAD_TICKET),
+        )
+        .drop("__bad", "__future", "__guilty")
+    )
+
+
+def _faults(tickets: DataFrame, repeated: Column, cutoff: str | None) -> tuple[Column, Column]:
+    """(unusable itself, after the cutoff) of a ticket."""
     required = ["WO", "TicketId", "Item", "Process", "QcStart", "QcStop"]
     null_key = F.greatest(*[F.col(c).isNull().cast("int") for c in required]) == 1
-    counted = with_group_stats(tickets, ["TicketId"], F.count("*").alias("__copies"))
     broken = (
         null_key
         | (F.col("QcStop") < F.col("QcStart"))
@@ -165,21 +180,27 @@ def flag_tickets(tickets: DataFrame, cutoff: str | None = None) -> DataFrame:
         | ~((F.col("RoundNo") >= 1) & is_whole(F.col("RoundNo")))
         | ~((F.col("Qty") >= 0) & is_whole(F.col("Qty")))
         | ~((F.col("ExpectedQty") > 0) & is_whole(F.col("ExpectedQty")))
-        | (F.col("__copies") > 1)
+        | repeated
     )
     future = or_false(F.col("QcStop") > F.lit(cutoff).cast("timestamp_ntz")) if cutoff else F.lit(False)
     if "IsRoundValid" in tickets.columns:
         broken = broken | (F.coalesce(to_double("IsRoundValid"), F.lit(1.0)) == 0)
-    marked = counted.withColumns({"__bad": or_true(broken), "__future": future}).drop("__copies")
-    guilty = marked.filter("__bad AND NOT __future AND WO IS NOT NULL").select("WO").distinct().withColumn("__guilty", F.lit(True))
-    return (
-        marked.join(guilty, "WO", "left")
-        .withColumn(
-            "Reason",
-            F.when(F.col("__future"), AFTER_CUTOFF).when(F.col("__bad") | F.col("__guilty").isNotNull(), BAD_TICKET),
-        )
-        .drop("__bad", "__future", "__guilty")
-    )
+    return or_true(broken), future
+
+
+def usable_totals(tickets: DataFrame, cutoff: str | None = None) -> DataFrame:
+    """Totals per round of the orders none of whose tickets is unusable, as ``flag_tickets`` tells them.
+
+    Unusable tickets go with their order under no round, and their order is told by that in the exchange that the judgement
+    of the orders needs anyway: no ticket is joined with the tickets or orders that spoil it.
+    """
+    repeated = tickets.groupBy("TicketId").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = settle(repeated.select("TicketId", F.lit(True).alias("__repeated")))  # few rows, known to be few once written
+    bad, future = _faults(tickets, F.col("__repeated").isNotNull(), cutoff)
+    marked = tickets.join(repeated, "TicketId", "left").withColumns({"__bad": bad, "__future": future})
+    told = marked.filter("NOT __future AND (NOT __bad OR WO IS NOT NULL)").withColumn("RoundNo", F.when(~F.col("__bad"), F.col("RoundNo")))
+    spoilt = F.max(F.col("RoundNo").isNull()).over(W.partitionBy("WO"))
+    return round_totals(told).withColumn("__spoilt", spoilt).filter("NOT __spoilt").drop("__spoilt")
 
 
 def round_totals(clean: DataFrame) -> DataFrame:
@@ -210,13 +231,14 @@ def round_totals(clean: DataFrame) -> DataFrame:
     return totals.withColumn("ReworkQty", F.coalesce(remaining, F.lit(0.0)))
 
 
-def trajectory_reasons(rounds: DataFrame) -> DataFrame:
-    """Reason per order; checks that run later override earlier ones.
+def judged(rounds: DataFrame) -> DataFrame:
+    """The rounds with the Reason of their order; checks that run later override earlier ones.
 
-    The window sees one pre-aggregated row per round, so an order contributes its number of
+    The windows see one pre-aggregated row per round, so an order contributes its number of
     rework rounds no matter how many tickets it holds.
     """
-    by_round = W.partitionBy("WO").orderBy("RoundNo")
+    order = W.partitionBy("WO")
+    by_round = order.orderBy("RoundNo")
     expected = F.col("__expected_min")
     unreconciled = (expected != F.col("__expected_max")) | ~or_false(
         is_close(F.col("PassQty") + F.col("FailQty"), expected)
@@ -225,44 +247,40 @@ def trajectory_reasons(rounds: DataFrame) -> DataFrame:
         F.col("InspectedQty") > F.lag("ReworkQty").over(by_round) + 1e-8
     )
     staged = rounds.withColumn("__flaw", last_reason([(unreconciled, NOT_RECONCILED), (or_false(mistimed), BAD_TIMING)]))
-    later = F.col("RoundNo") > F.min("RoundNo").over(W.partitionBy("WO"))
-    staged = staged.withColumn("__later", later)
-    per_order = staged.groupBy("WO").agg(
-        F.min("Item").alias("lo"),
-        F.max("__item_max").alias("hi"),
-        F.min("RoundNo").alias("r0"),
-        F.max("RoundNo").alias("r1"),
-        F.count("*").alias("n"),
-        F.max_by("__flaw", F.when(F.col("__flaw").isNotNull(), F.col("RoundNo"))).alias("flaw"),
-        F.sum(F.when(F.col("__later"), F.col("PassQty"))).alias("recovered"),
-        F.min_by("FailQty", "RoundNo").alias("first_fail"),
-    )
+    staged = staged.withColumn("__later", F.col("RoundNo") > F.min("RoundNo").over(order))
+    recovered = F.sum(F.when(F.col("__later"), F.col("PassQty"))).over(order)
+    first_fail = F.min_by("FailQty", "RoundNo").over(order)
+    flaw = F.max_by("__flaw", F.when(F.col("__flaw").isNotNull(), F.col("RoundNo"))).over(order)
+    gap = (F.min("RoundNo").over(order) != 1) | (F.count("*").over(order) != F.max("RoundNo").over(order))
     reason = F.coalesce(
-        F.when(F.col("recovered") > F.col("first_fail") + 1e-8, OVER_RECOVERED),
-        F.col("flaw"),
-        F.when((F.col("r0") != 1) | (F.col("n") != F.col("r1")), ROUND_GAP),
-        F.when(F.col("lo") != F.col("hi"), MULTIPLE_ITEMS),
+        F.when(recovered > first_fail + 1e-8, OVER_RECOVERED),
+        flaw,
+        F.when(gap, ROUND_GAP),
+        F.when(F.min("Item").over(order) != F.max("__item_max").over(order), MULTIPLE_ITEMS),
     )
-    return per_order.select("WO", reason.alias("Reason"))
+    return staged.withColumn("Reason", reason).drop("__flaw", "__later")
+
 
+def reconstruct(tickets: DataFrame, cutoff: str | None = None, exclude_month: str | None = None, once: bool = False) -> Reconstruction:
+    """Rounds, first rounds and exceptions from canonical tickets (with process and group).
 
-def reconstruct(tickets: DataFrame, cutoff: str | None = None, exclude_month: str | None = None) -> Reconstruction:
-    """Rounds, first rounds and exceptions from canonical tickets (with process and group)."""
+    ``once``: the caller reads one of the results, once, so that nothing is written and only the columns it takes are made.
+    """
     kept, policy = split_month(tickets, exclude_month)
-    flagged = flag_tickets(kept, cutoff)
-    clean = flagged.filter("Reason IS NULL").drop("Reason")
-    totals = cut_lineage(round_totals(clean))  # one row per round; read by every result below
-    reasons = trajectory_reasons(totals)
-    rejected = reasons.filter("Reason IS NOT NULL")
-    accepted = totals.join(rejected, "WO", "left_anti")
+    totals = judged(usable_totals(kept, cutoff))
+    if not once:
+        totals = settle(totals)  # one row per round; read by every result below
+    accepted = totals.filter("Reason IS NULL").drop("Reason")
     rounds = accepted.select(
         "WO", "RoundNo", "Item", GROUP, "Process", "PassQty", "FailQty", "ReworkQty", "ScrapQty", "InspectedQty",
         "Disposition", "QcStart", "QcStop",
     )
+    flagged = flag_tickets(kept, cutoff)
+    rejected = totals.filter("Reason IS NOT NULL").select("WO", "Reason").distinct()
     exceptions = (
         flagged.filter("Reason IS NOT NULL")
         .unionByName(policy, allowMissingColumns=True)
-        .unionByName(clean.join(rejected, "WO"), allowMissingColumns=True)
+        .unionByName(flagged.filter("Reason IS NULL").drop("Reason").join(rejected, "WO"), allowMissingColumns=True)
     )
     return Reconstruction(rounds, first_rounds(accepted), exceptions)
 

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from assayer.functions.expressions import micros, or_false, or_true, seconds_between
 from assayer.operators.contracts import require_columns
 from assayer.operators.ordering import prefix_totals
-from assayer.session import cut_lineage
+from assayer.session import cut_lineage, settle
 
 WHO = ["WO", "Worker"]
+# Intervals of an order that one task reads along.
+CROWDED = 100_000
 
 
 def flag_overlaps(events: DataFrame) -> DataFrame:
@@ -54,8 +56,32 @@ def _smallest_nested_start(timed: DataFrame) -> DataFrame:
     return reach.select(*WHO, (-F.col("t")).alias("a"), F.col("low_before").alias("__nested"))
 
 
+def _overlaps_in_order(events: DataFrame) -> DataFrame:
+    """``flag_overlaps`` of intervals that lie together, by what runs along the starts of a worker's intervals.
+
+    A proper interval meets another one if an earlier start stops after it begins, or the next one begins before it stops;
+    a zero-length one needs two earlier starts that stop after it. Inverted intervals meet those that contain them.
+    """
+    a, b = micros(F.col("WorkerStart")), micros(F.col("WorkerStop"))
+    proper, known = or_false(a <= b), F.col("WO").isNotNull() & F.col("Worker").isNotNull()
+    along = W.partitionBy(*WHO).orderBy(proper.desc(), a, b)
+    before = along.rowsBetween(W.unboundedPreceding, -1)
+    stop = F.when(proper, b)
+    backwards = W.partitionBy(*WHO).orderBy(F.when(proper, a).otherwise(b).desc_nulls_last(), proper.desc()).rowsBetween(W.unboundedPreceding, -1)
+    staged = events.withColumns({"__last": F.max(stop).over(before), "__next": F.lead(F.when(proper, a)).over(along)})
+    staged = staged.withColumn("__second", F.max(F.when(F.col("__last").isNotNull(), F.least(stop, F.col("__last")))).over(before))
+    staged = staged.withColumn("__nested", F.min(F.when(or_false(a > b), a)).over(backwards))
+    meets = or_false(F.col("__last") > a) | or_false(F.col("__next") < b) | or_false(F.col("__nested") < b)
+    crossed = F.when(a == b, or_false(F.col("__second") > a)).otherwise(meets)
+    return staged.withColumn("Overlaps", known & proper & crossed).drop("__last", "__next", "__second", "__nested")
+
+
 def reconstruct_touch(events: DataFrame, rounds: DataFrame) -> DataFrame:
-    """Phase, round, attribution and minutes of each labour interval."""
+    """Phase, round, attribution and minutes of each labour interval.
+
+    An order's intervals move once and meet its rounds as one row. Orders of more than ``CROWDED`` intervals, counted first,
+    are taken apart from their aggregates instead of being read along by one task.
+    """
     require_columns(events, ["EventId", "WO", "Worker", "Process", "WorkerStart", "WorkerStop"], "Touch events")
     in_order = W.partitionBy("WO").orderBy("RoundNo")
     spans = rounds.select(
@@ -63,24 +89,32 @@ def reconstruct_touch(events: DataFrame, rounds: DataFrame) -> DataFrame:
         F.lead("QcStart").over(in_order).alias("NextStart"),
         F.lead("RoundNo").over(in_order).alias("NextRound"),
     )
-    opening = spans.groupBy("WO").agg(
-        F.min_by("QcStart", "RoundNo").alias("FirstStart"), F.min_by("Process", "RoundNo").alias("OrderProcess")
+    gap = F.struct(F.col("QcStop").alias("After"), "NextStart", "NextRound")
+    orders = spans.groupBy("WO").agg(
+        F.min_by("QcStart", "RoundNo").alias("FirstStart"), F.min_by("Process", "RoundNo").alias("OrderProcess"),
+        F.collect_list(F.when(F.expr("NextStart IS NOT NULL AND FailQty > 0"), gap)).alias("__gaps"),
     )
-    placed = flag_overlaps(events).join(opening, "WO", "left")
+    crowded = settle(events.groupBy("WO").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).select("WO"))
+    if crowded.isEmpty():
+        return _phases(_overlaps_in_order(events.repartition("WO")).join(orders, "WO", "left"), alone=True)
+    few = events.join(F.broadcast(crowded.filter("WO IS NOT NULL")), "WO", "left_anti")
+    many = events.join(F.broadcast(crowded), "WO", "left_semi")
+    light = _phases(_overlaps_in_order(few.repartition("WO")).join(orders, "WO", "left"), alone=True)
+    return light.unionByName(_phases(flag_overlaps(many).join(orders, "WO", "left"), alone=False))
+
+
+def _phases(placed: DataFrame, alone: bool) -> DataFrame:
+    """Phases of intervals that carry their order's rounds; ``alone``: an order's intervals lie together."""
     ordered = F.col("WorkerStart") <= F.col("WorkerStop")
     before_first = (F.col("WorkerStop") <= F.col("FirstStart")) & (F.col("Process") == F.col("OrderProcess"))
-    initial = (
-        placed.filter(ordered & before_first & F.col("Worker").isNotNull())
-        .groupBy("WO")
-        .agg(F.min("Worker").alias("__w0"), F.max("Worker").alias("__w1"))
-    )
-    gaps = spans.filter("NextStart IS NOT NULL AND FailQty > 0").select(
-        F.col("WO").alias("__wo"), F.col("QcStop").alias("__after"), "NextStart", "NextRound"
-    )
-    inside = (
-        (F.col("WO") == F.col("__wo")) & (F.col("WorkerStart") > F.col("__after")) & (F.col("WorkerStop") < F.col("NextStart"))
-    )
-    matched = placed.join(initial, "WO", "left").join(gaps, inside, "left")
+    first = F.when(ordered & before_first, F.col("Worker"))
+    if alone:
+        order = W.partitionBy("WO")
+        placed = placed.withColumns({"__w0": F.min(first).over(order), "__w1": F.max(first).over(order)})
+    else:
+        placed = placed.join(placed.groupBy("WO").agg(F.min(first).alias("__w0"), F.max(first).alias("__w1")), "WO", "left")
+    inside = F.filter("__gaps", lambda g: (F.col("WorkerStart") > g["After"]) & (F.col("WorkerStop") < g["NextStart"]))
+    matched = placed.select("*", F.explode_outer(F.transform(inside, lambda g: g["NextRound"])).alias("NextRound"))
     invalid = or_true(~ordered) | F.col("Worker").isNull()
     phase = (
         F.when(invalid, "InvalidTouch")
@@ -107,7 +141,7 @@ def reconstruct_touch(events: DataFrame, rounds: DataFrame) -> DataFrame:
                 "TouchMinutes": F.when(worked, seconds_between(F.col("WorkerStart"), F.col("WorkerStop")) / 60),
             }
         )
-        .drop("FirstStart", "OrderProcess", "__w0", "__w1", "__wo", "__after", "NextStart", "NextRound")
+        .drop("FirstStart", "OrderProcess", "__w0", "__w1", "__gaps", "NextRound")
     )
 
 

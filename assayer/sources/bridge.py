@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -240,10 +241,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Joins of part that reach only the keys of a remainder.
+_REMAINDER = re.compile(r"\bJOIN\s+part\s+ON\s+p_partkey\s*=\s*(\w+)\s*%\s*(\d+)")
+FEW_ROWS = 100_000
+
+
+def _reached(part: DataFrame, divisor: int) -> DataFrame:
+    """The parts a remainder can name; counted, they are offered as a broadcast, so that no row moves to one of few keys."""
+    few = part.filter(F.col("p_partkey").between(1 - divisor, divisor - 1))
+    return F.broadcast(few) if few.count() <= FEW_ROWS else few
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The named bridge view as a lazy DataFrame."""
     sql = re.sub(r"unnest\(\[([^\]]*)\]\)", r"explode(array(\1))", with_clause(name)) + f"\nSELECT * FROM {name}"
+    divisors = {int(d) for _key, d in _REMAINDER.findall(sql)}
+    sql = _REMAINDER.sub(r"JOIN {part_\2} ON p_partkey = \1 % \2", sql)
     used = [t for t in TABLES if re.search(rf"\b(FROM|JOIN)\s+{t}\b", sql)]
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN)(\s+){t}\b", rf"\1\2{{{t}}}", sql)
-    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used})
+    few = {f"part_{d}": _reached(table(spark, sf_dir, "part"), d) for d in divisors}
+    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in used}, **few)

@@ -1,6 +1,7 @@
 """Steps whose work must not outgrow their input."""
 
-from datetime import datetime
+import re
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -234,3 +235,60 @@ def test_ticket_effects_rebuild_the_rounds_once(spark, monkeypatch):
             monkeypatch.setattr(module, "rounds", lambda inp: made.append(1) or rounds(inp))
     details.with_effects(Inputs(spark, "/root/testdata/sf0.001"))
     assert len(made) == 1
+
+
+def exchanges(df):
+    """Tables that move between tasks, broadcasts apart."""
+    return len(re.findall(r"(?<!Broadcast)Exchange hashpartitioning", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_rounds_move_their_tickets_once_and_their_orders_once(spark, sf):
+    from assayer.catalog import attribution
+
+    assert exchanges(attribution.rounds_once(Inputs(spark, sf))) == 2
+
+
+def test_draws_are_made_where_their_round_already_is(spark, sf):
+    from assayer.catalog import bayes_time
+
+    inp = Inputs(spark, sf)
+    rows = bayes_time.cohort(inp)
+    draws = spark.read.parquet(*bayes_time.settle(bayes_time.draws_of(rows)).inputFiles())
+    assert "Unseen" in "".join((plan := D.predict_quality(draws, rows)).columns)
+    moved = plan._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning(WO")[0]
+    assert "collect_list" in moved and "Exchange hashpartitioning(WO" in plan._jdf.queryExecution().executedPlan().toString()
+    assert moved.count("ObjectHashAggregate") == 2
+
+
+@pytest.mark.parametrize("divisor", [200, 7])
+def test_a_remainder_reaches_few_parts(spark, tmp_path, divisor):
+    from assayer.sources import bridge
+
+    spark.range(-300, 5_000).selectExpr("id AS p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    kept = bridge._reached(bridge.table(spark, str(tmp_path), "part"), divisor)
+    assert sorted(r[0] for r in kept.collect()) == list(range(1 - divisor, divisor))
+
+
+def test_crowded_orders_are_phased_as_the_others(spark, monkeypatch):
+    from assayer.operators import touch as T
+
+    rng, day = np.random.default_rng(2), datetime(2026, 1, 1)
+    rounds, rows = [], []
+    for o in range(12):
+        start = 0
+        for r in range(1, 4):
+            start += int(rng.integers(20, 40))
+            rounds.append((f"WO{o}", r, "P", day + timedelta(minutes=start), day + timedelta(minutes=start + 5), float(rng.integers(0, 3))))
+        for e in range(14):
+            a = int(rng.integers(0, 120))
+            b = a + int(rng.integers(0, 9)) - (6 if e % 7 == 0 else 0)
+            rows.append((f"{o}-{e}", f"WO{o}" if e else None, f"W{rng.integers(2)}" if e != 3 else None, "P" if e % 5 else "Q", day + timedelta(minutes=a), day + timedelta(minutes=b)))
+    done = spark.createDataFrame(rounds, "WO string, RoundNo bigint, Process string, QcStart timestamp_ntz, QcStop timestamp_ntz, FailQty double").persist()
+    events = spark.createDataFrame(rows, "EventId string, WO string, Worker string, Process string, WorkerStart timestamp_ntz, WorkerStop timestamp_ntz").persist()
+    found = []
+    for bound in (T.CROWDED, 0, 13):
+        monkeypatch.setattr(T, "CROWDED", bound)
+        out = T.reconstruct_touch(events, done).collect()
+        found.append({r.EventId: (r.Phase, r.RoundNo, r.Attribution, r.TouchMinutes, r.Overlaps if r.WorkerStart <= r.WorkerStop else None) for r in out})
+        assert len(out) == len(rows)
+    assert found[0] == found[1] == found[2] and {p[0] for p in found[0].values()} > {"OverlappingTouch", "Rework", "FirstPass"}
