@@ -48,8 +48,10 @@ def predict_quality(draws: DataFrame, test: DataFrame, seed: int = 42, training:
     """
     if training is not None:
         assert_none(test.select("WO").join(training.select("WO"), "WO", "left_semi"), "Evaluation WO was used for fitting")
-    # A round moves before its draws are made, so that where the draws are broadcast none of them moves.
-    rows = test.repartition("WO", "RoundNo", *FIT).join(_globals(draws), FIT)
+    # A round moves before its draws are made, so that where the draws are broadcast none of them moves. The number of parts
+    # is given: by the size of the rounds alone they would be merged to few.
+    parts = int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = test.repartition(parts, "WO", "RoundNo", *FIT).join(_globals(draws), FIT)
     rows = rows.join(_effects(draws, "u", "Worker"), [*FIT, "Draw", "Worker"], "left")
     rows = rows.join(_effects(draws, "v", GROUP), [*FIT, "Draw", GROUP], "left")
     s, d = F.lit(seed), F.col("Draw")
