@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayer.catalog.attribution import TEAM_CTE, rounds
+from assayer.catalog.attribution import TEAM_CTE, rounds, rounds_once
 from assayer.catalog.metrics import PRED_CTE, predicted
 from assayer.catalog.qc import TICKET_CTE
 from assayer.catalog.registry import Inputs, query, shown
@@ -25,6 +25,12 @@ def single_rounds(inp: Inputs):
     return A.attribute_rounds(rounds(inp), inp.assignment)
 
 
+def learned_rounds(inp: Inputs):
+    """The attributed rounds, written once in the columns the candidates take."""
+    rows = A.attribute_rounds(rounds_once(inp), inp.assignment)
+    return settle(rows.select("WO", "RoundNo", "Process", "Branch", "SizeAdjustedGroup", "Worker", "Workers", "Attribution", "PassQty", "InspectedQty", "QcStart", "QcStop"))
+
+
 @query()
 def two_way_effects(inp: Inputs):
     """Intercept, iterations and effect spread of the alternating least-squares fit."""
@@ -64,7 +70,7 @@ def rasch_rework(inp: Inputs):
 @query()
 def ridge_candidates(inp: Inputs):
     """Convergence and intercept of every ridge candidate and penalty."""
-    return shown(K.fit_candidates(single_rounds(inp)).health)
+    return shown(K.fit_candidates(learned_rounds(inp)).health)
 
 
 @query(
@@ -81,7 +87,7 @@ FROM ft f LEFT JOIN wt ON wt.Process = f.Process AND wt.Branch = f.Branch,
 )
 def ridge_expanded(inp: Inputs):
     """Shared-team designs: every term's gradient vanishes at the fitted coefficients."""
-    learned = cut_lineage(single_rounds(inp))
+    learned = learned_rounds(inp)
     balance = K.design_balance(learned, K.fit_expanded(learned))
     return shown(balance, "Process", "Branch", "Variant", "Penalty", "Observations", "Terms", "TermsOffBalance", "Converged")
 
@@ -89,7 +95,7 @@ def ridge_expanded(inp: Inputs):
 @query()
 def candidate_selection(inp: Inputs):
     """Validation-selected candidates and their test log-loss."""
-    result = K.compare(single_rounds(inp), expanded=False)
+    result = K.compare(learned_rounds(inp))
     test = result["comparison"].filter("Cohort = 'single'").select("Process", "Branch", "Variant", "Rounds", "PieceLogLoss")
     return shown(test.join(result["selection"], ["Process", "Branch"], "left"))
 

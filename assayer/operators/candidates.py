@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.expressions import clip, logistic
 from assayer.operators.attribution import coverage
 from assayer.operators.designs import DesignFit, fit_outcomes, off_balance, predict_outcomes
 from assayer.operators.effects import EffectFit, Shrinkage, fit_crossed_logit, predict_logit
@@ -12,7 +13,7 @@ from assayer.operators.metrics import binomial_metrics
 from assayer.operators.ordering import quantiles
 from assayer.operators.resample import paired_bootstrap
 from assayer.operators.splits import three_way_split
-from assayer.session import cut_lineage
+from assayer.session import cut_lineage, settle
 
 FIT = ["Process", "Branch"]
 # Candidate name -> (cohort, weighting); penalties tried for each ridge candidate.
@@ -30,43 +31,57 @@ LEGACY = {"legacy_1000": 1000, "legacy_5000": 5000}
 PENALTIES = (0.1, 1.0, 10.0)
 
 
-def weighted_cohort(rounds: DataFrame, variants: dict[str, tuple[str, str]] = RIDGE, penalties=PENALTIES) -> DataFrame:
-    """Training rows once per candidate and penalty, with the candidate's exposure weights."""
-    single = rounds.filter("Attribution = 'single'")
-    caps = quantiles(single, FIT, "InspectedQty", {"__cap": 0.9})
-    choice = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(v).alias("Variant"), F.lit(mode).alias("Mode"), F.lit(w).alias("Weighting"), F.lit(float(p)).alias("Penalty"))
-                for v, (mode, w) in variants.items()
-                for p in penalties
-            ]
-        )
-    )
-    rows = rounds.join(caps, FIT, "left").select("*", choice.alias("c")).select("*", "c.*").drop("c")
-    rows = rows.filter("Mode <> 'single' OR Attribution = 'single'")
-    n = F.col("InspectedQty")
-    exposure = F.when(F.col("Weighting") == "capped", F.least(n, F.col("__cap"))).when(F.col("Weighting") == "equal", F.lit(1.0)).otherwise(n)
-    return rows.withColumns({"PassQty": F.col("PassQty") / n * exposure, "InspectedQty": exposure}).drop("__cap")
+# What tells a round from others in any design.
+TERMS = ["SizeAdjustedGroup", "RoundNo", "Worker", "Workers", "Attribution"]
+
+
+def weighted_cohort(rounds: DataFrame, variants: dict[str, tuple[str, str]] = RIDGE) -> DataFrame:
+    """Training rounds once per candidate with the candidate's exposure weights; rounds of the same terms are one row of Rounds.
+
+    The rounds are read and moved once, with their sums under every weighting, and repeated for the candidates after that.
+    """
+    n, weightings = F.col("InspectedQty"), sorted({w for _mode, w in variants.values()})
+    rows = rounds
+    if "capped" in weightings:
+        caps = quantiles(rounds.filter("Attribution = 'single'"), FIT, "InspectedQty", {"__cap": 0.9})
+        rows = rounds.join(settle(caps), FIT, "left")
+    exposures = {"pieces": n, "capped": F.least(n, F.col("__cap")) if "capped" in weightings else None, "equal": F.lit(1.0)}
+    sums = [F.sum(x).alias(f"__{name}_{w}") for w in weightings for name, x in (("y", F.col("PassQty") / n * exposures[w]), ("n", exposures[w]))]
+    cells = settle(rows.groupBy(*FIT, *[c for c in TERMS if c in rounds.columns]).agg(F.count("*").alias("Rounds"), *sums))
+    choice = F.explode(F.array(*[F.struct(F.lit(v).alias("Variant"), F.lit(mode).alias("Mode"), F.lit(w).alias("Weighting")) for v, (mode, w) in variants.items()]))
+    chosen = cells.select("*", choice.alias("c")).select("*", "c.*").drop("c").filter("Mode <> 'single' OR Attribution = 'single'")
+
+    def sum_of(name: str) -> Column:
+        return F.coalesce(*[F.when(F.col("Weighting") == w, F.col(f"__{name}_{w}")) for w in weightings])
+
+    return chosen.withColumns({"PassQty": sum_of("y"), "InspectedQty": sum_of("n")}).drop(*[f"__{name}_{w}" for name in "yn" for w in weightings])
 
 
-def fit_candidates(rounds: DataFrame, variants=RIDGE, penalties=PENALTIES, max_iter: int = 2000, tol: float = 1e-7) -> EffectFit:
+def penalties_of(rows: DataFrame, penalties=PENALTIES, chosen: DataFrame | None = None) -> DataFrame:
+    """(process, branch, candidate, penalty) of the fits of a cohort; only those of ``chosen`` where it is given."""
+    each = F.explode(F.array(*[F.lit(float(p)) for p in penalties])).alias("Penalty")
+    grid = rows.select(*FIT, "Variant").distinct().select("*", each)
+    return settle(grid if chosen is None else grid.join(chosen, [*FIT, "Variant", "Penalty"], "left_semi"))
+
+
+def fit_candidates(rounds: DataFrame, variants=RIDGE, penalties=PENALTIES, max_iter: int = 2000, tol: float = 1e-7, chosen: DataFrame | None = None) -> EffectFit:
     """Every (process, branch, candidate, penalty) ridge fit in two jobs: with and without workers."""
-    rows = weighted_cohort(rounds, variants, penalties)
+    rows = weighted_cohort(rounds, variants)
+    rows = rows.join(penalties_of(rows, penalties, chosen), [*FIT, "Variant"]).withColumn("lam", F.col("Penalty"))
     keys = [*FIT, "Variant", "Penalty"]
-    rows = rows.withColumn("lam", F.col("Penalty"))
     with_workers = fit_crossed_logit(rows.filter("Mode = 'single'"), keys, Shrinkage("lam", 1e-6), max_iter, tol)
     group_only = fit_crossed_logit(rows.filter("Mode = 'group'"), keys, Shrinkage("lam", 1e-6, use_workers=False), max_iter, tol)
     return _both(with_workers, group_only)
 
 
-def fit_expanded(rounds: DataFrame, variants=EXPANDED, penalties=PENALTIES, tol: float = 1e-6) -> DesignFit:
+def fit_expanded(rounds: DataFrame, variants=EXPANDED, penalties=PENALTIES, tol: float = 1e-6, chosen: DataFrame | None = None) -> DesignFit:
     """Ridge fits on sparse designs, all advanced together; ``rounds`` carry the array ``Workers`` of their team.
 
     Expanded candidates learn from all rounds: each worker of a team counts 1 / team size, and indicators tell rounds of teams
     and of unknown workers. Every variant of this module can be fitted this way.
     """
-    return fit_outcomes(weighted_cohort(rounds, variants, penalties), [*FIT, "Variant", "Penalty"], tol)
+    rows = weighted_cohort(rounds, variants)
+    return fit_outcomes(rows, [*FIT, "Variant"], penalties_of(rows, penalties, chosen), tol)
 
 
 def predict_expanded(fit: DesignFit, rows: DataFrame, variants=EXPANDED) -> DataFrame:
@@ -79,9 +94,10 @@ def predict_expanded(fit: DesignFit, rows: DataFrame, variants=EXPANDED) -> Data
 def design_balance(rounds: DataFrame, fit: DesignFit, variants=EXPANDED, penalties=PENALTIES, bound: float = 1e-5) -> DataFrame:
     """Terms of every design fit, and those whose gradient per round exceeds ``bound``, recomputed from the rounds."""
     keys = [*FIT, "Variant", "Penalty"]
-    cohort = cut_lineage(weighted_cohort(rounds, variants, penalties))
-    sizes = cohort.filter("SizeAdjustedGroup IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("Observations"))
-    steep = off_balance(cohort, fit, keys).join(sizes, keys).groupBy(*keys, "Observations").agg(
+    cohort = weighted_cohort(rounds, variants)
+    sizes = cohort.filter("SizeAdjustedGroup IS NOT NULL").groupBy(*FIT, "Variant").agg(F.sum("Rounds").alias("Observations"))
+    steep = off_balance(cohort, fit, [*FIT, "Variant"]).filter(F.col("Penalty").isin([float(p) for p in penalties]))
+    steep = steep.join(sizes, [*FIT, "Variant"]).groupBy(*keys, "Observations").agg(
         F.count("*").alias("Terms"), F.count_if(F.abs("Gradient") / F.col("Observations") > bound).alias("TermsOffBalance")
     )
     return steep.join(fit.health.select(*keys, "Converged"), keys)
@@ -121,9 +137,15 @@ def _both(a: EffectFit, b: EffectFit) -> EffectFit:
 
 
 def predict_candidates(fit: EffectFit, rows: DataFrame) -> DataFrame:
-    """Predictions of every fitted candidate for the same rows."""
-    grid = rows.join(fit.health.select(*FIT, "Variant", "Penalty", "Converged"), FIT)
-    return predict_logit(grid, fit, [*FIT, "Variant", "Penalty"])
+    """Predictions of every fitted candidate for the same rows; a team counts as the mean of its workers, unseen ones as zero."""
+    keys = [*FIT, "Variant", "Penalty"]
+    fits = fit.health.select(*keys, "Converged")
+    teams = rows.filter(F.size("Workers") > 1).select(*FIT, "Workers").distinct().join(fits.select(*keys), FIT)
+    members = teams.select(*keys, "Workers", F.explode("Workers").alias("Worker")).join(fit.workers.select(*keys, "Worker", "WorkerEffect"), [*keys, "Worker"])
+    means = members.groupBy(*keys, "Workers").agg((F.sum("WorkerEffect") / F.size("Workers")).alias("__team"))
+    predicted = predict_logit(rows.join(fits, FIT).join(means, [*keys, "Workers"], "left"), fit, keys)
+    odds = F.ln(F.col("Prediction") / (1 - F.col("Prediction")))
+    return predicted.withColumn("Prediction", F.when(F.col("__team").isNull(), F.col("Prediction")).otherwise(clip(logistic(odds + F.col("__team")), 1e-8, 1 - 1e-8))).drop("__team")
 
 
 def select_penalty(scores: DataFrame) -> DataFrame:
@@ -140,31 +162,42 @@ def select_variant(choices: DataFrame) -> DataFrame:
     return viable.groupBy(*FIT).agg(F.min_by("Variant", F.struct("PieceLogLoss", "Variant")).alias("SelectedVariant"))
 
 
-def compare(rounds: DataFrame, min_train: int = 10, min_validation: int = 5, expanded: bool = True) -> dict[str, DataFrame]:
-    """Tune on validation only, refit on train and validation, score the test window once; ``expanded`` adds the shared-team designs."""
-    split = cut_lineage(three_way_split(rounds, by=["Process"]))
+def predict_all(training: DataFrame, rows: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Predictions for ``rows`` by all eight candidates fitted to ``training``, at every penalty or only the ``chosen`` ones.
+
+    Rounds of the same terms get the same predictions, which are made once and met by a round in one row.
+    """
+    alike = [*FIT, *TERMS]
+    designs = settle(rows.select(*alike).distinct())
+    found = predict_candidates(fit_candidates(training, chosen=chosen), designs).unionByName(predict_candidates(fit_legacy(training), designs))
+    found = found.unionByName(predict_expanded(fit_expanded(training, chosen=chosen), designs))
+    if chosen is not None:
+        found = found.join(chosen, [*FIT, "Variant", "Penalty"], "left_semi")
+    nested = found.groupBy(*alike).agg(F.collect_list(F.struct("Variant", "Penalty", "Converged", "Prediction")).alias("__found"))
+    nested = nested.select(*[F.col(c).alias(f"__{c}") for c in alike], "__found")
+    same = [rows[c].eqNullSafe(nested[f"__{c}"]) for c in alike]
+    return rows.join(nested, same).select(*rows.columns, F.inline("__found"))
+
+
+def compare(rounds: DataFrame, min_train: int = 10, min_validation: int = 5) -> dict[str, DataFrame]:
+    """Tune on validation only, refit the chosen penalties on train and validation, score the test window once."""
+    split = settle(three_way_split(rounds, by=["Process"]))
     sizes = split.groupBy(*FIT).agg(
         F.count_if(F.col("Split") == "train").alias("a"),
         F.count_if((F.col("Split") == "validation") & (F.col("Attribution") == "single")).alias("b"),
         F.count_if(F.col("Split") == "test").alias("c"),
     )
-    enough = sizes.filter((F.col("a") >= min_train) & (F.col("b") >= min_validation) & (F.col("c") > 0)).select(*FIT)
-    usable = cut_lineage(split.join(enough, FIT, "left_semi"))
+    enough = settle(sizes.filter((F.col("a") >= min_train) & (F.col("b") >= min_validation) & (F.col("c") > 0)).select(*FIT))
+    usable = split.join(enough, FIT, "left_semi")
     train = usable.filter("Split = 'train'")
     validation = usable.filter("Split = 'validation' AND Attribution = 'single'")
-
-    def predictions_of(training: DataFrame, rows: DataFrame) -> DataFrame:
-        found = predict_candidates(fit_candidates(training), rows).unionByName(predict_candidates(fit_legacy(training), rows))
-        return found.unionByName(predict_expanded(fit_expanded(training), rows)) if expanded else found
-
-    tuned = predictions_of(train, validation)
-    scores = binomial_metrics(tuned, [*FIT, "Variant", "Penalty", "Converged"])
+    tuned = predict_all(train, validation)
+    scores = settle(binomial_metrics(tuned, [*FIT, "Variant", "Penalty", "Converged"]))
     choices = cut_lineage(select_penalty(scores))
     winners = select_variant(choices)
     refit_rows = usable.filter("Split IN ('train', 'validation')")
     test = usable.filter("Split = 'test'")
-    chosen = choices.select(*FIT, "Variant", "Penalty")
-    predictions = cut_lineage(predictions_of(refit_rows, test).join(chosen, [*FIT, "Variant", "Penalty"], "left_semi"))
+    predictions = settle(predict_all(refit_rows, test, choices.select(*FIT, "Variant", "Penalty")))
     cohorts = predictions.withColumn("Cohort", F.explode(F.array(F.lit("all"), F.col("Attribution"))))
     single = predictions.filter("Attribution = 'single'")
     base = single.filter("Variant = 'legacy_1000'").select(*FIT, "WO", "RoundNo", F.col("Prediction").alias("Baseline"))

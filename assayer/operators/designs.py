@@ -65,28 +65,34 @@ FAMILIES = {
 }
 
 
-def solve(rows: DataFrame, entries: DataFrame, terms: DataFrame, keys: list[str], family: str = "binomial", tol: float = 1e-7, max_steps: int = 40, max_iterations: int = 400) -> DesignFit:
+def solve(rows: DataFrame, entries: DataFrame, terms: DataFrame, keys: list[str], family: str = "binomial", tol: float = 1e-7, max_steps: int = 40, max_iterations: int = 400, shared: list[str] | None = None) -> DesignFit:
     """Minimise loss + 1/2 sum Ridge (x - Prior)**2 for every fit.
 
     ``rows``: keys, row, y, n. ``entries``: keys, row, Term, Value. ``terms``: keys, Term, Ridge, Prior and Start. Solved when
     no gradient of a fit exceeds ``tol`` times its number of rows; health tells it for each fit with its steps.
+    ``shared``: the keys of rows and entries where fits that differ in the other keys have the same rows and terms, as fits of
+    several penalties do; such rows are moved and kept once.
     """
     terms = settle(terms)
     widths = settle(terms.groupBy(*keys).agg(F.count("*").alias("__terms")))
     few, many = ([tuple(r) for r in widths.filter(which).select(*keys).collect()] for which in (F.col("__terms") <= SOLVED_TERMS, F.col("__terms") > SOLVED_TERMS))
     found = []
+    data = shared or keys
+    place = [keys.index(k) for k in data]
     if few or not many:
-        found.append(_newton(*_of(few, keys, rows, entries, terms), keys, family, tol, max_steps))
+        sets = list(dict.fromkeys(tuple(key[i] for i in place) for key in few))
+        found.append(_newton(*_of(sets, data, rows, entries, schema=terms), *_of(few, keys, terms), keys, data, family, tol, max_steps))
     if many:
+        rows, entries = ((df if data == keys else df.join(F.broadcast(terms.select(*keys).distinct()), data)) for df in (rows, entries))
         found.append(_iterated(*_of(many, keys, rows, entries, terms), keys, family, tol, max_steps, max_iterations))
     if len(found) == 1:
         return found[0]
     return DesignFit(found[0].coefficients.unionByName(found[1].coefficients), found[0].health.unionByName(found[1].health))
 
 
-def _of(chosen: list[tuple], keys: list[str], *tables: DataFrame) -> list[DataFrame]:
+def _of(chosen: list[tuple], keys: list[str], *tables: DataFrame, schema: DataFrame | None = None) -> list[DataFrame]:
     """The rows of the chosen fits."""
-    schema = T.StructType([tables[-1].schema[k] for k in keys])
+    schema = T.StructType([(schema or tables[-1]).schema[k] for k in keys])
     only = tables[-1].sparkSession.createDataFrame(chosen, schema)
     return [df.join(F.broadcast(only), keys, "left_semi") for df in tables]
 
@@ -98,8 +104,8 @@ _ON_ARRAYS = {
 }
 
 
-def _sums(family: str, at: dict[int, np.ndarray]):
-    """(fit, loss, gradient and curvature as bytes) of the rows of a task at the coefficients ``at`` of the open fits."""
+def _sums(family: str, at: dict[int, np.ndarray], members: dict[int, list[int]]):
+    """(fit, loss, gradient and curvature as bytes) of the rows of a task at the coefficients ``at`` of the open fits, ``members`` of a set of rows."""
     parts = _ON_ARRAYS[family]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,31 +116,30 @@ def _sums(family: str, at: dict[int, np.ndarray]):
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packed, pa.binary())], names=["__fit", "sums"])
 
         for batch in batches:
-            fits, y, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__fit", "y", "n"))
+            sets, y, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("__set", "y", "n"))
             lists = batch.column("parts")
             flat, lengths = lists.flatten(), np.diff(lists.offsets.to_numpy())
-            owner = np.repeat(np.arange(len(fits)), lengths)
+            owner = np.repeat(np.arange(len(sets)), lengths)
             place, value = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("place", "v"))
-            for fit in np.unique(fits):
-                x = at.get(int(fit))
-                if x is None:
+            for number in np.unique(sets):
+                fits = [f for f in members[int(number)] if f in at]
+                if not fits:
                     continue
-                mine, p = np.flatnonzero(fits == fit), len(x)
+                mine, p = np.flatnonzero(sets == number), len(at[fits[0]])
                 for k in range(0, len(mine), max(1, DENSE_CELLS // p)):
                     some = mine[k : k + max(1, DENSE_CELLS // p)]
-                    line = np.full(len(fits), -1)
+                    line = np.full(len(sets), -1)
                     line[some] = np.arange(len(some))
                     here = line[owner] >= 0
                     design = np.zeros((len(some), p))
                     np.add.at(design, (line[owner[here]], place[here]), value[here])
-                    eta = design @ x
-                    error, curve, loss = parts(eta, y[some], n[some], 0.5 * (1 + np.tanh(0.5 * eta)))
-                    if fit not in held:
-                        held[int(fit)] = np.zeros(1 + p + p * p)
-                    total = held[int(fit)]
-                    total[0] += loss.sum()
-                    total[1 : 1 + p] += design.T @ error
-                    total[1 + p :] += (design.T @ (design * curve[:, None])).ravel()
+                    for fit in fits:
+                        eta = design @ at[fit]
+                        error, curve, loss = parts(eta, y[some], n[some], 0.5 * (1 + np.tanh(0.5 * eta)))
+                        total = held.setdefault(fit, np.zeros(1 + p + p * p))
+                        total[0] += loss.sum()
+                        total[1 : 1 + p] += design.T @ error
+                        total[1 + p :] += (design.T @ (design * curve[:, None])).ravel()
             if sum(map(len, held.values())) > HELD_NUMBERS:
                 yield out()
                 held.clear()
@@ -173,18 +178,25 @@ def _numbered(terms: DataFrame, keys: list[str]) -> tuple[list[_State], DataFram
     return states, terms.sparkSession.createDataFrame([(*s.key, s.fit) for s in states], schema)
 
 
-def _newton(rows: DataFrame, entries: DataFrame, terms: DataFrame, keys: list[str], family: str, tol: float, max_steps: int) -> DesignFit:
+def _newton(rows: DataFrame, entries: DataFrame, terms: DataFrame, keys: list[str], data: list[str], family: str, tol: float, max_steps: int) -> DesignFit:
     """All fits of few terms, one job a Newton step; a step that does not lower the objective is halved."""
     spark = ship(rows.sparkSession)
     states, numbers = _numbered(terms, keys)
+    set_of: dict[tuple, int] = {}
+    of_fit = {s.fit: set_of.setdefault(tuple(s.key[keys.index(k)] for k in data), len(set_of)) for s in states}
+    members = {number: [f for f, of in of_fit.items() if of == number] for number in set_of.values()}
+    sets = spark.createDataFrame([(*key, number) for key, number in set_of.items()], T.StructType([*(terms.schema[k] for k in data), T.StructField("__set", T.IntegerType())]))
     place = F.row_number().over(Window.partitionBy("__fit").orderBy("Term")) - 1
-    vocabulary = settle(terms.join(F.broadcast(numbers), keys).select("__fit", "Term", place.alias("place"), "Ridge", "Prior", "Start"))
-    lists = entries.join(F.broadcast(numbers), keys).join(F.broadcast(vocabulary.select("__fit", "Term", "place")), ["__fit", "Term"])
-    lists = lists.groupBy("__fit", "row").agg(F.collect_list(F.struct("place", F.col("Value").cast("double").alias("v"))).alias("parts"))
-    outcomes = rows.join(F.broadcast(numbers), keys).select("__fit", "row", F.col("y").cast("double").alias("y"), F.col("n").cast("double").alias("n"))
-    none = F.array().cast("array<struct<place:int,v:double>>")
-    packed = settle(outcomes.join(lists, ["__fit", "row"], "left").select("__fit", "y", "n", F.coalesce("parts", none).alias("parts")))
-    sizes = {r["__fit"]: r["c"] for r in packed.groupBy("__fit").agg(F.count("*").alias("c")).collect()}
+    vocabulary = settle(terms.join(F.broadcast(numbers), keys).select("__fit", *data, "Term", place.alias("place"), "Ridge", "Prior", "Start"))
+    places = vocabulary.select(*data, "Term", "place").distinct().join(F.broadcast(sets), data).select("__set", "Term", "place")
+    # One exchange takes the outcome of a row and its terms, which its task has already put together, to one place.
+    part = F.struct("place", F.col("Value").cast("double").alias("v"))
+    lists = entries.join(F.broadcast(sets), data).join(F.broadcast(places), ["__set", "Term"]).select("__set", "row", F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("n"), part.alias("part"))
+    outcomes = rows.join(F.broadcast(sets), data).select("__set", "row", F.col("y").cast("double").alias("y"), F.col("n").cast("double").alias("n"), F.lit(None).cast("struct<place:int,v:double>").alias("part"))
+    both = outcomes.unionByName(lists).groupBy("__set", "row").agg(F.max("y").alias("y"), F.max("n").alias("n"), F.collect_list("part").alias("parts"))
+    packed = settle(both.filter("n IS NOT NULL").select("__set", "y", "n", "parts"))
+    counts = {r["__set"]: r["c"] for r in packed.groupBy("__set").agg(F.count("*").alias("c")).collect()}
+    sizes = {f: counts[of] for f, of in of_fit.items() if of in counts}
     known: dict[int, list] = {s.fit: [] for s in states}
     for row in vocabulary.orderBy("__fit", "place").collect():
         known[row["__fit"]].append((row["Ridge"], row["Prior"], row["Start"]))
@@ -195,7 +207,7 @@ def _newton(rows: DataFrame, entries: DataFrame, terms: DataFrame, keys: list[st
     open_fits = list(states)
     for step in range(max_steps + 1):
         here = {s.fit: at[s.fit] for s in open_fits}
-        sums = packed.filter(F.col("__fit").isin(list(here))).mapInArrow(_sums(family, here), "__fit int, sums binary")
+        sums = packed.filter(F.col("__set").isin(sorted({of_fit[f] for f in here}))).mapInArrow(_sums(family, here, members), "__fit int, sums binary")
         solved = sums.groupBy("__fit").applyInPandas(_step(here, ridge, prior), "__fit int, loss double, steepest double, step binary")
         found = {r["__fit"]: r for r in solved.collect()}
         for s in open_fits:
@@ -214,7 +226,7 @@ def _newton(rows: DataFrame, entries: DataFrame, terms: DataFrame, keys: list[st
             break
 
     values = spark.createDataFrame([(f, k, float(v)) for f, x in at.items() for k, v in enumerate(x)], "__fit int, place int, Coefficient double")
-    result = vocabulary.join(F.broadcast(values), ["__fit", "place"]).join(F.broadcast(numbers), "__fit").select(*keys, "Term", "Coefficient")
+    result = vocabulary.select("__fit", "Term", "place").join(F.broadcast(values), ["__fit", "place"]).join(F.broadcast(numbers), "__fit").select(*keys, "Term", "Coefficient")
     return DesignFit(settle(result), _health(states, sizes, terms, keys))
 
 
@@ -369,24 +381,25 @@ def outcome_entries(rows: DataFrame, mode: Column, first_round: Column) -> Colum
     return F.concat(base, later, members, open_)
 
 
-def fit_outcomes(df: DataFrame, keys: list[str], tol: float = 1e-7) -> DesignFit:
-    """Ridge logits of quality rounds: keys, Mode (single, expanded or group), Penalty, Workers, group, RoundNo, PassQty, InspectedQty.
+def fit_outcomes(df: DataFrame, keys: list[str], penalties: DataFrame, tol: float = 1e-7) -> DesignFit:
+    """Ridge logits of quality rounds: keys, Mode (single, expanded or group), Workers, group, RoundNo, PassQty, InspectedQty.
 
-    Rows with the same terms are one row. The intercept carries a weak penalty of 1e-6, which also keeps fits finite whose
-    rounds all pass or all fail. Rows without a group take no part.
+    ``penalties``: keys and Penalty, a fit each; the fits of a key share its rows. Rows with the same terms are one row. The
+    intercept carries a weak penalty of 1e-6, which also keeps fits finite whose rounds all pass or all fail. Rows without a
+    group take no part.
     """
     known = df.filter(F.col("SizeAdjustedGroup").isNotNull())
-    same = [*keys, "Mode", "lam", "SizeAdjustedGroup", "RoundNo", "Workers"]
-    cells = known.withColumn("lam", F.col("Penalty").cast("double")).groupBy(*same).agg(F.sum("PassQty").alias("y"), F.sum("InspectedQty").alias("n"))
+    same = [*keys, "Mode", "SizeAdjustedGroup", "RoundNo", "Workers"]
+    cells = known.groupBy(*same).agg(F.sum("PassQty").alias("y"), F.sum("InspectedQty").alias("n"))
     cells = settle(cells.withColumn("row", F.monotonically_increasing_id()))
-    facts = cells.groupBy(*keys).agg(F.min("RoundNo").alias("__first"), ((F.sum("y") + 0.5) / (F.sum("n") + 1)).alias("__rate"), F.max("lam").alias("__lam"))
-    entries = settle(cells.join(facts.select(*keys, "__first"), keys).select(*keys, "row", F.explode(outcome_entries(cells, F.col("Mode"), F.col("__first"))).alias("t")).select(*keys, "row", "t.*"))
+    facts = settle(cells.groupBy(*keys).agg(F.min("RoundNo").alias("__first"), ((F.sum("y") + 0.5) / (F.sum("n") + 1)).alias("__rate")))
+    entries = cells.join(facts.select(*keys, "__first"), keys).select(*keys, "row", F.explode(outcome_entries(cells, F.col("Mode"), F.col("__first"))).alias("t")).select(*keys, "row", "t.*")
     level = F.col("Term") == INTERCEPT
-    terms = entries.select(*keys, "Term").distinct().join(facts, keys).select(
-        *keys, "Term", F.when(level, 1e-6).otherwise(F.col("__lam")).alias("Ridge"), F.lit(0.0).alias("Prior"),
+    terms = entries.select(*keys, "Term").distinct().join(facts, keys).join(penalties.select(*keys, F.col("Penalty")), keys).select(
+        *keys, "Penalty", "Term", F.when(level, 1e-6).otherwise(F.col("Penalty").cast("double")).alias("Ridge"), F.lit(0.0).alias("Prior"),
         F.when(level, F.ln(F.col("__rate") / (1 - F.col("__rate")))).otherwise(0.0).alias("Start"),
     )
-    return solve(cells, entries, terms, keys, "binomial", tol)
+    return solve(cells, entries, terms, [*keys, "Penalty"], "binomial", tol, shared=keys)
 
 
 def predict_outcomes(df: DataFrame, fit: DesignFit, keys: list[str]) -> DataFrame:
@@ -398,12 +411,18 @@ def predict_outcomes(df: DataFrame, fit: DesignFit, keys: list[str]) -> DataFram
 
 
 def off_balance(df: DataFrame, fit: DesignFit, keys: list[str]) -> DataFrame:
-    """(keys, Term, Gradient) of the penalised likelihood at the fitted coefficients, from the rows themselves."""
-    first = df.groupBy(*keys).agg(F.min("RoundNo").alias("__first"))
+    """(keys, Penalty, Term, Gradient) of the penalised likelihood at the fitted coefficients, from the rows themselves."""
+    first = settle(df.groupBy(*keys).agg(F.min("RoundNo").alias("__first")))
     numbered = settle(df.filter(F.col("SizeAdjustedGroup").isNotNull()).join(first, keys).withColumn("__id", F.monotonically_increasing_id()))
-    entries = settle(numbered.select("__id", *keys, F.explode(outcome_entries(numbered, F.col("Mode"), F.col("__first"))).alias("t")).select("__id", *keys, "t.*"))
-    eta = entries.join(fit.coefficients, [*keys, "Term"]).groupBy("__id").agg(F.sum(F.col("Value") * F.col("Coefficient")).alias("__eta"))
-    errors = numbered.join(eta, "__id").select("__id", (F.col("InspectedQty") * logistic(F.col("__eta")) - F.col("PassQty")).alias("__e"), F.col("Penalty").alias("__lam"))
-    sums = entries.join(errors, "__id").groupBy(*keys, "Term").agg(F.sum(F.col("Value") * F.col("__e")).alias("__g"), F.max("__lam").alias("__lam"))
-    ridge = F.when(F.col("Term") == INTERCEPT, 1e-6).otherwise(F.col("__lam"))
-    return sums.join(fit.coefficients, [*keys, "Term"]).select(*keys, "Term", (F.col("__g") + ridge * F.col("Coefficient")).alias("Gradient"))
+    terms = F.explode(outcome_entries(numbered, F.col("Mode"), F.col("__first"))).alias("t")
+    # The coefficients of all penalties of a term are one row, and so are a round's predictors; only these move.
+    at = settle(fit.coefficients.groupBy(*keys, "Term").agg(F.sort_array(F.collect_list(F.struct("Penalty", "Coefficient"))).alias("at")))
+    penalties = F.inline("at")
+    eta = numbered.select("__id", *keys, terms).select("__id", *keys, "t.*").join(at, [*keys, "Term"]).select("__id", "Value", penalties)
+    eta = eta.groupBy("__id", "Penalty").agg(F.sum(F.col("Value") * F.col("Coefficient")).alias("__eta"))
+    error = F.col("InspectedQty") * logistic(F.col("__eta")) - F.col("PassQty")
+    rows = numbered.join(eta, "__id").withColumn("__e", error)
+    entries = rows.select(*keys, "Penalty", "__e", terms).select(*keys, "Penalty", "__e", "t.*")
+    sums = entries.groupBy(*keys, "Penalty", "Term").agg(F.sum(F.col("Value") * F.col("__e")).alias("__g"))
+    ridge = F.when(F.col("Term") == INTERCEPT, 1e-6).otherwise(F.col("Penalty"))
+    return sums.join(fit.coefficients, [*keys, "Penalty", "Term"]).select(*keys, "Penalty", "Term", (F.col("__g") + ridge * F.col("Coefficient")).alias("Gradient"))

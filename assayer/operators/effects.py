@@ -425,9 +425,10 @@ class Shrinkage:
 
 
 def logit_cells(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Passed and inspected pieces per fit, worker, group and round."""
+    """Passed and inspected pieces per fit, worker, group and round; rows may stand for several Rounds."""
+    count = F.sum("Rounds") if "Rounds" in df.columns else F.count("*")
     return df.groupBy(*keys, "Worker", F.col("SizeAdjustedGroup").alias("ItemKey"), F.col("RoundNo").cast("bigint").alias("RoundNo")).agg(
-        F.sum("PassQty").alias("y"), F.sum("InspectedQty").alias("n"), F.count("*").alias("obs")
+        F.sum("PassQty").alias("y"), F.sum("InspectedQty").alias("n"), count.alias("obs")
     )
 
 

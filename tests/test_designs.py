@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assayer.operators import candidates as K
 from assayer.operators import designs as D
@@ -117,3 +118,39 @@ def test_a_newton_step_is_one_job(teams, monkeypatch):
     monkeypatch.setattr(D, "_direction", none)
     fit = K.fit_expanded(teams[0], {"ridge_expanded_pieces": ("expanded", "pieces")}, (0.1, 1.0), 1e-9)
     assert [r.Converged for r in fit.health.collect()] == [True, True]
+
+
+def test_penalties_share_the_rows_of_a_candidate(teams, monkeypatch):
+    written, settle = [], D.settle
+    monkeypatch.setattr(D, "settle", lambda df: written.append(out := settle(df)) or out)
+    K.fit_expanded(teams[0], {"ridge_expanded_pieces": ("expanded", "pieces")}, (0.1, 1.0, 10.0), 1e-9)
+    packed = next(df for df in written if "parts" in df.columns)
+    alike = teams[0].select("SizeAdjustedGroup", "RoundNo", "Workers").distinct().count()
+    assert packed.count() == alike
+
+
+def test_a_team_is_predicted_by_the_mean_of_its_workers(spark, teams):
+    df = teams[0].withColumn("Worker", F.when(F.size("Workers") == 1, F.get("Workers", F.lit(0))))
+    fit = K.fit_candidates(df, {"ridge_single_pieces": ("single", "pieces")}, (1.0,))
+    effect = {r.Worker: r.WorkerEffect for r in fit.workers.collect()}
+    group = {r.ItemKey: r.ItemEffect for r in fit.items.collect()}
+    level = fit.health.first().Intercept
+    new = [("P", "First pass", "X", ["W1", "W2"], "team", "G0", 1, 1.0, 2.0, None), ("P", "First pass", "Y", ["W3", "W9"], "team", "G0", 1, 1.0, 2.0, None), ("P", "First pass", "Z", ["W3"], "single", "G0", 1, 1.0, 2.0, "W3")]
+    got = {r.WO: r.Prediction for r in K.predict_candidates(fit, spark.createDataFrame(new, df.schema)).collect()}
+    for name, known in (("X", effect["W1"] / 2 + effect["W2"] / 2), ("Y", effect["W3"] / 2), ("Z", effect["W3"])):
+        assert got[name] == pytest.approx(1 / (1 + np.exp(-(level + group["G0"] + known))))
+
+
+def test_all_eight_candidates_are_compared(spark, teams):
+    from datetime import datetime, timedelta
+
+    days = [datetime(2026, 1, 1) + timedelta(days=i // 12) for i in range(240)]
+    rows = [(*r, r[3][0] if len(r[3]) == 1 else None, d, d) for r, d in zip(teams[1], days)]
+    names = "Process string, Branch string, WO string, Workers array<string>, Attribution string, SizeAdjustedGroup string, RoundNo bigint, PassQty double, InspectedQty double, Worker string, QcStart timestamp_ntz, QcStop timestamp_ntz"
+    result = K.compare(spark.createDataFrame(rows, names).persist())
+    every = set(K.RIDGE | K.EXPANDED | K.LEGACY)
+    tuned = {(r.Variant, r.Penalty) for r in result["tuning"].collect()}
+    assert tuned == {(v, p) for v in K.RIDGE | K.EXPANDED for p in K.PENALTIES} | {(v, 1.0) for v in K.LEGACY}
+    assert {r.Variant for r in result["comparison"].collect()} == every
+    test = result["split_assignments"].filter("Split = 'test'").count()
+    assert result["predictions"].count() == test * len(every) and result["selection"].count() == 1
